@@ -1,0 +1,90 @@
+"""Cutting the hot keys of an ordered log into slices that separate tasks can work on.
+
+A window partitioned by key sends a whole key to one task, which AQE can't split. So keys with
+more than ``hot_rows`` rows get their order range cut at approximate quantiles (even depth, so
+bursts are cut too), windows run per (key, slice), and what a slice needs from its neighbours is
+carried in from a small per-slice summary.
+
+Sizes: with N rows there are fewer than N / hot_rows hot keys and at most about 3 * N / hot_rows
+slices in total, so the slice table and the carries are broadcast on a proven bound (1e12 rows
+and the default give under 300,000 rows). Slices depend only on the row's key and order value;
+any slicing gives the same result, so approximate quantiles are safe.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+HOT_ROWS = 10_000_000
+SLICE = "_slice"
+COLD = 0
+
+_POINTS = 128
+_CUTS = "_cuts"
+_FINE = "_fine"
+N_SLICES = "_n_slices"
+
+
+def hot_slices(rows: DataFrame, keys: list[str], order: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row per key holding more than ``hot_rows`` rows, with the cut points of its slices."""
+    narrow = rows.select(*keys, order.cast("long").alias("_o"))
+    counts = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    points = [i / _POINTS for i in range(_POINTS + 1)]
+    coarse = F.least(F.lit(_POINTS), F.ceil(F.col("_n") / hot_rows)).cast("int")
+    picked = F.transform(
+        F.sequence(F.lit(0), F.col("_coarse")),
+        lambda i: F.get(F.col("_p"), F.floor(i * _POINTS / F.col("_coarse")).cast("int")),
+    )
+    return (
+        narrow.join(F.broadcast(counts), keys)
+        .groupBy(*keys)
+        .agg(F.max("_n").alias("_n"), F.percentile_approx("_o", points).alias("_p"))
+        .withColumn("_coarse", coarse)
+        .select(
+            *keys,
+            picked.alias(_CUTS),
+            F.ceil(F.col("_n") / (F.col("_coarse") * hot_rows)).cast("int").alias(_FINE),
+        )
+        .withColumn(N_SLICES, (F.size(_CUTS) - 1) * F.col(_FINE))
+    )
+
+
+def slice_of(order: Column) -> Column:
+    """Slice number from the cut points: quantile cell by bisection, then an even split of the cell."""
+    cuts, fine = F.col(_CUTS), F.col(_FINE)
+    cells = F.size(cuts) - 1
+    cell = F.aggregate(
+        F.array(*[F.lit(_POINTS >> i) for i in range(1, 8)]),
+        F.lit(0),
+        lambda at, step: F.when((at + step < cells) & (F.get(cuts, at + step) <= order), at + step).otherwise(at),
+    )
+    low, high = F.get(cuts, cell).cast("double"), F.get(cuts, cell + 1).cast("double")
+    share = F.when(high > low, F.floor((order.cast("double") - low) / (high - low) * fine)).otherwise(0)
+    inside = F.greatest(F.lit(0), F.least(fine - 1, share)).cast("int")
+    return F.when(cuts.isNull(), F.lit(COLD)).otherwise(1 + cell * fine + inside).cast("int")
+
+
+def with_slices(rows: DataFrame, slices: DataFrame, keys: list[str], order: Column, hot_only: bool = False) -> DataFrame:
+    """Add the slice number: 0 for ordinary keys, 1.. for hot ones. ``hot_only`` keeps just the hot rows."""
+    joined = rows.join(F.broadcast(slices), keys, "inner" if hot_only else "left")
+    return joined.withColumn(SLICE, slice_of(order.cast("long"))).drop(_CUTS, _FINE, N_SLICES)
+
+
+def every_slice(slices: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per (hot key, slice)."""
+    return slices.select(*keys, F.explode(F.sequence(F.lit(1), F.col(N_SLICES))).alias(SLICE))
+
+
+def lookup_per_slice(lookup: DataFrame, slices: DataFrame, keys: list[str]) -> DataFrame:
+    """Repeat the lookup row of a hot key for each of its slices, so a join on (keys, slice) has no hot key."""
+    joined = lookup.join(F.broadcast(slices.select(*keys, N_SLICES)), keys, "left")
+    numbers = F.when(F.col(N_SLICES).isNull(), F.array(F.lit(COLD))).otherwise(
+        F.sequence(F.lit(1), F.col(N_SLICES))
+    )
+    return joined.withColumn(SLICE, F.explode(numbers)).drop(N_SLICES)
+
+
+def spread_unkeyed(key: Column, row_id: Column, ways: int = 4096) -> Column:
+    """Negative slice numbers for rows without a key, so they don't all hash to one task."""
+    return F.when(key.isNull(), -1 - F.pmod(F.xxhash64(row_id), F.lit(ways))).otherwise(F.col(SLICE)).cast("int")
