@@ -14,7 +14,7 @@ from fleetlens.functions.clock import micros
 from fleetlens.functions.headers import grpc_header_outcome
 from fleetlens.functions.routes import is_grpc
 from fleetlens.operators import launch, lifecycle, registry, resolution, traffic, transitions
-from fleetlens.plans.slices import hot_slices
+from fleetlens.plans.slices import find_slices
 from fleetlens.streaming import operators as streaming
 from fleetlens.streaming.run import append_to_files, upsert_to_files
 
@@ -139,7 +139,7 @@ def _resolve_requests(spark, sf):
         requests,
         lifecycle.session_history(log, created),
         windows=lifecycle.launch_windows(log, created),
-        slices=hot_slices(both, ["session_key"], micros(F.col("ts"))),
+        slices=find_slices(both, "session_key", micros(F.col("ts"))),
     )
 
 

@@ -12,40 +12,35 @@ from pyspark.sql import functions as F
 
 from fleetlens import schemas as S
 
+UNGUARDED = f"kind IN ({', '.join(repr(kind) for kind in S.UNGUARDED_KINDS)})"
 
-def is_unguarded(kind: Column) -> Column:
-    return kind.isin(*S.UNGUARDED_KINDS)
 
+def state_after(kind: str) -> str:
+    """SQL for the state set by an event that takes effect."""
+    return f"""CASE {kind} WHEN '{S.CREATE}' THEN '{S.LAUNCHING}' WHEN '{S.REGISTER}' THEN '{S.RUNNING}'
+        WHEN '{S.UNREGISTER}' THEN '{S.FINISHED}' WHEN '{S.STOP}' THEN '{S.FINISHED}' ELSE '{S.FAILED}' END"""
 
-def state_after(kind: Column) -> Column:
-    """State set by an event that takes effect."""
-    return (
-        F.when(kind == S.CREATE, S.LAUNCHING)
-        .when(kind == S.REGISTER, S.RUNNING)
-        .when(kind.isin(S.UNREGISTER, S.STOP), S.FINISHED)
-        .otherwise(S.FAILED)
-    )
 
-
-def fold_facts(order: Column) -> list[Column]:
-    """Aggregates over any part of a session's log; ``order`` is the arrival number."""
-    kind = F.col("kind")
+def fold_facts(order: str) -> list[Column]:
+    """Aggregates over any part of a session's log; ``order`` is SQL for the arrival number."""
     return [
-        F.max_by(F.struct("kind", "address", order.alias("at")), F.when(is_unguarded(kind), order)).alias("last_set"),
-        F.max(F.when(kind == S.HEALTH_FAILED, order)).alias("last_health"),
-        F.max(kind == S.LAUNCH_FAILED).alias("launch_failed"),
-        F.max_by(F.struct("application_id"), F.when(kind == S.REGISTER, order)).alias("last_app"),
+        F.expr(f"max_by(struct(kind, address, {order} AS at), CASE WHEN {UNGUARDED} THEN {order} END) AS last_set"),
+        F.expr(f"max(CASE WHEN kind = '{S.HEALTH_FAILED}' THEN {order} END) AS last_health"),
+        F.expr(f"max(kind = '{S.LAUNCH_FAILED}') AS launch_failed"),
+        F.expr(f"max_by(struct(application_id), CASE WHEN kind = '{S.REGISTER}' THEN {order} END) AS last_app"),
     ]
 
 
-def folded_state(last_set: Column, last_health: Column, launch_failed: Column) -> Column:
-    kind = last_set["kind"]
-    return (
-        F.when(kind.isNull(), F.when(launch_failed, S.FAILED).otherwise(S.LAUNCHING))
-        .when((kind == S.REGISTER) & F.coalesce(last_health > last_set["at"], F.lit(False)), S.FAILED)
-        .otherwise(state_after(kind))
-    )
+_STATE = f"""CASE
+    WHEN last_set IS NULL THEN if(launch_failed, '{S.FAILED}', '{S.LAUNCHING}')
+    WHEN last_set.kind = '{S.REGISTER}' AND last_health > last_set.at THEN '{S.FAILED}'
+    ELSE {state_after("last_set.kind")} END"""
 
 
-def folded_address(last_set: Column, last_health: Column, launch_failed: Column) -> Column:
-    return F.when(folded_state(last_set, last_health, launch_failed) == S.RUNNING, last_set["address"])
+def end_state() -> list[Column]:
+    """State, address and application id from the aggregates of ``fold_facts``."""
+    return [
+        F.expr(f"{_STATE} AS state"),
+        F.expr(f"CASE WHEN {_STATE} = '{S.RUNNING}' THEN last_set.address END AS address"),
+        F.expr("last_app.application_id AS application_id"),
+    ]

@@ -7,32 +7,13 @@ from pyspark.sql import functions as F
 
 from fleetlens import schemas as S
 from fleetlens.functions.clock import SECOND, ceil_div, floor_div, micros, moment, plus_seconds
-from fleetlens.functions.lifecycle import (
-    fold_facts,
-    folded_address,
-    folded_state,
-    is_unguarded,
-    state_after,
-)
-from fleetlens.plans.slices import HOT_ROWS, SLICE, hot_slices, with_slices
-
-_FACTS = ("last_set", "last_health", "launch_failed")
+from fleetlens.functions.lifecycle import UNGUARDED, end_state, fold_facts, state_after
+from fleetlens.plans.slices import HOT_ROWS, SLICE, find_slices
 
 
 def fold_lifecycle(events: DataFrame) -> DataFrame:
     """Final state, address and application id per session: one aggregation, combined map-side."""
-    facts = events.groupBy("session_key").agg(*fold_facts(F.col("seq")))
-    return facts.select("session_key", *end_state())
-
-
-def end_state() -> list:
-    """State, address and application id from the aggregates of ``fold_facts``."""
-    args = [F.col(name) for name in _FACTS]
-    return [
-        folded_state(*args).alias("state"),
-        folded_address(*args).alias("address"),
-        F.col("last_app.application_id").alias("application_id"),
-    ]
+    return events.groupBy("session_key").agg(*fold_facts("seq")).select("session_key", *end_state())
 
 
 def launch_windows(events: DataFrame, created: DataFrame) -> DataFrame:
@@ -48,103 +29,91 @@ def launch_windows(events: DataFrame, created: DataFrame) -> DataFrame:
     return created.join(first, "session_key", "left").select("session_key", "created_at", "launch_end")
 
 
-def session_history(events: DataFrame, created: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def session_history(events: DataFrame, created: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Validity intervals [valid_from, valid_to) per session; events without effect are dropped.
 
     Replays the log in ``seq`` order with one shuffle on (session, slice). A slice of a hot session
     starts from the folded state of its earlier slices and ends at the first change of the later ones.
     """
     key = "session_key"
-    slices = hot_slices(events, [key], F.col("seq"), hot_rows)
-    log = events.select(key, "seq", "ts", "kind", "address", "application_id").unionByName(
-        created.select(
+    slices = find_slices(events, key, F.col("seq"), hot_rows)
+    log = events.select(key, "seq", "ts", "kind", "address", "application_id", F.col("seq").alias("_at")).unionByName(
+        created.selectExpr(
             key,
-            F.lit(None).cast("long").alias("seq"),
-            F.col("created_at").alias("ts"),
-            F.lit(S.CREATE).alias("kind"),
-            F.lit(None).cast("string").alias("address"),
-            F.lit(None).cast("string").alias("application_id"),
+            "cast(null AS bigint) AS seq",
+            "created_at AS ts",
+            f"'{S.CREATE}' AS kind",
+            "cast(null AS string) AS address",
+            "cast(null AS string) AS application_id",
+            f"{-(1 << 62)}L AS _at",
         )
     )
-    order = F.coalesce("seq", F.lit(-(1 << 63)))
+    at = F.col("_at")
     across = Window.partitionBy(key).orderBy(SLICE)
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
-
-    carried = (
-        with_slices(log, slices, [key], order, hot_only=True)
-        .groupBy(key, SLICE)
-        .agg(*fold_facts(order))
-        .select(
-            key,
-            SLICE,
-            F.last("last_set", ignorenulls=True).over(before).alias("last_set"),
-            F.max("last_health").over(before).alias("last_health"),
-            F.max("launch_failed").over(before).alias("launch_failed"),
-            F.last("last_app", ignorenulls=True).over(before).alias("last_app"),
-            F.row_number().over(across).alias("_nth"),
-        )
-        .where(F.col("_nth") > 1)
-        .select(
-            key,
-            SLICE,
-            F.col("last_set.kind").alias("_set_before"),
-            F.col("last_app").alias("_app_before"),
-            F.struct(*end_state()).alias("_status_before"),
-        )
-    )
+    within = Window.partitionBy(key, SLICE).orderBy("_at")
+    earlier = within.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def changes(sliced: DataFrame) -> DataFrame:
-        within = Window.partitionBy(key, SLICE).orderBy(order)
-        earlier = within.rowsBetween(Window.unboundedPreceding, -1)
-        so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        kind = F.col("kind")
-        set_before = F.coalesce(
-            F.last(F.when(is_unguarded(kind), kind), ignorenulls=True).over(earlier), F.col("_set_before")
-        )
-        app = F.coalesce(
-            F.last(F.when(kind == S.REGISTER, F.struct("application_id")), ignorenulls=True).over(so_far),
-            F.col("_app_before"),
-        )
-        effective = (
-            F.when(kind == S.LAUNCH_FAILED, F.col("_set").isNull())
-            .when(kind == S.HEALTH_FAILED, F.coalesce(F.col("_set") == S.REGISTER, F.lit(False)))
-            .otherwise(True)
-        )
-        status = F.struct(
-            state_after(kind).alias("state"),
-            F.when(kind == S.REGISTER, F.col("address")).alias("address"),
-            F.col("_app.application_id").alias("application_id"),
-        )
+        set_before = F.last(F.expr(f"CASE WHEN {UNGUARDED} THEN kind END"), ignorenulls=True).over(earlier)
+        app = F.last(F.expr(f"CASE WHEN kind = '{S.REGISTER}' THEN struct(application_id) END"), ignorenulls=True)
+        app = app.over(so_far)
+        previous = F.lag("_status").over(within)
+        rows = sliced.repartition(key, SLICE)
+        if slices.table is not None:
+            rows = rows.join(F.broadcast(carried), [key, SLICE], "left")
+            set_before = F.coalesce(set_before, F.col("_set_before"))
+            app = F.coalesce(app, F.col("_app_before"))
+            previous = F.coalesce(previous, F.col("_status_before"))
+        effective = f"""CASE kind WHEN '{S.LAUNCH_FAILED}' THEN _set IS NULL
+            WHEN '{S.HEALTH_FAILED}' THEN _set <=> '{S.REGISTER}' ELSE true END"""
+        status = f"""struct({state_after("kind")} AS state, CASE WHEN kind = '{S.REGISTER}' THEN address END AS address,
+            _app.application_id AS application_id)"""
         return (
-            sliced.repartition(key, SLICE)
-            .join(F.broadcast(carried), [key, SLICE], "left")
-            .withColumn("_set", set_before)
-            .withColumn("_app", app)
+            rows.withColumns({"_set": set_before, "_app": app})
             .where(effective)
-            .withColumn("_status", status)
-            .withColumn("_previous", F.coalesce(F.lag("_status").over(within), F.col("_status_before")))
-            .where(F.col("_previous").isNull() | ~F.col("_previous").eqNullSafe(F.col("_status")))
-            .select(key, SLICE, "seq", "ts", "_status")
+            .withColumn("_status", F.expr(status))
+            .withColumn("_previous", previous)
+            .where("_previous IS NULL OR NOT _previous <=> _status")
+            .select(key, SLICE, "seq", "_at", "ts", "_status")
         )
 
-    next_change = (
-        changes(with_slices(log, slices, [key], order, hot_only=True))
-        .groupBy(key, SLICE)
-        .agg(F.min_by("ts", order).alias("_first"))
-        .select(key, SLICE, F.lead("_first").over(across).alias("_next_slice"))
-    )
-    within = Window.partitionBy(key, SLICE).orderBy(order)
-    return (
-        changes(with_slices(log, slices, [key], order))
-        .join(F.broadcast(next_change), [key, SLICE], "left")
-        .select(
-            key,
-            "seq",
-            F.col("ts").alias("valid_from"),
-            F.coalesce(F.lead("ts").over(within), F.col("_next_slice")).alias("valid_to"),
-            "_status.*",
+    valid_to = F.lead("ts").over(within)
+    if slices.table is not None:
+        before = across.rowsBetween(Window.unboundedPreceding, -1)
+        carried = (
+            slices.hot(log, at)
+            .groupBy(key, SLICE)
+            .agg(*fold_facts("_at"))
+            .select(
+                key,
+                SLICE,
+                F.last("last_set", ignorenulls=True).over(before).alias("last_set"),
+                F.max("last_health").over(before).alias("last_health"),
+                F.max("launch_failed").over(before).alias("launch_failed"),
+                F.last("last_app", ignorenulls=True).over(before).alias("last_app"),
+                F.row_number().over(across).alias("_nth"),
+            )
+            .where("_nth > 1")
+            .select(
+                key,
+                SLICE,
+                F.expr("last_set.kind AS _set_before"),
+                F.expr("last_app AS _app_before"),
+                F.struct(*end_state()).alias("_status_before"),
+            )
         )
-    )
+        next_change = (
+            changes(slices.hot(log, at))
+            .groupBy(key, SLICE)
+            .agg(F.min_by("ts", "_at").alias("_first"))
+            .select(key, SLICE, F.lead("_first").over(across).alias("_next_slice"))
+        )
+        valid_to = F.coalesce(valid_to, F.col("_next_slice"))
+    rows = changes(slices.assign(log, at))
+    if slices.table is not None:
+        rows = rows.join(F.broadcast(next_change), [key, SLICE], "left")
+    return rows.select(key, "seq", F.col("ts").alias("valid_from"), valid_to.alias("valid_to"), "_status.*")
 
 
 def launch_timeouts(
@@ -153,7 +122,7 @@ def launch_timeouts(
     exits: DataFrame,
     timeout_s: int,
     observed_until,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Outcome per launch: registered, exited, timed_out or pending.
 
@@ -163,67 +132,62 @@ def launch_timeouts(
     next callback and exit with one linear pass per (session, slice), not by pairing.
     """
     key = "session_key"
-    ts_type = launches.schema["ts"].dataType
-    until = moment(observed_until, ts_type)
+    until = moment(observed_until, launches.schema["ts"].dataType)
     no_id = F.lit(None).cast(launches.schema["launch_id"].dataType).alias("launch_id")
     known = F.col("ts") <= until
     log = (
         launches.select(key, "launch_id", "ts", F.lit(0).alias("_what"))
         .unionByName(callbacks.where(known).select(key, no_id, "ts", F.lit(1).alias("_what")))
         .unionByName(exits.where(known).select(key, no_id, "ts", F.lit(2).alias("_what")))
+        .withColumn("_at", micros(F.col("ts")))
     )
-    order = micros(F.col("ts"))
-    slices = hot_slices(log, [key], order, hot_rows)
-    sliced = with_slices(log, slices, [key], order).withColumn("_o", order)
-
-    callback = F.when(F.col("_what") == 1, F.col("ts"))
-    exit_ts = F.when(F.col("_what") == 2, F.col("ts"))
-    later = Window.partitionBy(key).orderBy(F.col(SLICE).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        with_slices(log, slices, [key], order, hot_only=True)
-        .groupBy(key, SLICE)
-        .agg(F.min(callback).alias("_c"), F.min(exit_ts).alias("_e"))
-        .select(
-            key,
-            SLICE,
-            F.last("_c", ignorenulls=True).over(later).alias("_callback_later"),
-            F.last("_e", ignorenulls=True).over(later).alias("_exit_later"),
-        )
-    )
+    slices = find_slices(log, key, F.col("_at"), hot_rows)
+    callback, exit_ts = F.expr("CASE WHEN _what = 1 THEN ts END"), F.expr("CASE WHEN _what = 2 THEN ts END")
     # Backwards in time, launches last among equals, so "last seen" is the next one at or after the launch.
     back = (
         Window.partitionBy(key, SLICE)
-        .orderBy(F.col("_o").desc(), F.col("_what").desc())
+        .orderBy(F.col("_at").desc(), F.col("_what").desc())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ahead = (
-        sliced.repartition(key, SLICE)
-        .join(F.broadcast(carried), [key, SLICE], "left")
-        .withColumn("registered_at", F.coalesce(F.last(callback, ignorenulls=True).over(back), "_callback_later"))
-        .withColumn("_exit", F.coalesce(F.last(exit_ts, ignorenulls=True).over(back), "_exit_later"))
-        .where(F.col("_what") == 0)
-    )
+    next_callback = F.last(callback, ignorenulls=True).over(back)
+    next_exit = F.last(exit_ts, ignorenulls=True).over(back)
+    rows = slices.assign(log, F.col("_at")).repartition(key, SLICE)
+    if slices.table is not None:
+        later = Window.partitionBy(key).orderBy(F.col(SLICE).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        carried = (
+            slices.hot(log, F.col("_at"))
+            .groupBy(key, SLICE)
+            .agg(F.min(callback).alias("_c"), F.min(exit_ts).alias("_e"))
+            .select(
+                key,
+                SLICE,
+                F.last("_c", ignorenulls=True).over(later).alias("_callback_later"),
+                F.last("_e", ignorenulls=True).over(later).alias("_exit_later"),
+            )
+        )
+        rows = rows.join(F.broadcast(carried), [key, SLICE], "left")
+        next_callback = F.coalesce(next_callback, F.col("_callback_later"))
+        next_exit = F.coalesce(next_exit, F.col("_exit_later"))
     deadline = plus_seconds(F.col("ts"), timeout_s)
-    exited = F.coalesce(F.col("_exit") <= deadline, F.lit(False))
-    fails_at = F.when(exited, F.col("_exit")).otherwise(deadline)
     outcome = (
-        F.when(F.col("registered_at") <= F.col("_fails_at"), "registered")
-        .when(exited, "exited")
-        .when(F.col("_fails_at") <= until, "timed_out")
+        F.when(F.col("registered_at") <= F.coalesce(F.least("_exit", "_deadline"), "_deadline"), "registered")
+        .when(F.col("_exit") <= F.col("_deadline"), "exited")
+        .when(F.col("_deadline") <= until, "timed_out")
         .otherwise("pending")
     )
-    failed = F.col("outcome").isin("exited", "timed_out")
+    failed_at = "CASE outcome WHEN 'exited' THEN _exit WHEN 'timed_out' THEN _deadline END AS failed_at"
     return (
-        ahead.withColumn("_fails_at", fails_at)
+        rows.withColumns({"registered_at": next_callback, "_exit": next_exit, "_deadline": deadline})
+        .where("_what = 0")
         .withColumn("outcome", outcome)
-        .select(
+        .selectExpr(
             key,
             "launch_id",
-            F.col("ts").alias("launched_at"),
+            "ts AS launched_at",
             "registered_at",
-            F.when(failed, F.col("_fails_at")).alias("failed_at"),
+            failed_at,
             "outcome",
-            (failed & F.col("registered_at").isNotNull()).alias("revived"),
+            "outcome IN ('exited', 'timed_out') AND registered_at IS NOT NULL AS revived",
         )
     )
 

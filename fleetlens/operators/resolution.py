@@ -9,14 +9,7 @@ from fleetlens import schemas as S
 from fleetlens.functions.clock import SECOND, ceil_div, micros, plus_seconds
 from fleetlens.functions.headers import grpc_header_outcome, grpc_token
 from fleetlens.plans.asof import asof_lookup
-from fleetlens.plans.slices import (
-    HOT_ROWS,
-    SLICE,
-    hot_slices,
-    lookup_per_slice,
-    spread_unkeyed,
-    with_slices,
-)
+from fleetlens.plans.slices import HOT_ROWS, SLICE, Slices, find_slices, spread_unkeyed
 
 
 def _mismatch() -> Column:
@@ -39,8 +32,8 @@ def resolve_requests(
     requests: DataFrame,
     history: DataFrame,
     windows: DataFrame | None = None,
-    slices: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    slices: Slices | None = None,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Outcome, state and target of each request, by the state of its session at that time.
 
@@ -61,10 +54,10 @@ def resolve_requests(
         both = requests.select(key, at.alias("_o")).unionByName(
             history.select(key, micros(F.col("valid_from")).alias("_o"))
         )
-        slices = hot_slices(both, [key], F.col("_o"), hot_rows)
+        slices = find_slices(both, key, F.col("_o"), hot_rows)
 
     header = grpc_header_outcome(F.col("auth_header"))
-    parsed = requests.select("req_id", "ts", key, "path", "auth_header", "conn_token").select(
+    parsed = requests.select(
         "req_id",
         "ts",
         F.when(header == "ok", F.col(key)).alias(key),
@@ -73,8 +66,8 @@ def resolve_requests(
         grpc_token(F.col("auth_header")).alias("_token"),
         "conn_token",
     )
-    sliced = with_slices(parsed, slices, [key], at).withColumn(SLICE, spread_unkeyed(F.col(key), F.col("req_id")))
-    found = sliced.join(lookup_per_slice(windows, slices, [key]), [key, SLICE], "left").drop(SLICE)
+    sliced = slices.assign(parsed, at).withColumn(SLICE, spread_unkeyed(key, "req_id"))
+    found = sliced.join(slices.repeat(windows), [key, SLICE], "left")
 
     known = F.coalesce(F.col("created_at") <= F.col("ts"), F.lit(False))
     waits = F.col("launch_end").isNull() | (F.col("ts") < F.col("launch_end"))
@@ -83,26 +76,25 @@ def resolve_requests(
         F.when(F.col("_header") != "ok", "unauthenticated")
         .when(~known, "not_found")
         .when(_mismatch(), "token_mismatch")
-        .when(waits & F.col("launch_end").isNull(), "pending")
-    )
-    looked_up = (
-        found.withColumn("_early", early)
-        .withColumn("answered_at", F.when(waits, plus_seconds(F.col("ts"), wait_s)).otherwise(F.col("ts")))
-        .withColumn("_key", F.when(F.col("_early").isNull(), F.col(key)))
-        .select("req_id", "ts", key, "path", "_early", "answered_at", "_key")
+        .when(F.col("launch_end").isNull(), "pending")
     )
-    facts = history.select(
-        F.col(key).alias("_key"), "valid_from", micros(F.col("valid_to")).alias("_until"), "state", "address", "seq"
+    looked_up = found.select(
+        "req_id",
+        "path",
+        F.col(key).alias("_session"),
+        early.alias("_early"),
+        F.when(waits, plus_seconds(F.col("ts"), wait_s)).otherwise(F.col("ts")).alias("answered_at"),
+        F.when(early.isNull(), F.col(key)).alias(key),
     )
+    facts = history.select(key, "valid_from", micros(F.col("valid_to")).alias("_until"), "state", "address", "seq")
     answered = asof_lookup(
         looked_up,
         facts,
-        "_key",
+        slices,
         left_order=micros(F.col("answered_at")),
         right_order=micros(F.col("valid_from")),
-        right_tie=F.coalesce("seq", F.lit(-(1 << 63))),
+        right_tie=F.expr(f"coalesce(seq, {-(1 << 62)}L)"),
         row_id="req_id",
-        slices=slices.withColumnRenamed(key, "_key"),
     )
     covered = F.col("found").isNotNull() & (
         F.col("found._until").isNull() | (micros(F.col("answered_at")) < F.col("found._until"))
@@ -121,7 +113,7 @@ def resolve_requests(
         .withColumn("_state", F.when(F.col("_early").isNull() & covered, state))
         .select(
             "req_id",
-            key,
+            F.col("_session").alias(key),
             "outcome",
             F.col("_state").alias("state"),
             F.when(F.col("outcome") == "ok", _target(address)).alias("target"),

@@ -13,7 +13,7 @@ from fleetlens.functions.headers import (
     user_header_outcome,
 )
 from fleetlens.functions.routes import USER_ROUTES, is_grpc, route_of
-from fleetlens.plans.slices import HOT_ROWS, SLICE, hot_slices, with_slices
+from fleetlens.plans.slices import HOT_ROWS, SLICE, find_slices
 
 _MAX_METHOD_ORD = 62
 
@@ -122,7 +122,7 @@ def control_traffic(requests: DataFrame) -> DataFrame:
     )
 
 
-def mark_reuse(requests: DataFrame, invalidations: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def mark_reuse(requests: DataFrame, invalidations: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Requests of known sessions with ``cached``: false for the first after the start or an invalidation.
 
     ``requests(session_key, req_id, ts)``, ``invalidations(session_key, ts)``. A request opens a connection
@@ -135,30 +135,30 @@ def mark_reuse(requests: DataFrame, invalidations: DataFrame, hot_rows: int = HO
         requests.where(F.col(key).isNotNull())
         .select(key, "req_id", "ts", F.lit(1).alias("_what"))
         .unionByName(invalidations.select(key, no_id, "ts", F.lit(0).alias("_what")))
+        .withColumn("_at", micros(F.col("ts")))
     )
-    order = micros(F.col("ts"))
-    slices = hot_slices(log, [key], order, hot_rows)
-    across = Window.partitionBy(key).orderBy(SLICE)
-    carried = (
-        with_slices(log, slices, [key], order, hot_only=True)
-        .groupBy(key, SLICE)
-        .agg(F.max(F.struct(order, "_what")).alias("_newest"))
-        .select(key, SLICE, F.lag("_newest._what").over(across).alias("_before"))
-    )
-    within = Window.partitionBy(key, SLICE).orderBy("_o", "_what", "req_id")
-    previous = F.coalesce(F.lag("_what").over(within), F.col("_before"), F.lit(0))
+    slices = find_slices(log, key, F.col("_at"), hot_rows)
+    previous = F.lag("_what").over(Window.partitionBy(key, SLICE).orderBy("_at", "_what", "req_id"))
+    rows = slices.assign(log, F.col("_at")).repartition(key, SLICE)
+    if slices.table is not None:
+        carried = (
+            slices.hot(log, F.col("_at"))
+            .groupBy(key, SLICE)
+            .agg(F.expr("max(struct(_at, _what)) AS _newest"))
+            .select(
+                key, SLICE, F.lag("_newest._what").over(Window.partitionBy(key).orderBy(SLICE)).alias("_before")
+            )
+        )
+        rows = rows.join(F.broadcast(carried), [key, SLICE], "left")
+        previous = F.coalesce(previous, F.col("_before"))
     return (
-        with_slices(log, slices, [key], order)
-        .withColumn("_o", order)
-        .repartition(key, SLICE)
-        .join(F.broadcast(carried), [key, SLICE], "left")
-        .withColumn("cached", previous == 1)
-        .where(F.col("_what") == 1)
+        rows.withColumn("cached", F.coalesce(previous, F.lit(0)) == 1)
+        .where("_what = 1")
         .select(key, "req_id", "ts", "cached")
     )
 
 
-def upstream_reuse(requests: DataFrame, invalidations: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def upstream_reuse(requests: DataFrame, invalidations: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Connections opened (misses) and reused (hits) per session."""
     return (
         mark_reuse(requests, invalidations, hot_rows)

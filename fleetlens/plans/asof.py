@@ -8,76 +8,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.plans.slices import SLICE, every_slice, spread_unkeyed, with_slices
+from fleetlens.plans.slices import SLICE, Slices, spread_unkeyed
 
 
 def asof_lookup(
     left: DataFrame,
     right: DataFrame,
-    key: str,
+    slices: Slices,
     left_order: Column,
     right_order: Column,
     right_tie: Column,
     row_id: str,
-    slices: DataFrame,
-    found: str = "found",
 ) -> DataFrame:
     """``left`` plus a struct column ``found``: the last ``right`` row with right_order <= left_order.
 
-    Left rows with a null key are kept with a null ``found``.
+    The key is that of ``slices``. Left rows with a null key are kept with a null ``found``.
     """
-    payload = F.struct(*[F.col(c) for c in right.columns])
-    left_rows = (
-        with_slices(left.withColumn("_o", left_order), slices, [key], F.col("_o"))
-        .withColumn(SLICE, spread_unkeyed(F.col(key), F.col(row_id)))
-        .select(
-            key,
-            SLICE,
-            "_o",
-            F.lit(1).alias("_side"),
-            F.lit(None).cast("long").alias("_tie"),
-            F.struct(*[F.col(c) for c in left.columns]).alias("_l"),
-            F.lit(None).cast(_struct_type(right)).alias("_r"),
-        )
-    )
-
-    def right_rows(hot_only: bool) -> DataFrame:
-        ordered = right.withColumn("_r", payload).withColumn("_o", right_order).withColumn("_tie", right_tie)
-        return with_slices(ordered, slices, [key], F.col("_o"), hot_only)
-
-    merged = left_rows.unionByName(
-        right_rows(False).select(
-            key,
-            SLICE,
-            "_o",
-            F.lit(0).alias("_side"),
-            "_tie",
-            F.lit(None).cast(_struct_type(left)).alias("_l"),
-            "_r",
-        )
+    key = slices.key
+    at = left.select(
+        key,
+        left_order.alias("_o"),
+        F.lit(1).alias("_side"),
+        F.expr("cast(null AS bigint) AS _tie"),
+        F.struct(*left.columns).alias("_l"),
+        F.lit(None).cast(right.schema).alias("_r"),
+        F.col(row_id).alias("_id"),
     )
-    newest = (
-        right_rows(True).groupBy(key, SLICE).agg(F.max_by("_r", F.struct("_o", "_tie")).alias("_newest"))
+    facts = right.select(
+        key,
+        right_order.alias("_o"),
+        F.lit(0).alias("_side"),
+        right_tie.alias("_tie"),
+        F.lit(None).cast(left.schema).alias("_l"),
+        F.struct(*right.columns).alias("_r"),
     )
-    earlier = Window.partitionBy(key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        every_slice(slices, [key])
-        .join(newest, [key, SLICE], "left")
-        .select(key, SLICE, F.last("_newest", ignorenulls=True).over(earlier).alias("_carry"))
+    kept = [key, SLICE, "_o", "_side", "_tie", "_l", "_r"]
+    merged = (
+        slices.assign(at, F.col("_o"))
+        .withColumn(SLICE, spread_unkeyed(key, "_id"))
+        .select(*kept)
+        .unionByName(slices.assign(facts, F.col("_o")).select(*kept))
+        .repartition(key, SLICE)
     )
     upto = (
         Window.partitionBy(key, SLICE)
         .orderBy("_o", "_side", "_tie")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
-        merged.repartition(key, SLICE)
-        .join(F.broadcast(carry), [key, SLICE], "left")
-        .withColumn(found, F.coalesce(F.last("_r", ignorenulls=True).over(upto), F.col("_carry")))
-        .where(F.col("_side") == 1)
-        .select("_l.*", found)
-    )
-
-
-def _struct_type(df: DataFrame):
-    return df.schema
+    latest = F.last("_r", ignorenulls=True).over(upto)
+    if slices.table is not None:
+        earlier = Window.partitionBy(key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        newest = slices.hot(facts, F.col("_o")).groupBy(key, SLICE).agg(F.expr("max_by(_r, struct(_o, _tie)) AS _newest"))
+        carried = (
+            slices.each()
+            .join(newest, [key, SLICE], "left")
+            .select(key, SLICE, F.last("_newest", ignorenulls=True).over(earlier).alias("_carried"))
+        )
+        merged = merged.join(F.broadcast(carried), [key, SLICE], "left")
+        latest = F.coalesce(latest, F.col("_carried"))
+    return merged.withColumn("found", latest).where("_side = 1").select("_l.*", "found")

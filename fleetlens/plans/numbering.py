@@ -5,30 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.plans.slices import HOT_ROWS, SLICE, hot_slices, with_slices
-
-_ALL = "_all"
+from fleetlens.plans.slices import HOT_ROWS, SLICE, find_slices
 
 
 def dense_number(rows: DataFrame, order: Column, tie: Column, out: str, slice_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``out`` = 1.. in (order, tie) order.
 
-    The table is treated as one hot key: cut into slices, counted per slice, and numbered inside
-    each slice from the slice's offset. The offsets are one row per slice, broadcast.
+    The table is treated as one key: if it has more than ``slice_rows`` rows it is cut into slices,
+    which are counted and then numbered from their offsets. The offsets, one row per slice, are
+    broadcast.
     """
-    keyed = rows.withColumn(_ALL, F.lit(0)).withColumn("_o", order.cast("long")).withColumn("_t", tie)
-    slices = hot_slices(keyed, [_ALL], F.col("_o"), slice_rows)
-    sliced = with_slices(keyed, slices, [_ALL], F.col("_o"))
-    earlier = Window.partitionBy(_ALL).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        with_slices(keyed, slices, [_ALL], F.col("_o"), hot_only=True)
-        .groupBy(_ALL, SLICE)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(SLICE, F.sum("_n").over(earlier).alias("_before"))
-    )
-    inside = Window.partitionBy(SLICE).orderBy("_o", "_t")
-    return (
-        sliced.join(F.broadcast(offsets), SLICE, "left")
-        .withColumn(out, F.coalesce("_before", F.lit(0)) + F.row_number().over(inside))
-        .drop(_ALL, "_o", "_t", "_before", SLICE)
-    )
+    keyed = rows.withColumn("_all", F.lit(0)).withColumn("_o", order.cast("long")).withColumn("_t", tie)
+    slices = find_slices(keyed, "_all", F.col("_o"), slice_rows)
+    sliced = slices.assign(keyed, F.col("_o"))
+    number = F.row_number().over(Window.partitionBy(SLICE).orderBy("_o", "_t"))
+    if slices.table is not None:
+        earlier = Window.partitionBy("_all").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = (
+            slices.hot(keyed, F.col("_o"))
+            .groupBy("_all", SLICE)
+            .agg(F.expr("count(1) AS _n"))
+            .select(SLICE, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        )
+        sliced = sliced.join(F.broadcast(offsets), SLICE, "left")
+        number = F.col("_before") + number
+    return sliced.withColumn(out, number).select(*rows.columns, out)

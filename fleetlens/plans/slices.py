@@ -1,90 +1,110 @@
 """Cutting the hot keys of an ordered log into slices that separate tasks can work on.
 
-A window partitioned by key sends a whole key to one task, which AQE can't split. So keys with
-more than ``hot_rows`` rows get their order range cut at approximate quantiles (even depth, so
-bursts are cut too), windows run per (key, slice), and what a slice needs from its neighbours is
-carried in from a small per-slice summary.
+A window partitioned by key sends a whole key to one task, which AQE can't split. So the rows per
+key are counted first (one aggregation over the key column), and keys with more than ``hot_rows`` rows
+get their order range cut at approximate quantiles; even depth, so bursts are cut too. Windows
+run per (key, slice), and what a slice needs from its neighbours is carried in from a small
+per-slice summary. Without hot keys the plan has none of this.
 
 Sizes: with N rows there are fewer than N / hot_rows hot keys and at most about 3 * N / hot_rows
-slices in total, so the slice table and the carries are broadcast on a proven bound (1e12 rows
-and the default give under 300,000 rows). Slices depend only on the row's key and order value;
-any slicing gives the same result, so approximate quantiles are safe.
+slices in all. The slice table is fetched once and broadcast, as are the per-slice summaries:
+1e12 rows and the default give under 300,000 rows. A slice depends only on a row's key and order
+value and any slicing gives the same result, so approximate quantiles are safe.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 10_000_000
 SLICE = "_slice"
-COLD = 0
 
 _POINTS = 128
-_CUTS = "_cuts"
-_FINE = "_fine"
-N_SLICES = "_n_slices"
-
-
-def hot_slices(rows: DataFrame, keys: list[str], order: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per key holding more than ``hot_rows`` rows, with the cut points of its slices."""
-    narrow = rows.select(*keys, order.cast("long").alias("_o"))
-    counts = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    points = [i / _POINTS for i in range(_POINTS + 1)]
-    coarse = F.least(F.lit(_POINTS), F.ceil(F.col("_n") / hot_rows)).cast("int")
-    picked = F.transform(
-        F.sequence(F.lit(0), F.col("_coarse")),
-        lambda i: F.get(F.col("_p"), F.floor(i * _POINTS / F.col("_coarse")).cast("int")),
-    )
-    return (
-        narrow.join(F.broadcast(counts), keys)
-        .groupBy(*keys)
-        .agg(F.max("_n").alias("_n"), F.percentile_approx("_o", points).alias("_p"))
-        .withColumn("_coarse", coarse)
-        .select(
-            *keys,
-            picked.alias(_CUTS),
-            F.ceil(F.col("_n") / (F.col("_coarse") * hot_rows)).cast("int").alias(_FINE),
+_STEPS = ", ".join(str(_POINTS >> i) for i in range(1, 8))
+
+# Quantile cell by bisection over the cut points, then an even split of the cell.
+_CELL = f"""aggregate(array({_STEPS}), 0, (at, step) -> CASE
+    WHEN at + step < size(_cuts) - 1 AND get(_cuts, at + step) <= _order THEN at + step ELSE at END)"""
+_INSIDE = """CASE WHEN get(_cuts, _cell + 1) > get(_cuts, _cell)
+    THEN greatest(0, least(_fine - 1, floor((double(_order) - double(get(_cuts, _cell)))
+         / (double(get(_cuts, _cell + 1)) - double(get(_cuts, _cell))) * _fine))) ELSE 0 END"""
+
+
+@dataclass(frozen=True)
+class Slices:
+    """The hot keys of a log and their cut points; ``table`` is None if no key is hot."""
+
+    key: str
+    table: DataFrame | None
+
+    def assign(self, rows: DataFrame, order: Column) -> DataFrame:
+        """Add the slice number: 0 for ordinary keys, 1.. for hot ones."""
+        if self.table is None:
+            return rows.withColumn(SLICE, F.lit(0))
+        return self._numbered(rows, order, "left")
+
+    def hot(self, rows: DataFrame, order: Column) -> DataFrame:
+        """Only the rows of hot keys, with their slice number."""
+        return self._numbered(rows, order, "inner")
+
+    def _numbered(self, rows: DataFrame, order: Column, how: str) -> DataFrame:
+        joined = rows.withColumn("_order", order.cast("long")).join(F.broadcast(self.table), self.key, how)
+        return (
+            joined.withColumn("_cell", F.expr(f"CASE WHEN _cuts IS NOT NULL THEN {_CELL} END"))
+            .withColumn(SLICE, F.expr(f"CASE WHEN _cuts IS NULL THEN 0 ELSE int(1 + _cell * _fine + {_INSIDE}) END"))
+            .select(*rows.columns, SLICE)
         )
-        .withColumn(N_SLICES, (F.size(_CUTS) - 1) * F.col(_FINE))
-    )
-
 
-def slice_of(order: Column) -> Column:
-    """Slice number from the cut points: quantile cell by bisection, then an even split of the cell."""
-    cuts, fine = F.col(_CUTS), F.col(_FINE)
-    cells = F.size(cuts) - 1
-    cell = F.aggregate(
-        F.array(*[F.lit(_POINTS >> i) for i in range(1, 8)]),
-        F.lit(0),
-        lambda at, step: F.when((at + step < cells) & (F.get(cuts, at + step) <= order), at + step).otherwise(at),
+    def each(self) -> DataFrame:
+        """One row per (hot key, slice)."""
+        return self.table.select(self.key, F.expr(f"explode(sequence(1, _n_slices)) AS {SLICE}"))
+
+    def repeat(self, lookup: DataFrame) -> DataFrame:
+        """``lookup`` (unique by key) once per slice of its key, so a join on (key, slice) has no hot key."""
+        if self.table is None:
+            return lookup.withColumn(SLICE, F.lit(0))
+        joined = lookup.join(F.broadcast(self.table.select(self.key, "_n_slices")), self.key, "left")
+        numbers = "if(_n_slices IS NULL, array(0), sequence(1, _n_slices))"
+        return joined.select(*lookup.columns, F.expr(f"explode({numbers}) AS {SLICE}"))
+
+
+def find_slices(rows: DataFrame, key: str, order: Column, hot_rows: int | None = HOT_ROWS) -> Slices:
+    """Count the rows per key and cut the hot ones. Runs one small job, two if there are hot keys.
+
+    ``hot_rows=None`` skips the count for logs known to have no hot key.
+    """
+    if hot_rows is None:
+        return Slices(key, None)
+    narrow = rows.select(key, order.cast("long").alias("_o"))
+    counts = narrow.groupBy(key).agg(F.expr("count(1) AS _n")).where(F.col("_n") > hot_rows)
+    hot = _fetched(counts)
+    if hot is None:
+        return Slices(key, None)
+    points = ", ".join(f"{i / _POINTS}D" for i in range(_POINTS + 1))
+    table = (
+        narrow.join(F.broadcast(hot), key)
+        .groupBy(key)
+        .agg(F.expr("max(_n) AS _n"), F.expr(f"percentile_approx(_o, array({points})) AS _p"))
+        .withColumn("_coarse", F.expr(f"int(least({_POINTS}, ceil(_n / {hot_rows})))"))
+        .select(
+            key,
+            F.expr(f"transform(sequence(0, _coarse), i -> get(_p, int(floor(i * {_POINTS} / _coarse)))) AS _cuts"),
+            F.expr(f"int(ceil(_n / (_coarse * {hot_rows}))) AS _fine"),
+        )
+        .withColumn("_n_slices", F.expr("int((size(_cuts) - 1) * _fine)"))
     )
-    low, high = F.get(cuts, cell).cast("double"), F.get(cuts, cell + 1).cast("double")
-    share = F.when(high > low, F.floor((order.cast("double") - low) / (high - low) * fine)).otherwise(0)
-    inside = F.greatest(F.lit(0), F.least(fine - 1, share)).cast("int")
-    return F.when(cuts.isNull(), F.lit(COLD)).otherwise(1 + cell * fine + inside).cast("int")
-
-
-def with_slices(rows: DataFrame, slices: DataFrame, keys: list[str], order: Column, hot_only: bool = False) -> DataFrame:
-    """Add the slice number: 0 for ordinary keys, 1.. for hot ones. ``hot_only`` keeps just the hot rows."""
-    joined = rows.join(F.broadcast(slices), keys, "inner" if hot_only else "left")
-    return joined.withColumn(SLICE, slice_of(order.cast("long"))).drop(_CUTS, _FINE, N_SLICES)
+    return Slices(key, _fetched(table))
 
 
-def every_slice(slices: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per (hot key, slice)."""
-    return slices.select(*keys, F.explode(F.sequence(F.lit(1), F.col(N_SLICES))).alias(SLICE))
-
-
-def lookup_per_slice(lookup: DataFrame, slices: DataFrame, keys: list[str]) -> DataFrame:
-    """Repeat the lookup row of a hot key for each of its slices, so a join on (keys, slice) has no hot key."""
-    joined = lookup.join(F.broadcast(slices.select(*keys, N_SLICES)), keys, "left")
-    numbers = F.when(F.col(N_SLICES).isNull(), F.array(F.lit(COLD))).otherwise(
-        F.sequence(F.lit(1), F.col(N_SLICES))
-    )
-    return joined.withColumn(SLICE, F.explode(numbers)).drop(N_SLICES)
+def _fetched(small: DataFrame) -> DataFrame | None:
+    """A result of proven small size, evaluated once; None if it is empty."""
+    rows = small.collect()
+    return small.sparkSession.createDataFrame(rows, small.schema) if rows else None
 
 
-def spread_unkeyed(key: Column, row_id: Column, ways: int = 4096) -> Column:
+def spread_unkeyed(key: str, row_id: str, ways: int = 4096) -> Column:
     """Negative slice numbers for rows without a key, so they don't all hash to one task."""
-    return F.when(key.isNull(), -1 - F.pmod(F.xxhash64(row_id), F.lit(ways))).otherwise(F.col(SLICE)).cast("int")
+    return F.expr(f"int(CASE WHEN {key} IS NULL THEN -1 - pmod(xxhash64({row_id}), {ways}) ELSE {SLICE} END)")
