@@ -381,6 +381,31 @@ SELECT j.session_id, CASE WHEN rejected_reason IS NULL THEN 'LAUNCHING' ELSE 'FA
 FROM judged j LEFT JOIN lines l USING (session_id)""",
     ),
     "stream_registry": _sql(["fx_lifecycle"], _FOLD),
+    # Streams end at their last row, so they report what lies a watermark delay of 1 hour before it.
+    "stream_launch_timeouts": _sql(
+        ["fx_launch_events"],
+        """--ctes
+closed AS (
+  SELECT least(max(ts) FILTER (WHERE kind = 'launch'), max(ts) FILTER (WHERE kind <> 'launch')) - INTERVAL '1' HOUR AS mark
+  FROM fx_launch_events)
+SELECT session_key, event_id AS launch_id, ts AS launched_at, ts + INTERVAL '6' HOUR AS failed_at
+FROM fx_launch_events l, closed
+WHERE l.kind = 'launch' AND (CAST(floor(epoch_us(l.ts) / 21600000000.0) AS BIGINT) + 2) * 21600000000 <= epoch_us(mark)
+  AND NOT EXISTS (SELECT 1 FROM fx_launch_events s WHERE s.kind <> 'launch' AND s.session_key = l.session_key
+    AND s.ts BETWEEN l.ts AND l.ts + INTERVAL '6' HOUR)""",
+    ),
+    "stream_idle_sessions": _sql(
+        ["fx_activity"],
+        """--ctes
+acts AS (
+  SELECT session_key, start_ts, greatest(end_ts, start_ts) + INTERVAL '6' HOUR AS until FROM fx_activity WHERE control IS NULL),
+breaks AS (
+  SELECT *, start_ts > max(until) OVER (PARTITION BY session_key ORDER BY start_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fresh
+  FROM acts),
+spans AS (SELECT *, count(fresh OR NULL) OVER (PARTITION BY session_key ORDER BY start_ts) AS span FROM breaks)
+SELECT session_key, min(start_ts) AS active_from, max(until) AS idle_at, count(*) AS activities FROM spans
+GROUP BY session_key, span HAVING max(until) <= (SELECT max(start_ts) - INTERVAL '1' HOUR FROM acts)""",
+    ),
     "stream_request_resolution": _sql(
         ["fx_registry", "fx_requests"],
         f"""--ctes

@@ -6,20 +6,22 @@ get their order range cut at approximate quantiles; even depth, so bursts are cu
 run per (key, slice), and what a slice needs from its neighbours is carried in from a small
 per-slice summary. Without hot keys the plan has none of this.
 
-Sizes: with N rows there are fewer than N / hot_rows hot keys and at most about 3 * N / hot_rows
-slices in all. The slice table is fetched once and broadcast, as are the per-slice summaries:
-1e12 rows and the default give under 300,000 rows. A slice depends only on a row's key and order
-value and any slicing gives the same result, so approximate quantiles are safe.
+Sizes: ``hot_rows`` is raised to N / MAX_HOT_KEYS for N rows, so there are fewer than MAX_HOT_KEYS hot
+keys and about three times as many slices in all, whatever N is. That bounds the slice table,
+which is fetched once and broadcast, and the broadcast per-slice summaries. A slice depends only
+on a row's key and order value and any slicing gives the same result, so approximate quantiles
+are safe.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-HOT_ROWS = 10_000_000
+HOT_ROWS = 1_000_000
+MAX_HOT_KEYS = 100_000
 SLICE = "_slice"
 
 _POINTS = 128
@@ -79,10 +81,13 @@ def find_slices(rows: DataFrame, key: str, order: Column, hot_rows: int | None =
     if hot_rows is None:
         return Slices(key, None)
     narrow = rows.select(key, order.cast("long").alias("_o"))
-    counts = narrow.groupBy(key).agg(F.expr("count(1) AS _n")).where(F.col("_n") > hot_rows)
-    hot = _fetched(counts)
-    if hot is None:
+    total = Observation()
+    counted = narrow.select(key).observe(total, F.expr("count(1) AS n")).groupBy(key).agg(F.expr("count(1) AS _n"))
+    found = counted.where(F.col("_n") > hot_rows).collect()  # fewer than N / hot_rows rows
+    if not found:
         return Slices(key, None)
+    hot_rows = max(hot_rows, total.get["n"] // MAX_HOT_KEYS)
+    hot = _local(counted, [row for row in found if row["_n"] > hot_rows])
     points = ", ".join(f"{i / _POINTS}D" for i in range(_POINTS + 1))
     table = (
         narrow.join(F.broadcast(hot), key)
@@ -96,13 +101,11 @@ def find_slices(rows: DataFrame, key: str, order: Column, hot_rows: int | None =
         )
         .withColumn("_n_slices", F.expr("int((size(_cuts) - 1) * _fine)"))
     )
-    return Slices(key, _fetched(table))
+    return Slices(key, _local(table, table.collect()))
 
 
-def _fetched(small: DataFrame) -> DataFrame | None:
-    """A result of proven small size, evaluated once; None if it is empty."""
-    rows = small.collect()
-    return small.sparkSession.createDataFrame(rows, small.schema) if rows else None
+def _local(like: DataFrame, rows: list) -> DataFrame:
+    return like.sparkSession.createDataFrame(rows, like.schema)
 
 
 def spread_unkeyed(key: str, row_id: str, ways: int = 4096) -> Column:
