@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fleetlens import schemas as S
 from fleetlens.catalog.fixtures import view, view_stream, with_zone, without_zone
 from fleetlens.functions.clock import micros
-from fleetlens.functions.headers import grpc_header_outcome
+from fleetlens.functions.headers import has_grpc_token
 from fleetlens.functions.routes import is_grpc
 from fleetlens.operators import launch, lifecycle, registry, resolution, traffic, transitions
 from fleetlens.plans.slices import find_slices
@@ -148,7 +148,7 @@ def _request_outcomes(spark, sf):
 
 
 def _upstream_reuse(spark, sf):
-    valid = _grpc_requests(spark, sf).where(grpc_header_outcome(F.col("auth_header")) == "ok")
+    valid = _grpc_requests(spark, sf).where(has_grpc_token(F.col("auth_header")))
     ended = view(spark, sf, "fx_lifecycle").where(F.col("kind").isin(S.UNREGISTER, S.STOP))
     return traffic.upstream_reuse(valid, ended)
 

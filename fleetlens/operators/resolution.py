@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import schemas as S
 from fleetlens.functions.clock import SECOND, ceil_div, micros, plus_seconds
-from fleetlens.functions.headers import grpc_header_outcome, grpc_token
+from fleetlens.functions.headers import grpc_token, has_grpc_token
 from fleetlens.plans.asof import asof_lookup
 from fleetlens.plans.slices import HOT_ROWS, SLICE, Slices, find_slices, spread_unkeyed
 
@@ -56,13 +56,12 @@ def resolve_requests(
         )
         slices = find_slices(both, key, F.col("_o"), hot_rows)
 
-    header = grpc_header_outcome(F.col("auth_header"))
+    passes = has_grpc_token(F.col("auth_header"))
     parsed = requests.select(
         "req_id",
         "ts",
-        F.when(header == "ok", F.col(key)).alias(key),
+        F.when(passes, F.col(key)).alias(key),
         "path",
-        header.alias("_header"),
         grpc_token(F.col("auth_header")).alias("_token"),
         "conn_token",
     )
@@ -73,7 +72,7 @@ def resolve_requests(
     waits = F.col("launch_end").isNull() | (F.col("ts") < F.col("launch_end"))
     wait_s = ceil_div(micros(F.col("launch_end")) - at, SECOND)
     early = (
-        F.when(F.col("_header") != "ok", "unauthenticated")
+        F.when(F.col("_token").isNull(), "unauthenticated")
         .when(~known, "not_found")
         .when(_mismatch(), "token_mismatch")
         .when(F.col("launch_end").isNull(), "pending")
@@ -142,19 +141,14 @@ def resolve_against_snapshot(requests: DataFrame, registry: DataFrame) -> DataFr
     Requests may be a stream. Rows without a token get spread join keys of their own, so they don't
     collect in one task; a hot token is split by AQE, as the join is the last step.
     """
-    header = grpc_header_outcome(F.col("auth_header"))
-    parsed = requests.select(
-        "req_id",
-        "path",
-        "conn_token",
-        header.alias("_header"),
-        grpc_token(F.col("auth_header")).alias("_token"),
-        F.coalesce(grpc_token(F.col("auth_header")), F.concat(F.lit(" "), F.col("req_id").cast("string"))).alias("token"),
+    token = grpc_token(F.col("auth_header"))
+    parsed = requests.select("req_id", "path", "conn_token", token.alias("_token")).withColumn(
+        "token", F.coalesce("_token", F.concat(F.lit(" "), F.col("req_id").cast("string")))
     )
     joined = parsed.join(one_session_per_token(registry), "token", "left")
     state, address = F.col("state"), F.col("address")
     outcome = (
-        F.when(F.col("_header") != "ok", "unauthenticated")
+        F.when(F.col("_token").isNull(), "unauthenticated")
         .when(F.col("id").isNull(), "not_found")
         .when(_mismatch(), "token_mismatch")
         .when(state == S.LAUNCHING, "waiting")
