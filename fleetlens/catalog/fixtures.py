@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fleetlens.sources.logs import stream_log
 
@@ -103,10 +104,25 @@ FROM {orders}""",
 }
 
 
+_schemas: dict[str, StructType] = {}
+
+
+def _schema(spark: SparkSession, path: str) -> StructType:
+    """The stored schema, read once per path."""
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return _schemas[path]
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input view in batch."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return _over(spark, name, lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+    def table(name: str) -> DataFrame:
+        path = f"{sf_dir}/{name}.parquet"
+        return spark.read.schema(_schema(spark, path)).parquet(path)
+
+    return _over(spark, name, table)
 
 
 def view_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,8 +130,7 @@ def view_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(name: str) -> DataFrame:
-        schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-        return stream_log(spark, sf_dir, schema, only=f"{name}.parquet")
+        return stream_log(spark, sf_dir, _schema(spark, f"{sf_dir}/{name}.parquet"), only=f"{name}.parquet")
 
     return with_zone(_over(spark, name, table))
 

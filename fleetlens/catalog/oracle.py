@@ -193,6 +193,19 @@ stops AS (
   SELECT p.session_key, p.t0, p.t0 + to_minutes(coalesce(b.look, n.look, 361)) AS stop
   FROM spans p LEFT JOIN breaks b USING (session_key) LEFT JOIN ends n USING (session_key))"""
 
+_SNAPSHOT = _sql(
+    ["fx_registry", "fx_requests"],
+    f"""--ctes
+calls AS (SELECT req_id, path, conn_token, {_HEADER} AS header, {_TOKEN} AS token FROM fx_requests WHERE {_GRPC}),
+judged AS (
+  SELECT c.*, r.id, r.state, r.address, CASE WHEN header <> 'ok' THEN 'unauthenticated' WHEN r.id IS NULL THEN 'not_found'
+WHEN c.token <> c.conn_token THEN 'token_mismatch' WHEN r.state = 'LAUNCHING' THEN 'waiting'
+WHEN r.state = 'RUNNING' THEN CASE WHEN r.address IS NULL THEN 'no_address' ELSE 'ok' END ELSE 'bad_state' END AS outcome
+  FROM calls c LEFT JOIN fx_registry r ON r.token = c.token)
+SELECT req_id, id, outcome, CASE WHEN outcome NOT IN ('unauthenticated', 'not_found', 'token_mismatch') THEN state END AS state,
+  CASE WHEN outcome = 'ok' THEN concat('http://', address, path) END AS target FROM judged""",
+)
+
 ORACLES: dict[str, str] = {
     "list_sessions": _sql(
         ["fx_registry"],
@@ -330,6 +343,7 @@ SELECT w.req_id, min(a.username) FILTER (WHERE a.method_ord = w.method_ord) AS u
 FROM winners w JOIN fx_auth_attempts a USING (req_id) GROUP BY w.req_id, w.method_ord""",
     ),
     "resolve_requests": _sql(["fx_lifecycle", "fx_requests"], f"--ctes{_RESOLVED}\nSELECT * FROM resolved"),
+    "resolve_against_snapshot": _SNAPSHOT,
     "request_outcomes": _sql(
         ["fx_lifecycle", "fx_requests"],
         f"--ctes{_RESOLVED}\nSELECT outcome, {_CODE} AS code, count(*) AS requests FROM resolved GROUP BY ALL",
@@ -406,16 +420,5 @@ spans AS (SELECT *, count(fresh OR NULL) OVER (PARTITION BY session_key ORDER BY
 SELECT session_key, min(start_ts) AS active_from, max(until) AS idle_at, count(*) AS activities FROM spans
 GROUP BY session_key, span HAVING max(until) <= (SELECT max(start_ts) - INTERVAL '1' HOUR FROM acts)""",
     ),
-    "stream_request_resolution": _sql(
-        ["fx_registry", "fx_requests"],
-        f"""--ctes
-calls AS (SELECT req_id, path, conn_token, {_HEADER} AS header, {_TOKEN} AS token FROM fx_requests WHERE {_GRPC}),
-judged AS (
-  SELECT c.*, r.id, r.state, r.address, CASE WHEN header <> 'ok' THEN 'unauthenticated' WHEN r.id IS NULL THEN 'not_found'
-    WHEN c.token <> c.conn_token THEN 'token_mismatch' WHEN r.state = 'LAUNCHING' THEN 'waiting'
-    WHEN r.state = 'RUNNING' THEN CASE WHEN r.address IS NULL THEN 'no_address' ELSE 'ok' END ELSE 'bad_state' END AS outcome
-  FROM calls c LEFT JOIN fx_registry r ON r.token = c.token)
-SELECT req_id, id, outcome, CASE WHEN outcome NOT IN ('unauthenticated', 'not_found', 'token_mismatch') THEN state END AS state,
-  CASE WHEN outcome = 'ok' THEN concat('http://', address, path) END AS target FROM judged""",
-    ),
+    "stream_request_resolution": _SNAPSHOT,
 }

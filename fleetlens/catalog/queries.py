@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens import schemas as S
-from fleetlens.catalog.fixtures import view, view_stream, with_zone, without_zone
+from fleetlens.catalog.fixtures import view, view_stream, without_zone
 from fleetlens.functions.clock import micros
 from fleetlens.functions.headers import has_grpc_token
 from fleetlens.functions.routes import is_grpc
@@ -143,6 +143,12 @@ def _resolve_requests(spark, sf):
     )
 
 
+def _resolve_against_snapshot(spark, sf):
+    requests = view(spark, sf, "fx_requests").where(is_grpc(F.col("path")))
+    sessions = resolution.one_session_per_token(view(spark, sf, "fx_registry"))
+    return resolution.resolve_against_snapshot(requests, sessions)
+
+
 def _request_outcomes(spark, sf):
     return resolution.request_outcomes(_resolve_requests(spark, sf))
 
@@ -207,7 +213,8 @@ def _stream_idle_sessions(spark, sf):
 
 def _stream_request_resolution(spark, sf):
     requests = view_stream(spark, sf, "fx_requests").where(is_grpc(F.col("path")))
-    resolved = streaming.stream_request_resolution(requests, with_zone(view(spark, sf, "fx_registry")))
+    sessions = resolution.one_session_per_token(view(spark, sf, "fx_registry"))
+    resolved = streaming.stream_request_resolution(requests, sessions)
     return append_to_files(resolved, "request-resolution")
 
 
@@ -240,6 +247,7 @@ QUERIES: dict[str, Query] = {
     "auth_header_audit": _requests(traffic.auth_header_audit),
     "resolve_identity": lambda spark, sf: traffic.resolve_identity(view(spark, sf, "fx_auth_attempts")),
     "resolve_requests": _resolve_requests,
+    "resolve_against_snapshot": _resolve_against_snapshot,
     "request_outcomes": _request_outcomes,
     "upstream_reuse": _upstream_reuse,
     "token_mismatches": _requests(traffic.token_mismatches),

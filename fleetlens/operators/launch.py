@@ -57,6 +57,11 @@ def resolve_versions(launches: DataFrame, versions: DataFrame) -> DataFrame:
     )
 
 
+def list_versions(versions: DataFrame) -> DataFrame:
+    """Names of the catalogue in its order; the first is the default."""
+    return versions.orderBy("ord").select("version")
+
+
 def _settings_by_version(versions: DataFrame, layers: DataFrame, service: Service) -> DataFrame:
     """Every key a launch of a version gets whatever the user asks for, with and without packages.
 

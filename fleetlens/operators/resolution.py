@@ -135,17 +135,17 @@ def one_session_per_token(registry: DataFrame) -> DataFrame:
     )
 
 
-def resolve_against_snapshot(requests: DataFrame, registry: DataFrame) -> DataFrame:
-    """As ``resolve_requests``, but by the registry as it is; LAUNCHING rows are ``waiting``.
+def resolve_against_snapshot(requests: DataFrame, sessions: DataFrame) -> DataFrame:
+    """As ``resolve_requests``, but by the state as it is now; LAUNCHING rows are ``waiting``.
 
-    Requests may be a stream. Rows without a token get spread join keys of their own, so they don't
+    ``sessions(token, id, state, address)`` has one row per token (``one_session_per_token``). Requests may be a stream. Rows without a token get spread join keys of their own, so they don't
     collect in one task; a hot token is split by AQE, as the join is the last step.
     """
     token = grpc_token(F.col("auth_header"))
     parsed = requests.select("req_id", "path", "conn_token", token.alias("_token")).withColumn(
         "token", F.coalesce("_token", F.concat(F.lit(" "), F.col("req_id").cast("string")))
     )
-    joined = parsed.join(one_session_per_token(registry), "token", "left")
+    joined = parsed.join(sessions, "token", "left")
     state, address = F.col("state"), F.col("address")
     outcome = (
         F.when(F.col("_token").isNull(), "unauthenticated")

@@ -86,10 +86,3 @@ REQUEST_SCHEMA = T.StructType(
         T.StructField("control", T.StringType(), True),
     ]
 )
-
-CALLBACK_SCHEMA = T.StructType(
-    [
-        T.StructField("address", T.StringType(), True),
-        T.StructField("application_id", T.StringType(), True),
-    ]
-)

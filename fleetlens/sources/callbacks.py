@@ -1,20 +1,21 @@
-"""Launch callbacks: JSON bodies with an address and an application id, both required."""
+"""Launch callbacks: JSON bodies with an address and an application id, both required strings."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens import schemas as S
+FIELDS = ("address", "application_id")
 
 
 def parse_callbacks(rows: DataFrame, body: str) -> DataFrame:
-    """Other columns plus ``address``, ``application_id`` and ``accepted``; a bad body keeps its row."""
-    parsed = F.from_json(F.col(body), S.CALLBACK_SCHEMA, {"mode": "PERMISSIVE"})
-    return (
-        rows.withColumn("_callback", parsed)
-        .withColumn("address", F.col("_callback.address"))
-        .withColumn("application_id", F.col("_callback.application_id"))
-        .withColumn("accepted", F.col("address").isNotNull() & F.col("application_id").isNotNull())
-        .drop("_callback", body)
-    )
+    """Other columns plus ``address``, ``application_id`` and ``accepted``; a bad body keeps its row.
+
+    A number or an object isn't a string, so it doesn't pass for one.
+    """
+    parsed = rows.withColumn("_body", F.try_parse_json(F.col(body)))
+    for field in FIELDS:
+        value = f"try_variant_get(_body, '$.{field}', 'variant')"
+        text = f"CASE WHEN schema_of_variant({value}) = 'STRING' THEN try_variant_get(_body, '$.{field}', 'string') END"
+        parsed = parsed.withColumn(field, F.expr(text))
+    return parsed.withColumn("accepted", F.expr(" AND ".join(f"{f} IS NOT NULL" for f in FIELDS))).drop("_body", body)

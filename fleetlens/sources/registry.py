@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens import schemas as S
+from fleetlens.operators.resolution import one_session_per_token
 
 
 def read_registry(spark: SparkSession, path: str, ntz: bool = False) -> DataFrame:
@@ -34,7 +35,7 @@ def read_registry_jdbc(
     )
 
 
-def write_registry(registry: DataFrame, path: str) -> None:
+def write_registry(registry: DataFrame, path: str, writers_per_day: int = 64) -> None:
     """Write a new snapshot; refuses an existing folder, so a reader never sees a half-written one.
 
     Files are grouped by creation day, the column that listing and retention filter on. Rows of a
@@ -42,7 +43,7 @@ def write_registry(registry: DataFrame, path: str) -> None:
     """
     (
         registry.select(*S.REGISTRY_COLUMNS, F.to_date("created_at").alias("created_day"))
-        .repartition("created_day", F.pmod(F.xxhash64("token"), F.lit(64)))
+        .repartition("created_day", F.pmod(F.xxhash64("token"), F.lit(writers_per_day)))
         .sortWithinPartitions("created_day", "username", "id")
         .write.mode("errorifexists")
         .partitionBy("created_day")
@@ -50,6 +51,21 @@ def write_registry(registry: DataFrame, path: str) -> None:
     )
 
 
+def write_token_lookup(registry: DataFrame, table: str, buckets: int) -> None:
+    """One row per token as a table bucketed by token.
+
+    Resolving requests against it, above all in each batch of a stream, doesn't shuffle the registry.
+    """
+    (
+        one_session_per_token(registry)
+        .repartition(buckets, "token")
+        .write.mode("errorifexists")
+        .bucketBy(buckets, "token")
+        .sortBy("token")
+        .saveAsTable(table)
+    )
+
+
 def check_states(registry: DataFrame) -> DataFrame:
     """Rows whose state is outside the domain."""
     return registry.where(F.col("state").isNull() | ~F.col("state").isin(*S.STATES))

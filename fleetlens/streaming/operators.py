@@ -88,6 +88,9 @@ def stream_idle_sessions(activity: DataFrame, timeout_s: int, delay: str) -> Dat
     )
 
 
-def stream_request_resolution(requests: DataFrame, registry: DataFrame) -> DataFrame:
-    """Each request against the current registry snapshot; no state."""
-    return resolve_against_snapshot(requests, registry)
+def stream_request_resolution(requests: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Each request against the current sessions, one row per token; no state.
+
+    Each batch reads ``sessions`` again, so keep it as the bucketed table of ``write_token_lookup``.
+    """
+    return resolve_against_snapshot(requests, sessions)

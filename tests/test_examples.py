@@ -347,6 +347,7 @@ def test_specs_and_versions(spark):
         LAUNCH,
     )
     conf = spark.createDataFrame([(2, "k", "v"), (3, "spark.files", "x"), (4, "spark.files", "x")], CONF)
+    assert [r.version for r in launch.list_versions(versions).collect()] == ["a", "b", "b"]
     layers = spark.createDataFrame([], LAYER)
     found = {r.session_id: (r.version, r.home) for r in launch.resolve_versions(launches, versions).collect()}
     assert found == {1: ("a", "/a"), 2: ("b", "/b"), 3: (None, None), 4: ("a", "/a")}

@@ -8,7 +8,7 @@ import pytest
 from replay import T0, random_log, replay
 
 from fleetlens.operators import lifecycle
-from fleetlens.operators.resolution import resolve_against_snapshot, resolve_requests
+from fleetlens.operators.resolution import one_session_per_token, resolve_against_snapshot, resolve_requests
 
 REQUESTS = "req_id long, ts timestamp_ntz, session_key long, path string, auth_header string, conn_token string"
 CONNECT = "/spark.connect.SparkConnectService/Config"
@@ -99,7 +99,7 @@ def test_snapshot_takes_the_lowest_id_of_a_token(spark):
         [(i, CONNECT, h, h and h.split(" ")[1]) for i, h in enumerate(heads)],
         "req_id long, path string, auth_header string, conn_token string",
     )
-    got = {r.req_id: (r.id, r.outcome, r.target) for r in resolve_against_snapshot(requests, registry).collect()}
+    got = {r.req_id: (r.id, r.outcome, r.target) for r in resolve_against_snapshot(requests, one_session_per_token(registry)).collect()}
     assert got == {
         0: (1, "ok", f"http://h:1{CONNECT}"),
         1: (3, "waiting", None),

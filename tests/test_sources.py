@@ -1,11 +1,13 @@
+import uuid
 from datetime import datetime
 
 import pytest
 from conftest import rows
 
 from fleetlens import schemas as S
+from fleetlens.operators.resolution import resolve_against_snapshot
 from fleetlens.sources.callbacks import parse_callbacks
-from fleetlens.sources.registry import check_states, read_registry, write_registry
+from fleetlens.sources.registry import check_states, read_registry, write_registry, write_token_lookup
 
 
 def test_round_trip_and_old_snapshots(spark, tmp_path):
@@ -39,7 +41,39 @@ def test_callbacks_need_both_fields(spark):
         '{"address": "h:1", "application_id": null}',
         "not json",
         '{"address": "", "application_id": "", "more": 1}',
+        '{"address": "h:1", "application_id": 7}',
+        '{"address": {"a": 1}, "application_id": "a"}',
+        "[]",
+        None,
     ]
     frame = spark.createDataFrame(list(enumerate(bodies)), "seq int, body string")
     parsed = {r.seq: (r.accepted, r.address) for r in parse_callbacks(frame, "body").collect()}
-    assert parsed == {0: (True, "h:1"), 1: (False, "h:1"), 2: (False, "h:1"), 3: (False, None), 4: (True, "")}
+    assert parsed == {
+        0: (True, "h:1"),
+        1: (False, "h:1"),
+        2: (False, "h:1"),
+        3: (False, None),
+        4: (True, ""),
+        5: (False, "h:1"),
+        6: (False, None),
+        7: (False, None),
+        8: (False, None),
+    }
+
+
+def test_bucketed_lookup_saves_the_shuffle_of_the_registry(spark):
+    sessions = spark.range(1000).selectExpr("id", "concat('t', id % 900) AS token", "'RUNNING' AS state", "'h:1' AS address")
+    table = f"lookup_{uuid.uuid4().hex}"
+    write_token_lookup(sessions, table, buckets=4)
+    try:
+        calls = spark.range(2000).selectExpr(
+            "id AS req_id", "'/x' AS path", "concat('Bearer t', id % 1000) AS auth_header", "concat('t', id % 1000) AS conn_token"
+        )
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        resolved = resolve_against_snapshot(calls, spark.table(table))
+        assert resolved._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        got = {r.outcome: r["count"] for r in resolved.groupBy("outcome").count().collect()}
+        assert got == {"ok": 1800, "not_found": 200}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql(f"DROP TABLE {table}")
