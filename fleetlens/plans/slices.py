@@ -6,18 +6,18 @@ get their order range cut at approximate quantiles; even depth, so bursts are cu
 run per (key, slice), and what a slice needs from its neighbours is carried in from a small
 per-slice summary. Without hot keys the plan has none of this.
 
-Sizes: ``hot_rows`` is raised to N / MAX_HOT_KEYS for N rows, so there are fewer than MAX_HOT_KEYS hot
-keys and about three times as many slices in all, whatever N is. That bounds the slice table,
-which is fetched once and broadcast, and the broadcast per-slice summaries. A slice depends only
-on a row's key and order value and any slicing gives the same result, so approximate quantiles
-are safe.
+Sizes: at most MAX_HOT_KEYS keys are cut, the largest first, and ``hot_rows`` rises so that they have
+about three times as many slices in all, however large the log. That bounds the slice table,
+which is fetched once and broadcast, and the broadcast per-slice summaries. Keys left uncut are
+still processed whole, each by one task. A slice depends only on a row's key and order value and
+any slicing gives the same result, so approximate quantiles are safe.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
@@ -74,20 +74,19 @@ class Slices:
 
 
 def find_slices(rows: DataFrame, key: str, order: Column, hot_rows: int | None = HOT_ROWS) -> Slices:
-    """Count the rows per key and cut the hot ones. Runs one small job, two if there are hot keys.
+    """Count the rows per key and cut the hot ones: one aggregation, two if there are hot keys.
 
     ``hot_rows=None`` skips the count for logs known to have no hot key.
     """
     if hot_rows is None:
         return Slices(key, None)
     narrow = rows.select(key, order.cast("long").alias("_o"))
-    total = Observation()
-    counted = narrow.select(key).observe(total, F.expr("count(1) AS n")).groupBy(key).agg(F.expr("count(1) AS _n"))
-    found = counted.where(F.col("_n") > hot_rows).collect()  # fewer than N / hot_rows rows
-    if not found:
+    counts = narrow.groupBy(key).agg(F.expr("count(1) AS _n"))
+    largest = counts.where(F.col("_n") > hot_rows).orderBy(F.desc("_n")).limit(MAX_HOT_KEYS).collect()
+    if not largest:
         return Slices(key, None)
-    hot_rows = max(hot_rows, total.get["n"] // MAX_HOT_KEYS)
-    hot = _local(counted, [row for row in found if row["_n"] > hot_rows])
+    hot_rows = max(hot_rows, sum(row["_n"] for row in largest) // MAX_HOT_KEYS)
+    hot = _local(counts, [row for row in largest if row["_n"] > hot_rows])
     points = ", ".join(f"{i / _POINTS}D" for i in range(_POINTS + 1))
     table = (
         narrow.join(F.broadcast(hot), key)
