@@ -218,7 +218,7 @@ FROM fx_registry WHERE username = 'user-5' AND state IN ('RUNNING', 'FINISHED')
         ["fx_registry", "fx_stops"],
         """SELECT k.username, k.id, r.id IS NOT NULL AS found, r.name, r.token, r.state, CASE WHEN r.id IS NOT NULL THEN r.address IS NOT NULL END AS active,
   CAST(NULL AS VARCHAR) AS ui_url, CAST(NULL AS VARCHAR) AS log_url
-FROM fx_stops k LEFT JOIN fx_registry r ON r.username = k.username AND r.id = k.id""",
+FROM (SELECT DISTINCT username, id FROM fx_stops) k LEFT JOIN fx_registry r ON r.username = k.username AND r.id = k.id""",
     ),
     "register_sessions": _sql(
         ["fx_launches"],

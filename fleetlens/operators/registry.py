@@ -77,16 +77,11 @@ def lookup_sessions(
 ) -> DataFrame:
     """One row per requested (username, id). Another owner's session counts as not found.
 
-    ``id`` is unique in the registry, so a key asked for many times only makes the left side hot,
-    which AQE splits: the join is the last step and nothing after it needs its partitioning.
+    A key asked for many times is answered once, and is one row before it is shuffled.
     """
-    info = registry.select(
-        "username",
-        "id",
-        F.lit(True).alias("found"),
-        *[c for c in info_columns(ui_template, log_template)[1:]],
-    )
-    return keys.join(info, ["username", "id"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    info = registry.select("username", "id", F.lit(True).alias("found"), *info_columns(ui_template, log_template)[1:])
+    wanted = keys.select("username", "id").distinct()
+    return wanted.join(info, ["username", "id"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def register_sessions(

@@ -135,17 +135,26 @@ def one_session_per_token(registry: DataFrame) -> DataFrame:
     )
 
 
-def resolve_against_snapshot(requests: DataFrame, sessions: DataFrame) -> DataFrame:
+def resolve_against_snapshot(
+    requests: DataFrame, sessions: DataFrame, hot_rows: int | None = HOT_ROWS
+) -> DataFrame:
     """As ``resolve_requests``, but by the state as it is now; LAUNCHING rows are ``waiting``.
 
-    ``sessions(token, id, state, address)`` has one row per token (``one_session_per_token``). Requests may be a stream. Rows without a token get spread join keys of their own, so they don't
-    collect in one task; a hot token is split by AQE, as the join is the last step.
+    ``sessions(token, id, state, address)`` has one row per token (``one_session_per_token``). Requests may be a stream.
+    Rows without a token get join keys of their own, so they don't collect in one task. The requests of
+    a hot token are cut into slices by the hash of their id; AQE may overlook them, as it goes
+    by compressed size. A stream can't be counted beforehand and is bounded by its batches.
     """
     token = grpc_token(F.col("auth_header"))
     parsed = requests.select("req_id", "path", "conn_token", token.alias("_token")).withColumn(
         "token", F.coalesce("_token", F.concat(F.lit(" "), F.col("req_id").cast("string")))
     )
-    joined = parsed.join(sessions, "token", "left")
+    spread = F.xxhash64("req_id")
+    slices = find_slices(parsed, "token", spread, None if requests.isStreaming else hot_rows)
+    if slices.table is None:
+        joined = parsed.join(sessions, "token", "left")
+    else:
+        joined = slices.assign(parsed, spread).join(slices.repeat(sessions), ["token", SLICE], "left")
     state, address = F.col("state"), F.col("address")
     outcome = (
         F.when(F.col("_token").isNull(), "unauthenticated")

@@ -19,13 +19,20 @@ from fleetlens.functions.clock import moment
 
 @dataclass(frozen=True)
 class Change:
-    """``registry`` is the new registry, ``touched`` the changed rows as they are now."""
+    """``marked`` is the new registry with a flag ``_hit`` on the rows that were set."""
 
-    registry: DataFrame
-    touched: DataFrame
+    marked: DataFrame
     unmatched: DataFrame | None = None
     to_signal: DataFrame | None = None
 
+    @property
+    def registry(self) -> DataFrame:
+        return self.marked.drop("_hit")
+
+    @property
+    def touched(self) -> DataFrame:
+        return self.marked.where("_hit").drop("_hit")
+
 
 def _no_text() -> Column:
     return F.lit(None).cast("string")
@@ -39,7 +46,7 @@ def _change(
     address: Column,
     application_id: Column | None = None,
     guard: Column | None = None,
-) -> tuple[DataFrame, DataFrame]:
+) -> DataFrame:
     """Set ``state``, ``address`` and ``application_id`` on the rows that ``hits`` (unique by key) names."""
     hit = F.col("_hit").isNotNull()
     if guard is not None:
@@ -48,7 +55,7 @@ def _change(
     joined = registry.join(hits.withColumn("_hit", F.lit(True)), keys, "left").withColumn(
         "_hit", F.coalesce(hit, F.lit(False))
     )
-    updated = joined.select(
+    return joined.select(
         "id",
         "created_at",
         "username",
@@ -59,7 +66,6 @@ def _change(
         F.when(F.col("_hit"), app).otherwise(F.col("application_id")).alias("application_id"),
         "_hit",
     )
-    return updated.drop("_hit"), updated.where("_hit").drop("_hit")
 
 
 def apply_registrations(registry: DataFrame, events: DataFrame) -> Change:
@@ -72,17 +78,17 @@ def apply_registrations(registry: DataFrame, events: DataFrame) -> Change:
         .agg(F.max_by(F.struct("address", "application_id"), "seq").alias("_e"))
         .select("token", F.col("_e.address").alias("_address"), F.col("_e.application_id").alias("_application_id"))
     )
-    after, touched = _change(
+    after = _change(
         registry, last, ["token"], S.RUNNING, F.col("_address"), F.col("_application_id")
     )
-    return Change(after, touched, unmatched=last.select("token").join(registry, "token", "left_anti"))
+    return Change(after, unmatched=last.select("token").join(registry, "token", "left_anti"))
 
 
 def apply_unregistrations(registry: DataFrame, events: DataFrame) -> Change:
     """``events(token)`` set FINISHED and clear the address, whatever the state was."""
     tokens = events.select("token").distinct()
-    after, touched = _change(registry, tokens, ["token"], S.FINISHED, _no_text())
-    return Change(after, touched, unmatched=tokens.join(registry, "token", "left_anti"))
+    after = _change(registry, tokens, ["token"], S.FINISHED, _no_text())
+    return Change(after, unmatched=tokens.join(registry, "token", "left_anti"))
 
 
 def apply_stops(registry: DataFrame, stops: DataFrame) -> Change:
@@ -92,10 +98,9 @@ def apply_stops(registry: DataFrame, stops: DataFrame) -> Change:
     """
     keys = ["username", "id"]
     wanted = stops.select(*keys).distinct()
-    after, touched = _change(registry, wanted, keys, S.FINISHED, _no_text())
+    after = _change(registry, wanted, keys, S.FINISHED, _no_text())
     return Change(
         after,
-        touched,
         unmatched=wanted.join(registry, keys, "left_anti"),
         to_signal=registry.where(F.col("address").isNotNull())
         .join(wanted, keys, "left_semi")
@@ -110,8 +115,8 @@ def apply_launch_failures(registry: DataFrame, failures: DataFrame, guarded: boo
     """
     ids = failures.select("id").distinct()
     guard = (F.col("state") == S.LAUNCHING) if guarded else None
-    after, touched = _change(registry, ids, ["id"], S.FAILED, F.col("address"), guard=guard)
-    return Change(after, touched, unmatched=ids.join(registry, "id", "left_anti"))
+    after = _change(registry, ids, ["id"], S.FAILED, F.col("address"), guard=guard)
+    return Change(after, unmatched=ids.join(registry, "id", "left_anti"))
 
 
 def apply_connect_failures(registry: DataFrame, attempts: DataFrame) -> Change:
@@ -125,8 +130,8 @@ def apply_connect_failures(registry: DataFrame, attempts: DataFrame) -> Change:
         .where(~F.col("_ok") & (F.col("_failed") == all_failed))
         .select("token")
     )
-    after, touched = _change(registry, given_up, ["token"], S.FAILED, _no_text())
-    return Change(after, touched, unmatched=given_up.join(registry, "token", "left_anti"))
+    after = _change(registry, given_up, ["token"], S.FAILED, _no_text())
+    return Change(after, unmatched=given_up.join(registry, "token", "left_anti"))
 
 
 def health_sweep(registry: DataFrame, probes: DataFrame) -> Change:
@@ -152,7 +157,7 @@ def health_sweep(registry: DataFrame, probes: DataFrame) -> Change:
         "application_id",
         "_hit",
     )
-    return Change(swept.drop("_hit"), swept.where("_hit").drop("_hit"))
+    return Change(swept)
 
 
 def prune_cutoff(now: datetime, age_s: int) -> datetime:
@@ -162,6 +167,12 @@ def prune_cutoff(now: datetime, age_s: int) -> datetime:
     return now.replace(microsecond=0) - timedelta(seconds=age_s)
 
 
+def is_prunable(registry: DataFrame, cutoff: datetime) -> Column:
+    """FAILED or FINISHED, and created at or before the cutoff."""
+    at = moment(cutoff, registry.schema["created_at"].dataType)
+    return F.col("state").isin(*S.TERMINAL_STATES) & (F.col("created_at") <= at)
+
+
 @dataclass(frozen=True)
 class Pruned:
     kept: DataFrame
@@ -170,8 +181,7 @@ class Pruned:
 
 def prune_terminal(registry: DataFrame, now: datetime, age_s: int) -> Pruned:
     """Split off FAILED and FINISHED rows created at or before the cutoff. Others stay at any age."""
-    cutoff = moment(prune_cutoff(now, age_s), registry.schema["created_at"].dataType)
-    old = F.col("state").isin(*S.TERMINAL_STATES) & (F.col("created_at") <= cutoff)
+    old = is_prunable(registry, prune_cutoff(now, age_s))
     return Pruned(kept=registry.where(~old), pruned=registry.where(old))
 
 

@@ -86,3 +86,11 @@ REQUEST_SCHEMA = T.StructType(
         T.StructField("control", T.StringType(), True),
     ]
 )
+
+PROBE_SCHEMA = T.StructType(
+    [
+        T.StructField("id", T.LongType(), False),
+        T.StructField("attempt", T.IntegerType(), False),
+        T.StructField("ok", T.BooleanType(), False),
+    ]
+)

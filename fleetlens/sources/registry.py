@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,15 +12,25 @@ from fleetlens import schemas as S
 from fleetlens.operators.resolution import one_session_per_token
 
 
-def read_registry(spark: SparkSession, path: str, ntz: bool = False) -> DataFrame:
-    """A registry snapshot. The schema is given, so old snapshots without ``name`` read it as null."""
+def read_registry(
+    spark: SparkSession, path: str, ntz: bool = False, day_from: date | None = None, day_to: date | None = None
+) -> DataFrame:
+    """A registry snapshot. The schema is given, so old snapshots without ``name`` read it as null.
+
+    ``day_from`` and ``day_to`` (inclusive) leave out the folders of other creation days.
+    """
     schema = S.REGISTRY_SCHEMA
     if ntz:
         kind = T.TimestampNTZType()
         schema = T.StructType(
             [T.StructField(f.name, kind if f.name == "created_at" else f.dataType, f.nullable) for f in schema]
         )
-    return spark.read.schema(schema).parquet(path).select(*S.REGISTRY_COLUMNS)
+    rows = spark.read.schema(schema).parquet(path)
+    if day_from is not None:
+        rows = rows.where(F.col("created_day") >= F.lit(day_from))
+    if day_to is not None:
+        rows = rows.where(F.col("created_day") <= F.lit(day_to))
+    return rows.select(*S.REGISTRY_COLUMNS)
 
 
 def read_registry_jdbc(

@@ -26,7 +26,8 @@ def stream_launch_timeouts(launches: DataFrame, signals: DataFrame, timeout_s: i
 
     ``launches(session_key, launch_id, ts)``, ``signals(session_key, ts)``. Signals are first reduced to the
     last one in each timeout-wide cell and the first one in the cell after it, which is all a
-    launch in that cell can need. So a launch meets one row, not every signal of its session.
+    launch in that cell can need. So a launch meets one row, not every signal of its session. A
+    timeout is reported when the watermark passes the end of that next cell.
     """
     width, step = f"{2 * timeout_s} seconds", f"{timeout_s} seconds"
     middle = plus_seconds(F.col("cells.start"), timeout_s)

@@ -83,6 +83,22 @@ def test_row_gone_while_waiting_is_not_found(spark):
     assert [r.outcome for r in resolve_requests(requests, history).collect()] == ["not_found"]
 
 
+def test_hot_token_in_a_snapshot(spark):
+    calls = spark.range(900).selectExpr(
+        "id AS req_id",
+        f"'{CONNECT}' AS path",
+        "CASE WHEN id % 3 = 0 THEN 'Bearer hot' WHEN id % 3 = 1 THEN concat('Bearer t', id % 50) END AS auth_header",
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('t', id % 50) END AS conn_token",
+    )
+    registry = spark.range(30).selectExpr(
+        "id", "if(id = 29, 'hot', concat('t', id)) AS token", "'RUNNING' AS state", "concat('h:', id) AS address"
+    )
+    sessions = one_session_per_token(registry)
+    plain = sorted(map(repr, resolve_against_snapshot(calls, sessions).collect()))
+    for hot_rows in (100, 9):
+        assert sorted(map(repr, resolve_against_snapshot(calls, sessions, hot_rows).collect())) == plain
+
+
 def test_snapshot_takes_the_lowest_id_of_a_token(spark):
     registry = spark.createDataFrame(
         [

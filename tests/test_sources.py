@@ -1,9 +1,10 @@
 import uuid
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from conftest import rows
 
+from fleetlens import jobs
 from fleetlens import schemas as S
 from fleetlens.operators.resolution import resolve_against_snapshot
 from fleetlens.sources.callbacks import parse_callbacks
@@ -18,6 +19,9 @@ def test_round_trip_and_old_snapshots(spark, tmp_path):
     path = str(tmp_path / "registry")
     write_registry(table, path)
     assert rows(read_registry(spark, path)) == rows(table)
+    days = read_registry(spark, path, day_from=date(2024, 1, 2), day_to=date(2024, 1, 2))
+    assert {r.created_at.day for r in days.collect()} == {2}
+    assert "PartitionFilters: [isnotnull(created_day" in days._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(Exception, match="(?i)exist"):
         write_registry(table, path)
     old = str(tmp_path / "old")
@@ -27,6 +31,25 @@ def test_round_trip_and_old_snapshots(spark, tmp_path):
     assert back.where("name IS NOT NULL").count() == 0
 
 
+def test_maintenance_jobs(spark, tmp_path, capsys):
+    now = datetime(2024, 5, 1)
+    made = [
+        (1, now - timedelta(seconds=120), "u", None, S.FAILED, "a", None, None),
+        (2, now - timedelta(seconds=10), "u", None, S.FAILED, "b", None, None),
+        (3, now - timedelta(seconds=120), "u", None, S.RUNNING, "c", "h:1", None),
+        (4, now - timedelta(seconds=120), "u", None, S.RUNNING, "d", "h:2", None),
+    ]
+    first, second, third = (str(tmp_path / n) for n in ("first", "second", "third"))
+    write_registry(spark.createDataFrame(made, S.REGISTRY_SCHEMA), first)
+    jobs.main(["prune", "--registry", first, "--out", second, "--seconds", "60", "--now", "2024-05-01T00:00:00"])
+    probes = str(tmp_path / "probes")
+    spark.createDataFrame([(3, 1, True), (4, 1, False)], S.PROBE_SCHEMA).write.parquet(probes)
+    jobs.main(["check", "--registry", second, "--out", third, "--probes", probes])
+    assert capsys.readouterr().out.split() == ["pruned", "1", "failed", "1"]
+    left = {r.id: (r.state, r.address) for r in read_registry(spark, third).collect()}
+    assert left == {2: (S.FAILED, None), 3: (S.RUNNING, "h:1"), 4: (S.FAILED, None)}
+
+
 def test_unknown_states_are_reported(spark):
     table = spark.createDataFrame(
         [(1, datetime(2024, 1, 1), "u", None, s, "t", None, None) for s in ("RUNNING", "running")], S.REGISTRY_SCHEMA
