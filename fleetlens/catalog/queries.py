@@ -14,7 +14,8 @@ from fleetlens.functions.clock import micros
 from fleetlens.functions.headers import has_grpc_token
 from fleetlens.functions.routes import is_grpc
 from fleetlens.operators import launch, lifecycle, registry, resolution, traffic, transitions
-from fleetlens.plans.slices import find_slices
+from fleetlens.plans.shared import stored
+from fleetlens.plans.slices import HOT_ROWS, find_slices
 from fleetlens.streaming import operators as streaming
 from fleetlens.streaming.run import append_to_files, upsert_to_files
 
@@ -130,16 +131,17 @@ def _grpc_requests(spark, sf):
     )
 
 
-def _resolve_requests(spark, sf):
+def _resolve_requests(spark, sf, hot_rows=HOT_ROWS):
     log = view(spark, sf, "fx_lifecycle")
     created = _created(log)
     requests = _grpc_requests(spark, sf)
     both = requests.select("session_key", "ts").unionByName(log.select("session_key", "ts"))
+    slices = find_slices(both, "session_key", micros(F.col("ts")), hot_rows)
+    history = lifecycle.session_history(log, created, hot_rows)
+    if slices.table is not None:  # the hot sessions' part is read twice
+        history = stored(history, "history")
     return resolution.resolve_requests(
-        requests,
-        lifecycle.session_history(log, created),
-        windows=lifecycle.launch_windows(log, created),
-        slices=find_slices(both, "session_key", micros(F.col("ts"))),
+        requests, history, windows=lifecycle.launch_windows(log, created), slices=slices
     )
 
 

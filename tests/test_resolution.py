@@ -5,8 +5,10 @@ import random
 from datetime import timedelta
 
 import pytest
+from conftest import SF
 from replay import T0, random_log, replay
 
+from fleetlens.catalog.queries import _resolve_requests
 from fleetlens.operators import lifecycle
 from fleetlens.operators.resolution import one_session_per_token, resolve_against_snapshot, resolve_requests
 
@@ -73,6 +75,11 @@ def test_resolution_equals_brute_force(spark, hot_rows):
     assert sorted(tuple(r) for r in again.collect()) == got
 
 
+def test_registered_query_with_hot_sessions(spark):
+    plain = sorted(map(repr, _resolve_requests(spark, SF).collect()))
+    assert sorted(map(repr, _resolve_requests(spark, SF, hot_rows=4).collect())) == plain
+
+
 def test_row_gone_while_waiting_is_not_found(spark):
     """A history that ends without a successor: the row was pruned."""
     history = spark.createDataFrame(
