@@ -16,7 +16,7 @@ TIMEOUT_S = 21_600
 SENTINEL = -1
 
 
-def staged(spark, folder, df, sentinel, late=None):
+def staged(spark, folder, df, sentinel):
     """``df`` in one file, a row far in the future in a second, as a stream that reads one at a time."""
     path = str(folder)
     df.coalesce(1).write.mode("append").parquet(path)
