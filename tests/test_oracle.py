@@ -4,7 +4,9 @@ import pytest
 from conftest import SF
 from oracle_check import compare, connect
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, oracle_sql
+from fleetlens.catalog.oracle import ORACLES
+from fleetlens.catalog.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -13,12 +15,13 @@ def tables():
 
 
 def test_every_query_has_its_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert ORACLES.items() <= oracle_sql().items()
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, tables, name):
-    _, difference = compare(spark, tables, SF, queries()[name], oracle_sql()[name])
+    _, difference = compare(spark, tables, SF, QUERIES[name], ORACLES[name])
     assert difference is None
 
 
