@@ -177,35 +177,46 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, windows: int =
     return train(x, np.array([languages.index(r[0]) for r in rows]), languages)
 
 
+def predict(values: list[bytes], predictor: Predictor | None) -> tuple[list[str], list[float]]:
+    """Language and score of each text, over all its windows."""
+    language, score = ["und"] * len(values), [0.0] * len(values)
+    held: list[int] = []
+    parts: list[np.ndarray] = []
+
+    def flush() -> None:
+        p = predictor.probabilities(np.concatenate(parts))
+        begins = np.cumsum([0, *map(len, parts)])
+        for i, a, b in zip(held, begins, begins[1:]):
+            mean = p[a:b].mean(0)
+            language[i], score[i] = predictor.net.languages[int(mean.argmax())], min(1.0, float(mean.max()))
+        held.clear()
+        parts.clear()
+
+    for i, text in enumerate(values if predictor else []):
+        if _LETTER.search(text.decode()):
+            held.append(i)
+            parts.append(windows_of(text))
+            if sum(map(len, parts)) >= 4 * _BATCH:
+                flush()
+    if held:
+        flush()
+    return language, score
+
+
 def _predicted(batches: Iterator[pa.RecordBatch], net: Network | None) -> Iterator[pa.RecordBatch]:
     predictor = Predictor(net) if net else None
     for batch in batches:
-        values = list(texts(batch))
-        language, score = ["und"] * len(values), [0.0] * len(values)
-        held: list[int] = []
-        parts: list[np.ndarray] = []
-
-        def flush(held: list[int], parts: list[np.ndarray]) -> None:
-            p = predictor.probabilities(np.concatenate(parts))
-            begins = np.cumsum([0, *map(len, parts)])
-            for i, a, b in zip(held, begins, begins[1:]):
-                mean = p[a:b].mean(0)
-                language[i], score[i] = net.languages[int(mean.argmax())], float(mean.max())
-
-        if predictor:
-            for i, text in enumerate(values):
-                if not _LETTER.search(text.decode()):
-                    continue
-                held.append(i)
-                parts.append(windows_of(text))
-                if sum(map(len, parts)) >= 4 * _BATCH:
-                    flush(held, parts)
-                    held, parts = [], []
-            if held:
-                flush(held, parts)
+        language, score = predict(list(texts(batch)), predictor)
         yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(language, pa.string()), pa.array(score, pa.float64())], ["d", "lang_pred", "score"])
 
 
+def _clear(batches: Iterator[pa.RecordBatch], net: Network | None, text_column: str, least: float) -> Iterator[pa.RecordBatch]:
+    predictor = Predictor(net) if net else None
+    for batch in batches:
+        language, score = predict(list(texts(batch, text_column)), predictor)
+        yield batch.filter(pa.array([lang != "und" and value >= least for lang, value in zip(language, score)], pa.bool_()))
+
+
 def held_out(doc_id: Column, folds: int) -> Column:
     """Whether a document is in the fold that nothing is learnt from; a null id is."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(True))
@@ -219,8 +230,19 @@ def identify(
     Learns from documents outside the held-out fold that have a language. Texts that are null or have no letter are ``und`` with score 0, and so is
     every text if there is nothing to learn from. Rows that repeat an id are predicted one by one; other columns are ignored.
     """
-    ident = F.col(id_column).cast("long")
-    read = docs.select(ident.alias("d"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang"))
+    read = _read(docs, id_column, text_column, lang_column)
     net = learn(read.where(~held_out(F.col("d"), folds)), per_language)
     predicted = read.select("d", "text").mapInArrow(lambda b: _predicted(b, net), "d bigint, lang_pred string, score double")
     return predicted.select(F.col("d").alias(id_column), held_out(F.col("d"), folds).alias("held_out"), "lang_pred", "score")
+
+
+def _read(docs: DataFrame, id_column: str, text_column: str, lang_column: str) -> DataFrame:
+    return docs.select(F.col(id_column).cast("long").alias("d"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang"))
+
+
+def drop_unclear(
+    docs: DataFrame, least: float, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", folds: int = 5, per_language: int = PER_LANGUAGE
+) -> DataFrame:
+    """``docs`` without the rows that ``identify`` finds ``und`` or scores below ``least``; all columns stay."""
+    net = learn(_read(docs, id_column, text_column, lang_column).where(~held_out(F.col(id_column), folds)), per_language)
+    return docs.mapInArrow(lambda b: _clear(b, net, text_column, least), docs.schema)

@@ -8,8 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.llm.chat import branches, digests, formatted, tree_of_turns
+from fleetlens.llm.decontam import contaminated
 from fleetlens.llm.fertility import fertility
 from fleetlens.llm.langid import identify
+from fleetlens.llm.lbl import log_bilinear_scores
+from fleetlens.llm.licenses import scan_licenses
 from fleetlens.llm.minhash import near_duplicates
 from fleetlens.llm.packing import pack_sequences
 from fleetlens.llm.suffix_dedup import remove_repeats
@@ -47,17 +51,60 @@ def byte_convnet_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("t")
+
+
+def log_bilinear_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_bilinear_scores(documents(spark, sf_dir))
+
+
 def certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(documents(spark, sf_dir), WORD_VOCABULARY)
 
 
+def license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir)).drop("spans")
+
+
+_CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+def reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts hold control strings; a conversation is a tree of one branch."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-1, 0, "user", _CONTROL), (-1, 1, "assistant", _CONTROL)], "conv_id bigint, turn bigint, role string, text string")
+    fragments = formatted(branches(tree_of_turns(turns.unionByName(control))))
+    conv_id = F.expr("if(tree = '', null, cast(tree AS bigint))").alias("conv_id")
+    return digests(fragments).select(conv_id, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+_CHAT_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+    UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(24 + length(regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<(\\*)\|', '<\\\1|', 'g'))
+        + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": suffix_array_dedup,
     "op2_tokeniser_fertility": tokeniser_fertility,
     "op3_packed_token_rows": packed_token_rows,
     "op4_minhash_near_dedup": minhash_near_dedup,
     "op5_byte_convnet_language": byte_convnet_language,
+    "op6_template_decontamination": template_decontamination,
+    "op7_log_bilinear_score": log_bilinear_score,
     "op8_certified_packing": certified_packing,
+    "op9_license_automaton": license_automaton,
+    "op10_reply_tree_chat": reply_tree_chat,
 }
 
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES: dict[str, str] = {"op10_reply_tree_chat": _CHAT_SQL}

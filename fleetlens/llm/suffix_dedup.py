@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from fleetlens.llm.names import Named, signed, texts
 from fleetlens.plans.shared import stored
@@ -187,20 +188,31 @@ def repeated_windows(
     return hits.where("n > 1").select(spans).unionByName(found.where("w IS NULL").select(spans)).unionByName(late.select(spans))
 
 
-def _removal(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _cut(text: bytes, lows: list[int] | None, highs: list[int] | None, window: int) -> tuple[bytes, int, int]:
+    """What stays of a text, how many bytes go, and in how many runs."""
+    if not lows:
+        return text, 0, 0
+    gone = np.zeros(len(text) + 1, np.int32)
+    np.add.at(gone, np.array(lows, np.int64), 1)
+    np.add.at(gone, np.array(highs, np.int64) + window, -1)
+    gone = np.cumsum(gone[:-1]) > 0
+    return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), len(_runs(gone)[0])
+
+
+def _digests(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
     for batch in batches:
         out = []
-        for d, text, lows, highs in zip(batch.column("d").to_pylist(), texts(batch), batch.column("lows").to_pylist(), batch.column("highs").to_pylist()):
-            gone = np.zeros(len(text) + 1, np.int32)
-            np.add.at(gone, np.array(lows or [], np.int64), 1)
-            np.add.at(gone, np.array(highs or [], np.int64) + window, -1)
-            gone = np.cumsum(gone[:-1]) > 0
-            kept = text if not lows else np.frombuffer(text, np.uint8)[~gone].tobytes()
-            out.append((d, len(text), int(gone.sum()), len(_runs(gone)[0]), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))],
-            ["d", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
-        )
+        for text, lows, highs in zip(texts(batch), batch.column("lows").to_pylist(), batch.column("highs").to_pylist()):
+            kept, removed, spans = _cut(text, lows, highs, window)
+            out.append((len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
+        columns = [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * len(kinds), kinds)]
+        yield pa.RecordBatch.from_arrays([batch.column("d"), *columns], ["d", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+
+
+def _with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
+    of_document = ranges.groupBy("d", "t").agg(F.collect_list("lo").alias("lows"), F.collect_list("hi").alias("highs"))
+    return _same_document(docs, of_document, "left")
 
 
 def remove_repeats(
@@ -208,13 +220,44 @@ def remove_repeats(
 ) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text.
 
-    The digest is of the bytes that stay; in kept_text, parts of a character whose other bytes went are dropped. Every byte covered by a ``window``-byte string that starts anywhere else too goes; strings are judged on the input.
-    A null text is empty; a null id is an id like any other. Rows that repeat an id and a text are documents of their
-    own, so a text of at least ``window`` bytes repeated in full loses all. Texts shorter than a window lose nothing. Other columns are ignored.
+    The digest is of the bytes that stay; in kept_text, parts of a character whose other bytes went are dropped. Every byte covered by a
+    ``window``-byte string that starts anywhere else too goes; strings are judged on the input. A null text is empty; a null id is an id like any
+    other. Rows that repeat an id and a text are documents of their own, so a text of at least ``window`` bytes
+    repeated in full loses all. Texts shorter than a window lose nothing. Other columns are ignored.
     """
     ranges = repeated_windows(docs, id_column, text_column, window, gram, bucket_rows)
-    of_document = ranges.groupBy("d", "t").agg(F.collect_list("lo").alias("lows"), F.collect_list("hi").alias("highs"))
-    joined = _same_document(_by_document(docs, id_column, text_column), of_document, "left").select("d", "text", "lows", "highs")
-    done = joined.mapInArrow(lambda b: _removal(b, window), "d bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string")
+    joined = _with_ranges(_by_document(docs, id_column, text_column), ranges).select("d", "text", "lows", "highs")
+    done = joined.mapInArrow(lambda b: _digests(b, window), "d bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string")
     return done.withColumnRenamed("d", id_column)
 
+
+def _rewritten(batches: Iterator[pa.RecordBatch], window: int, text_column: str, chars_column: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = batch.column("doc")
+        columns = {field.name: rows.field(i) for i, field in enumerate(rows.type)}
+        before = columns[text_column].to_pylist()
+        after = list(before)
+        for i, (lows, highs) in enumerate(zip(batch.column("lows").to_pylist(), batch.column("highs").to_pylist())):
+            if lows:
+                after[i] = _cut(before[i].encode(), lows, highs, window)[0].decode(errors="ignore")
+        if chars_column in columns:
+            chars = columns[chars_column]
+            counted = [c if a is b else len(a) for a, b, c in zip(after, before, chars.to_pylist())]
+            columns[chars_column] = pa.array(counted, chars.type)
+        columns[text_column] = pa.array(after, rows.type.field(text_column).type)
+        yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(list(columns.values()), fields=list(rows.type))], ["doc"])
+
+
+def cut_repeats(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", chars_column: str = "n_chars", window: int = WINDOW, gram: int = GRAM
+) -> DataFrame:
+    """``docs`` with what ``remove_repeats`` removes cut from the texts; the length follows where a text has changed. All rows and columns stay."""
+    ranges = repeated_windows(docs, id_column, text_column, window, gram)
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"),
+        F.col(id_column).cast("long").alias("d"),
+        F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("t"),
+    )
+    schema = StructType([StructField("doc", docs.schema)])
+    joined = _with_ranges(rows, ranges).select("doc", "lows", "highs")
+    return joined.mapInArrow(lambda b: _rewritten(b, window, text_column, chars_column), schema).select("doc.*")
