@@ -27,7 +27,7 @@ from fleetlens.plans.shared import stored
 
 CLASSES, SIZE = 1024, 24
 ROUNDS = 2
-NOISE, BATCH, RATE = 64, 2048, 0.1
+NOISE, BATCH, RATE = 64, 512, 0.3
 TRAIN_TOKENS = 1 << 20
 ALPHA = 0.1
 
