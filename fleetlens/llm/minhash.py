@@ -261,6 +261,6 @@ def near_duplicates(
             F.coalesce("v", alone).alias("class_id"),
             F.coalesce("g", alone).alias("group_id"),
             F.coalesce("n", F.lit(1)).alias("n_class"),
-            F.expr("coalesce(leads AND d <=> first, true)").alias("kept"),
+            F.expr("v IS NULL OR (leads AND d <=> first)").alias("kept"),
         )
     )
