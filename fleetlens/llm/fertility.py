@@ -82,10 +82,9 @@ def _measures(batches: Iterator[pa.RecordBatch], paths: list[str]) -> Iterator[p
         values = list(texts(batch))
         plain = plain_measures(values)
         fit = [[], [], []]
-        for text, chars in zip(values, plain["word_chars"].tolist()):
+        for chars, *coded in zip(plain["word_chars"].tolist(), *(coder.encode_all(values) for coder in coders)):
             row = ([], [], [])
-            for coder, parts in zip(coders, fallback):
-                ids, _ = coder.encode(text)
+            for (ids, _), parts in zip(coded, fallback):
                 n = len(ids)
                 if n:
                     share = np.unique(ids, return_counts=True)[1] / n

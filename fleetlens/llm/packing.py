@@ -72,8 +72,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, tokens: i
     coder = word_coder(path)
     for batch in batches:
         out = []
-        for i, text in enumerate(texts(batch)):
-            ids = np.append(coder.encode(text)[0], end_id).astype("<u4")
+        for i, (ids, _) in enumerate(coder.encode_all(list(texts(batch)))):
+            ids = np.append(ids, end_id).astype("<u4")
             for a in range(0, len(ids), tokens):
                 cut = ids[a : a + tokens]
                 out.append((i, a // tokens, a, len(cut), zlib.crc32(cut.tobytes())))

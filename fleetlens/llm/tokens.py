@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 
-MAX_CACHED_WORDS = 1 << 19
+MAX_CACHED_WORDS = 1 << 20
+
+_TEXTS = 32
+_PUNCTUATION = ".,!?;:"
 
 
 class Vocabulary:
@@ -16,6 +21,7 @@ class Vocabulary:
 
     def __init__(self, path: str):
         self.path = path
+        self.splits_words = False
         if path.endswith(".json"):
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
@@ -23,6 +29,7 @@ class Vocabulary:
             self._tokenizer = Tokenizer.from_file(path)
             self._tokenizer.encode_special_tokens = True
             self.size = self._tokenizer.get_vocab_size()
+            self.splits_words = self._splits_words()
         elif path.endswith(".tiktoken"):
             import public_tokenizers
             import tiktoken
@@ -38,9 +45,15 @@ class Vocabulary:
             self._pieces = sentencepiece.SentencePieceProcessor(model_file=path)
             self.size = self._pieces.vocab_size()
 
+    def _splits_words(self) -> bool:
+        """Whether letters are lower-cased and parted from white space and punctuation before anything is merged."""
+        parts = json.loads(self._tokenizer.to_str())
+        normalizers, splits = json.dumps(parts["normalizer"]), json.dumps(parts["pre_tokenizer"], ensure_ascii=False)
+        return '"Lowercase"' in normalizers and r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in splits
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         if self.path.endswith(".json"):
-            return [e.ids for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if self.path.endswith(".tiktoken"):
             return [self._encoding.encode_ordinary(t) for t in texts]
         return self._pieces.encode(texts, num_threads=1)
@@ -64,6 +77,8 @@ class WordCoder:
     """Ids of texts word by word (between ASCII white space), each different word encoded once while it is held.
 
     For a vocabulary that drops white space the ids are those of the whole text. At most ``MAX_CACHED_WORDS`` words are held.
+    Where the vocabulary lower-cases words and splits them from punctuation (``splits_words``), words of Latin letters that differ in that only
+    are encoded once too.
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -72,41 +87,62 @@ class WordCoder:
 
     def _clear(self) -> None:
         self._index: dict[bytes, int] = {}
+        self._parts: dict[str, list[int]] = {}
         self._flat = np.zeros(1 << 16, np.int32)
         self._ends = np.zeros(1 << 16, np.int64)
         self._used = 0
 
-    def learn(self, words: Iterable[bytes]) -> None:
+    def _coded(self, words: list[str]) -> list[list[int]]:
+        if not self.vocabulary.splits_words:
+            return self.vocabulary.encode(words)
+        cuts, parts = [], self._parts
+        for word in words:
+            core = word.rstrip(_PUNCTUATION)
+            simple = core and core.isalpha() and max(core) < "\u0100"
+            cuts.append((core.lower(), word[len(core) :]) if simple else (word, ""))
+        new = [p for p in dict.fromkeys(p for cut in cuts for p in cut) if p not in parts]
+        parts.update(zip(new, self.vocabulary.encode(new)))
+        return [parts[core] + parts[rest] if rest else parts[core] for core, rest in cuts]
+
+    def _learn(self, words: Iterable[bytes]) -> None:
         index = self._index
-        if len(index) > MAX_CACHED_WORDS:
-            self._clear()
-            index = self._index
         new = list(dict.fromkeys(w for w in words if w not in index))
-        if not new:
-            return
-        coded = self.vocabulary.encode([w.decode() for w in new])
+        coded = self._coded([w.decode() for w in new])
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         at, end = len(index), self._used + int(sizes.sum())
         while end > len(self._flat):
             self._flat = np.concatenate((self._flat, np.zeros_like(self._flat)))
         while at + len(new) > len(self._ends):
             self._ends = np.concatenate((self._ends, np.zeros_like(self._ends)))
-        self._flat[self._used : end] = np.fromiter((i for ids in coded for i in ids), np.int32, end - self._used)
+        self._flat[self._used : end] = np.fromiter(chain.from_iterable(coded), np.int32, end - self._used)
         self._ends[at : at + len(new)] = self._used + np.cumsum(sizes)
         self._used = end
         index.update(zip(new, range(at, at + len(new))))
 
-    def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a text, and how many each of its words has."""
-        words = text.split()
-        at = np.fromiter(map(self._index.get, words, [-1] * len(words)), np.int64, len(words))
-        if len(at) and at.min() < 0:
-            self.learn(words)
-            at = np.fromiter(map(self._index.__getitem__, words), np.int64, len(words))
-        starts = np.where(at > 0, self._ends[at - 1], 0)
-        sizes = self._ends[at] - starts
-        before = np.cumsum(sizes) - sizes
-        return self._flat[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))], sizes
+    def encode_all(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text its ids, and how many each of its words has."""
+        for a in range(0, len(texts), _TEXTS):
+            if len(self._index) > MAX_CACHED_WORDS:
+                self._clear()
+            split = [t.split() for t in texts[a : a + _TEXTS]]
+            counts = list(map(len, split))
+            words = list(chain.from_iterable(split))
+            at = np.fromiter(map(self._index.get, words, repeat(-1)), np.int64, len(words))
+            missing = np.flatnonzero(at < 0).tolist()
+            if missing:
+                unknown = [words[i] for i in missing]
+                self._learn(unknown)
+                at[missing] = np.fromiter(map(self._index.__getitem__, unknown), np.int64, len(unknown))
+            starts = np.where(at > 0, self._ends[at - 1], 0)
+            sizes = self._ends[at] - starts
+            before = np.cumsum(sizes) - sizes
+            ids = self._flat[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
+            word, token = 0, 0
+            for count in counts:
+                own = sizes[word : word + count]
+                n = int(own.sum())
+                yield ids[token : token + n], own
+                word, token = word + count, token + n
 
 
 _coders: dict[str, WordCoder] = {}
