@@ -40,8 +40,9 @@ SELECT event_id AS req_id, ts - INTERVAL '30' MINUTE AS ts, user_id * 100 + CAST
   CASE event_type WHEN 'error' THEN 'DELETE' WHEN 'view' THEN 'GET' ELSE 'POST' END AS method,
   CASE event_type WHEN 'click' THEN '/spark.connect.SparkConnectService/ExecutePlan'
        WHEN 'purchase' THEN '/spark.connect.SparkConnectService/Config'
-       WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN '/apps' ELSE '/callback' END
-       WHEN 'view' THEN CASE WHEN event_id % 3 = 0 THEN '/versions' ELSE concat('/apps/', CAST(event_id AS STRING)) END
+       WHEN 'signup' THEN CASE WHEN event_id % 4 = 0 THEN '/apps' WHEN event_id % 2 = 0 THEN '/apps?state=RUNNING' ELSE '/callback?' END
+       WHEN 'view' THEN CASE WHEN event_id % 3 = 0 THEN '/versions' WHEN event_id % 5 = 0 THEN concat('/apps/', CAST(event_id AS STRING), '?x=/1')
+         ELSE concat('/apps/', CAST(event_id AS STRING)) END
        ELSE CASE WHEN event_id % 2 = 0 THEN '/callback' ELSE '/nope' END END AS path,
   CASE event_id % 10 WHEN 0 THEN NULL WHEN 1 THEN 'Basic abc123' WHEN 2 THEN 'Bearer ' WHEN 3 THEN 'Bearer'
        WHEN 4 THEN concat('Bearer ', md5(concat('unknown-', CAST(event_id AS STRING))))
@@ -116,7 +117,6 @@ def _schema(spark: SparkSession, path: str) -> StructType:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input view in batch."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(name: str) -> DataFrame:
         path = f"{sf_dir}/{name}.parquet"
@@ -127,7 +127,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input view as a stream, with its timestamps as watermarks need them."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(name: str) -> DataFrame:
         return stream_log(spark, sf_dir, _schema(spark, f"{sf_dir}/{name}.parquet"), only=f"{name}.parquet")

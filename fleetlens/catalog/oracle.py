@@ -46,7 +46,7 @@ log AS (
   UNION ALL
   SELECT session_key, NULL, date_trunc('day', min(ts)), 'create', NULL, NULL FROM fx_lifecycle GROUP BY session_key),
 guards AS (
-  SELECT *,
+  SELECT * REPLACE (max(ts) OVER (PARTITION BY session_key ORDER BY seq NULLS FIRST ROWS UNBOUNDED PRECEDING) AS ts),
     last_value(CASE WHEN kind IN {_UNGUARDED} THEN kind END IGNORE NULLS) OVER (
       PARTITION BY session_key ORDER BY seq NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS set_by,
     last_value(CASE WHEN kind = 'register' THEN application_id END IGNORE NULLS) OVER (
@@ -91,12 +91,13 @@ _HEADER = """CASE WHEN auth_header IS NULL THEN 'missing' WHEN instr(auth_header
 _TOKEN = f"CASE WHEN {_HEADER} = 'ok' THEN substr(auth_header, 8) END"
 _GRPC = "starts_with(path, '/spark.connect.SparkConnectService')"
 
+_PATH = "split_part(path, '?', 1)"
 _ROUTE = f"""CASE WHEN {_GRPC} THEN 'grpc'
-  WHEN path = '/apps' THEN CASE WHEN method IN ('GET', 'HEAD', 'POST') THEN 'apps' ELSE 'method_not_allowed' END
-  WHEN regexp_full_match(path, '/apps/[^/]+') THEN CASE WHEN method NOT IN ('GET', 'HEAD', 'DELETE') THEN 'method_not_allowed'
-    WHEN regexp_full_match(path, '/apps/[+-]?[0-9]+') AND TRY_CAST(substr(path, 7) AS INTEGER) IS NOT NULL THEN 'app' ELSE 'rest_bad_id' END
-  WHEN path = '/versions' THEN CASE WHEN method IN ('GET', 'HEAD') THEN 'versions' ELSE 'method_not_allowed' END
-  WHEN path = '/callback' THEN CASE WHEN method IN ('POST', 'DELETE') THEN 'callback' ELSE 'method_not_allowed' END
+  WHEN {_PATH} = '/apps' THEN CASE WHEN method IN ('GET', 'HEAD', 'POST') THEN 'apps' ELSE 'method_not_allowed' END
+  WHEN regexp_full_match({_PATH}, '/apps/[^/]+') THEN CASE WHEN method NOT IN ('GET', 'HEAD', 'DELETE') THEN 'method_not_allowed'
+    WHEN regexp_full_match({_PATH}, '/apps/[+-]?[0-9]+') AND TRY_CAST(substr({_PATH}, 7) AS INTEGER) IS NOT NULL THEN 'app' ELSE 'rest_bad_id' END
+  WHEN {_PATH} = '/versions' THEN CASE WHEN method IN ('GET', 'HEAD') THEN 'versions' ELSE 'method_not_allowed' END
+  WHEN {_PATH} = '/callback' THEN CASE WHEN method IN ('POST', 'DELETE') THEN 'callback' ELSE 'method_not_allowed' END
   ELSE 'not_found' END"""
 
 _RESOLVED = f"""{_HISTORY},
@@ -222,7 +223,7 @@ FROM (SELECT DISTINCT username, id FROM fx_stops) k LEFT JOIN fx_registry r ON r
     ),
     "register_sessions": _sql(
         ["fx_launches"],
-        """SELECT 1000000 + row_number() OVER (ORDER BY session_id) AS id, launched_at AS created_at, username, app_name AS name,
+        """SELECT 1000000 + row_number() OVER (ORDER BY launched_at + to_microseconds((session_id % 1000) * 1000), session_id) AS id, launched_at AS created_at, username, app_name AS name,
   'LAUNCHING' AS state, token, CAST(NULL AS VARCHAR) AS address, CAST(NULL AS VARCHAR) AS application_id FROM fx_launches""",
     ),
     "apply_registrations": _update(
@@ -274,12 +275,38 @@ WHERE address IS NOT NULL AND EXISTS (SELECT 1 FROM fx_stops s WHERE r.id = s.id
     "apply_connect_failures": _update(
         ["fx_probes"],
         """SELECT token, TRUE AS hit FROM fx_probes p JOIN fx_registry r USING (id)
-WHERE r.state = 'RUNNING' AND attempt <= 4 GROUP BY token HAVING count(*) = 4 AND NOT bool_or(ok)""",
+WHERE attempt <= 4 GROUP BY token HAVING count(*) = 4 AND NOT bool_or(ok)""",
         "h.token = r.token",
         "FAILED",
         "NULL",
         "r.application_id",
     ),
+    "apply_spawn_failures": _update(
+        ["fx_token_events"],
+        "SELECT DISTINCT id, TRUE AS hit FROM fx_token_events WHERE kind = 'launch_failed'",
+        "h.id = r.id",
+        "FAILED",
+        "r.address",
+        "r.application_id",
+    ),
+    "parse_callbacks": _sql(
+        ["fx_token_events"],
+        """SELECT seq, token,
+  CASE seq % 5 WHEN 0 THEN address WHEN 1 THEN coalesce(address, '') WHEN 2 THEN 'h:1' WHEN 4 THEN 'h:1' END AS address,
+  CASE seq % 5 WHEN 0 THEN application_id WHEN 1 THEN 'a "quoted" \\ name' WHEN 4 THEN kind END AS application_id,
+  CASE seq % 5 WHEN 0 THEN address IS NOT NULL AND application_id IS NOT NULL WHEN 1 THEN TRUE WHEN 4 THEN TRUE ELSE FALSE END AS accepted
+FROM fx_token_events""",
+    ),
+    "update_counts": _sql(
+        ["fx_registry", "fx_token_events", "fx_stops", "fx_probes"],
+        f"""SELECT 'apply_registrations' AS update, count(*) AS rows FROM fx_registry WHERE token IN (SELECT token FROM fx_token_events WHERE kind = 'register')
+UNION ALL SELECT 'apply_unregistrations', count(*) FROM fx_registry WHERE token IN (SELECT token FROM fx_token_events WHERE kind = 'unregister')
+UNION ALL SELECT 'apply_stops', count(*) FROM fx_registry r WHERE EXISTS (SELECT 1 FROM fx_stops s WHERE s.id = r.id AND s.username = r.username)
+UNION ALL SELECT 'apply_launch_failures', count(*) FROM fx_registry WHERE state = 'LAUNCHING' AND id IN (SELECT id FROM fx_token_events WHERE kind = 'launch_failed')
+UNION ALL SELECT 'apply_connect_failures', count(*) FROM fx_registry WHERE id IN (
+  SELECT id FROM fx_probes WHERE attempt <= 4 GROUP BY id HAVING count(*) = 4 AND NOT bool_or(ok))
+UNION ALL SELECT 'health_sweep', count(*) FROM fx_registry r WHERE {_SICK}""",
+    ),
     "prune_terminal": _sql(["fx_registry"], f"SELECT {_ALL} FROM fx_registry WHERE {_OLD}"),
     "prune_terminal_kept": _sql(["fx_registry"], f"SELECT {_ALL} FROM fx_registry WHERE NOT ({_OLD})"),
     "health_sweep": _sql(
@@ -302,7 +329,7 @@ outcomes AS (
     min(e.ts) FILTER (WHERE e.kind = 'callback') AS cb, min(e.ts) FILTER (WHERE e.kind = 'exit_nonzero') AS ex
   FROM fx_launch_events l LEFT JOIN fx_launch_events e
     ON e.session_key = l.session_key AND e.ts >= l.ts AND e.kind <> 'launch' AND e.ts <= TIMESTAMP '2024-01-31'
-  WHERE l.kind = 'launch' GROUP BY ALL),
+  WHERE l.kind = 'launch' AND l.ts <= TIMESTAMP '2024-01-31' GROUP BY ALL),
 judged AS (
   SELECT *, least(deadline, ex) AS fails_at,
     CASE WHEN cb <= least(deadline, ex) THEN 'registered' WHEN ex <= deadline THEN 'exited'
@@ -351,7 +378,9 @@ FROM winners w JOIN fx_auth_attempts a USING (req_id) GROUP BY w.req_id, w.metho
     "upstream_reuse": _sql(
         ["fx_lifecycle", "fx_requests"],
         f"""--ctes
-valid AS (SELECT * FROM fx_requests WHERE {_GRPC} AND {_HEADER} = 'ok' AND req_id % 10 <> 4),
+valid AS (
+  SELECT * FROM fx_requests r WHERE {_GRPC} AND {_HEADER} = 'ok' AND req_id % 10 <> 4
+    AND r.ts >= (SELECT date_trunc('day', min(l.ts)) FROM fx_lifecycle l WHERE l.session_key = r.session_key)),
 generations AS (
   SELECT v.session_key, v.req_id, (SELECT count(*) FROM fx_lifecycle l
     WHERE l.session_key = v.session_key AND l.kind IN ('unregister', 'stop') AND l.ts <= v.ts) AS generation FROM valid v)
@@ -364,9 +393,9 @@ FROM fx_requests WHERE {_GRPC} AND {_TOKEN} <> conn_token""",
     ),
     "control_traffic": _sql(
         ["fx_requests"],
-        """SELECT CASE WHEN control IS NULL THEN 'NORMAL' WHEN control = 'health' THEN 'OK' WHEN control = 'stop' THEN 'CANCELLED'
+        f"""SELECT CASE WHEN control IS NULL THEN 'NORMAL' WHEN control = 'health' THEN 'OK' WHEN control = 'stop' THEN 'CANCELLED'
   ELSE 'INVALID_ARGUMENT' END AS answer, control IS NULL AS is_activity, coalesce(control = 'stop', FALSE) AS shuts_down, count(*) AS requests
-FROM fx_requests GROUP BY ALL""",
+FROM fx_requests WHERE {_GRPC} GROUP BY ALL""",
     ),
     "resolve_versions": _sql(
         ["fx_launches", "fx_versions"],
@@ -395,17 +424,12 @@ SELECT j.session_id, CASE WHEN rejected_reason IS NULL THEN 'LAUNCHING' ELSE 'FA
 FROM judged j LEFT JOIN lines l USING (session_id)""",
     ),
     "stream_registry": _sql(["fx_lifecycle"], _FOLD),
-    # Streams end at their last row, so they report what lies a watermark delay of 1 hour before it.
+    # A stream and what it would report next, so all of its input.
     "stream_launch_timeouts": _sql(
         ["fx_launch_events"],
-        """--ctes
-closed AS (
-  SELECT least(max(ts) FILTER (WHERE kind = 'launch'), max(ts) FILTER (WHERE kind <> 'launch')) - INTERVAL '1' HOUR AS mark
-  FROM fx_launch_events)
-SELECT session_key, event_id AS launch_id, ts AS launched_at, ts + INTERVAL '6' HOUR AS failed_at
-FROM fx_launch_events l, closed
-WHERE l.kind = 'launch' AND (CAST(floor(epoch_us(l.ts) / 21600000000.0) AS BIGINT) + 2) * 21600000000 <= epoch_us(mark)
-  AND NOT EXISTS (SELECT 1 FROM fx_launch_events s WHERE s.kind <> 'launch' AND s.session_key = l.session_key
+        """SELECT session_key, event_id AS launch_id, ts AS launched_at, ts + INTERVAL '6' HOUR AS failed_at
+FROM fx_launch_events l
+WHERE l.kind = 'launch' AND NOT EXISTS (SELECT 1 FROM fx_launch_events s WHERE s.kind <> 'launch' AND s.session_key = l.session_key
     AND s.ts BETWEEN l.ts AND l.ts + INTERVAL '6' HOUR)""",
     ),
     "stream_idle_sessions": _sql(
@@ -418,7 +442,7 @@ breaks AS (
   FROM acts),
 spans AS (SELECT *, count(fresh OR NULL) OVER (PARTITION BY session_key ORDER BY start_ts) AS span FROM breaks)
 SELECT session_key, min(start_ts) AS active_from, max(until) AS idle_at, count(*) AS activities FROM spans
-GROUP BY session_key, span HAVING max(until) <= (SELECT max(start_ts) - INTERVAL '1' HOUR FROM acts)""",
+GROUP BY session_key, span""",
     ),
     "stream_request_resolution": _SNAPSHOT,
 }

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens import schemas as S
-from fleetlens.catalog.fixtures import view, view_stream, without_zone
-from fleetlens.functions.clock import micros
+from fleetlens.catalog.fixtures import view, view_stream, with_zone, without_zone
+from fleetlens.functions.clock import plus_seconds
 from fleetlens.functions.headers import has_grpc_token
 from fleetlens.functions.routes import is_grpc
 from fleetlens.operators import launch, lifecycle, registry, resolution, traffic, transitions
-from fleetlens.plans.shared import stored
-from fleetlens.plans.slices import HOT_ROWS, find_slices
+from fleetlens.sources.callbacks import parse_callbacks
 from fleetlens.streaming import operators as streaming
 from fleetlens.streaming.run import append_to_files, upsert_to_files
 
@@ -35,8 +35,8 @@ def _list_sessions(spark, sf):
         view(spark, sf, "fx_registry"),
         owner="user-5",
         state=" RUNNING, ,FINISHED,",
-        created_after="1996-01-01",
-        created_before="2000-12-31",
+        created_after="1996-01-01T00:00:00Z",
+        created_before="2000-12-31T00:00:00Z",
         ui_template="https://ui.example/{{ application_id }}",
     )
 
@@ -47,12 +47,14 @@ def _lookup_sessions(spark, sf):
 
 
 def _register_sessions(spark, sf):
-    launches = view(spark, sf, "fx_launches").withColumnRenamed("app_name", "name")
+    """Launches of a day arrive at different milliseconds."""
+    asked_at = plus_seconds(F.col("launched_at"), (F.col("session_id") % 1000) / 1000)
+    launches = view(spark, sf, "fx_launches").withColumnRenamed("app_name", "name").withColumn("asked_at", asked_at)
     return registry.register_sessions(
         launches,
         next_id=1_000_000,
-        order=F.col("session_id"),
-        tie=F.col("token"),
+        order=F.col("asked_at"),
+        tie=F.col("session_id"),
         created_at=F.col("launched_at"),
         token=F.col("token"),
     )
@@ -70,8 +72,31 @@ def _unregistrations(spark, sf):
     return transitions.apply_unregistrations(view(spark, sf, "fx_registry"), _token_events(spark, sf, S.UNREGISTER))
 
 
-def _launch_failures(spark, sf):
-    return transitions.apply_launch_failures(view(spark, sf, "fx_registry"), _token_events(spark, sf, S.LAUNCH_FAILED))
+def _launch_failures(spark, sf, guarded=True):
+    return transitions.apply_launch_failures(view(spark, sf, "fx_registry"), _token_events(spark, sf, S.LAUNCH_FAILED), guarded)
+
+
+def _callbacks(spark, sf):
+    """Callback bodies made of the token events: whole, without a field, with a number for a string, and not JSON."""
+    body = """CASE seq % 5 WHEN 0 THEN to_json(named_struct('address', address, 'application_id', application_id))
+        WHEN 1 THEN to_json(named_struct('address', coalesce(address, ''), 'application_id', 'a "quoted" \\\\ name', 'more', seq))
+        WHEN 2 THEN to_json(named_struct('address', 'h:1', 'application_id', seq))
+        WHEN 3 THEN concat('{"address": "h:', seq, '"') ELSE to_json(named_struct('address', 'h:1', 'application_id', kind)) END AS body"""
+    return parse_callbacks(view(spark, sf, "fx_token_events").selectExpr("seq", "token", body), "body")
+
+
+def _update_counts(spark, sf):
+    """Rows each update sets, as the service reports them."""
+    changes = {
+        "apply_registrations": _registrations(spark, sf),
+        "apply_unregistrations": _unregistrations(spark, sf),
+        "apply_stops": _stops(spark, sf),
+        "apply_launch_failures": _launch_failures(spark, sf),
+        "apply_connect_failures": _connect_failures(spark, sf),
+        "health_sweep": _health(spark, sf),
+    }
+    marked = [change.marked.select(F.lit(name).alias("update"), "_hit") for name, change in changes.items()]
+    return reduce(DataFrame.unionByName, marked).groupBy("update").agg(F.count_if("_hit").alias("rows"))
 
 
 def _stops(spark, sf):
@@ -80,8 +105,7 @@ def _stops(spark, sf):
 
 def _connect_failures(spark, sf):
     sessions = view(spark, sf, "fx_registry")
-    running = sessions.where(F.col("state") == S.RUNNING).select("id", "token")
-    attempts = view(spark, sf, "fx_probes").join(running, "id").select("token", "attempt", "ok")
+    attempts = view(spark, sf, "fx_probes").join(sessions.select("id", "token"), "id").select("token", "attempt", "ok")
     return transitions.apply_connect_failures(sessions, attempts)
 
 
@@ -131,18 +155,8 @@ def _grpc_requests(spark, sf):
     )
 
 
-def _resolve_requests(spark, sf, hot_rows=HOT_ROWS):
-    log = view(spark, sf, "fx_lifecycle")
-    created = _created(log)
-    requests = _grpc_requests(spark, sf)
-    both = requests.select("session_key", "ts").unionByName(log.select("session_key", "ts"))
-    slices = find_slices(both, "session_key", micros(F.col("ts")), hot_rows)
-    history = lifecycle.session_history(log, created, hot_rows)
-    if slices.table is not None:  # the hot sessions' part is read twice
-        history = stored(history, "history")
-    return resolution.resolve_requests(
-        requests, history, windows=lifecycle.launch_windows(log, created), slices=slices
-    )
+def _resolve_requests(spark, sf):
+    return resolution.resolve_requests(_grpc_requests(spark, sf), _session_history(spark, sf))
 
 
 def _resolve_against_snapshot(spark, sf):
@@ -157,8 +171,8 @@ def _request_outcomes(spark, sf):
 
 def _upstream_reuse(spark, sf):
     valid = _grpc_requests(spark, sf).where(has_grpc_token(F.col("auth_header")))
-    ended = view(spark, sf, "fx_lifecycle").where(F.col("kind").isin(S.UNREGISTER, S.STOP))
-    return traffic.upstream_reuse(valid, ended)
+    log = view(spark, sf, "fx_lifecycle")
+    return traffic.upstream_reuse(valid, log.where(F.col("kind").isin(S.UNREGISTER, S.STOP)), _created(log))
 
 
 def _launches(spark, sf):
@@ -169,14 +183,13 @@ def _resolve_versions(spark, sf):
     return launch.resolve_versions(view(spark, sf, "fx_launches"), view(spark, sf, "fx_versions"))
 
 
+def _configured(operator, spark, sf):
+    names = ("fx_user_conf", "fx_conf_layers", "fx_versions")
+    return operator(_launches(spark, sf), *(view(spark, sf, name) for name in names), SERVICE)
+
+
 def _effective_config(spark, sf):
-    return launch.effective_config(
-        _launches(spark, sf),
-        view(spark, sf, "fx_user_conf"),
-        view(spark, sf, "fx_conf_layers"),
-        view(spark, sf, "fx_versions"),
-        SERVICE,
-    )
+    return _configured(launch.effective_config, spark, sf)
 
 
 def _violations(spark, sf):
@@ -184,14 +197,7 @@ def _violations(spark, sf):
 
 
 def _launch_specs(spark, sf):
-    specs = launch.launch_specs(
-        _launches(spark, sf),
-        view(spark, sf, "fx_versions"),
-        _effective_config(spark, sf),
-        _violations(spark, sf),
-        SERVICE,
-    )
-    return specs.withColumn("args", F.array_join("args", " "))
+    return _configured(launch.launch_specs, spark, sf).withColumn("args", F.array_join("args", " "))
 
 
 def _stream_registry(spark, sf):
@@ -199,25 +205,32 @@ def _stream_registry(spark, sf):
 
 
 def _stream_launch_timeouts(spark, sf):
-    def kinds(*names):
-        return view_stream(spark, sf, "fx_launch_events").where(F.col("kind").isin(*names))
+    """All that the stream reports, and what it would report next if nothing came any more."""
 
-    late = streaming.stream_launch_timeouts(
-        kinds("launch").withColumnRenamed("event_id", "launch_id"), kinds("callback", "exit_nonzero"), TIMEOUT_S, DELAY
-    )
-    return without_zone(append_to_files(late, "launch-timeouts"))
+    def kinds(rows, *names):
+        return rows.where(F.col("kind").isin(*names))
+
+    def inputs(rows):
+        return kinds(rows, "launch").withColumnRenamed("event_id", "launch_id"), kinds(rows, "callback", "exit_nonzero")
+
+    stream = streaming.stream_launch_timeouts(*inputs(view_stream(spark, sf, "fx_launch_events")), TIMEOUT_S, DELAY)
+    reported, mark = append_to_files(stream, "launch-timeouts")
+    rest = streaming.open_launch_timeouts(reported, *inputs(with_zone(view(spark, sf, "fx_launch_events"))), TIMEOUT_S, mark)
+    return without_zone(reported.unionByName(rest))
 
 
 def _stream_idle_sessions(spark, sf):
-    idle = streaming.stream_idle_sessions(view_stream(spark, sf, "fx_activity"), TIMEOUT_S, DELAY)
-    return without_zone(append_to_files(idle, "idle-sessions"))
+    """All spans the stream has closed, and those still open at its end."""
+    reported, _ = append_to_files(streaming.stream_idle_sessions(view_stream(spark, sf, "fx_activity"), TIMEOUT_S, DELAY), "idle-sessions")
+    rest = streaming.open_idle_sessions(reported, with_zone(view(spark, sf, "fx_activity")), TIMEOUT_S)
+    return without_zone(reported.unionByName(rest))
 
 
 def _stream_request_resolution(spark, sf):
     requests = view_stream(spark, sf, "fx_requests").where(is_grpc(F.col("path")))
     sessions = resolution.one_session_per_token(view(spark, sf, "fx_registry"))
     resolved = streaming.stream_request_resolution(requests, sessions)
-    return append_to_files(resolved, "request-resolution")
+    return append_to_files(resolved, "request-resolution")[0]
 
 
 def _requests(operator) -> Query:
@@ -236,6 +249,9 @@ QUERIES: dict[str, Query] = {
     "apply_stops_unmatched": lambda spark, sf: _stops(spark, sf).unmatched,
     "apply_stops_to_signal": lambda spark, sf: _stops(spark, sf).to_signal,
     "apply_launch_failures": lambda spark, sf: _launch_failures(spark, sf).registry,
+    "apply_spawn_failures": lambda spark, sf: _launch_failures(spark, sf, guarded=False).registry,
+    "parse_callbacks": _callbacks,
+    "update_counts": _update_counts,
     "apply_connect_failures": lambda spark, sf: _connect_failures(spark, sf).registry,
     "prune_terminal": lambda spark, sf: _prune(spark, sf).pruned,
     "prune_terminal_kept": lambda spark, sf: _prune(spark, sf).kept,

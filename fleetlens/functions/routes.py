@@ -19,7 +19,11 @@ def is_grpc(path: Column) -> Column:
 
 
 def route_of(method: Column, path: Column) -> Column:
-    """grpc, apps, app, versions, callback, rest_bad_id, method_not_allowed or not_found. HEAD counts as GET."""
+    """grpc, apps, app, versions, callback, rest_bad_id, method_not_allowed or not_found. HEAD counts as GET.
+
+    Only what stands before a ``?`` chooses the route.
+    """
+    path = F.substring_index(path, "?", 1)
     reads = method.isin("GET", "HEAD")
     app_id = F.substring(path, F.lit(len("/apps/") + 1), F.length(path))
     int32 = app_id.rlike(_INTEGER) & app_id.try_cast("int").isNotNull()

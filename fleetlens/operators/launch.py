@@ -63,67 +63,64 @@ def list_versions(versions: DataFrame) -> DataFrame:
 
 
 def _settings_by_version(versions: DataFrame, layers: DataFrame, service: Service) -> DataFrame:
-    """Every key a launch of a version gets whatever the user asks for, with and without packages.
+    """Per (version, packaged), every key a launch gets whatever the user asks for, as a map to its layers.
 
-    One row per (version, packaged, key); grows with the configuration, not with the launches.
+    One aggregation over the configuration tables; the map grows with them, not with the launches.
     """
-    keyed = layers.groupBy("version", "conf_key").agg(
-        *[F.max(F.when(F.col("layer") == n, F.col("conf_value"))).alias(n) for n in ("default", "merge", "override")]
-    )
-    names = versions.select("version").distinct()
     always = [APP_NAME, TOKEN, service.callback_key, service.idle_key, LISTENERS, INTERCEPTORS, PORT]
     nothing = F.lit(None).cast("string")
+    own = versions.select("version", F.explode(F.array(*[F.lit(k) for k in always])).alias("conf_key"), nothing.alias("layer"), nothing.alias("conf_value"))
+    both = own.unionByName(layers.select("version", "conf_key", "layer", "conf_value")).withColumn("packaged", F.explode(F.array(F.lit(False), F.lit(True))))
+    packed = versions.select(
+        "version",
+        F.explode(F.array(F.lit(ARCHIVES), F.lit(PYTHON))).alias("conf_key"),
+        nothing.alias("layer"),
+        nothing.alias("conf_value"),
+        F.lit(True).alias("packaged"),
+    )
+    entries = both.unionByName(packed).groupBy("version", "packaged").agg(F.collect_list(F.struct("conf_key", "layer", "conf_value")).alias("_e"))
+    keys = F.array_distinct(F.transform("_e", lambda e: e["conf_key"]))
 
-    def keys(listed: list[str]) -> DataFrame:
-        return names.select(
-            "version",
-            F.explode(F.array(*[F.lit(k) for k in listed])).alias("conf_key"),
-            nothing.alias("default"),
-            nothing.alias("merge"),
-            nothing.alias("override"),
-        )
+    def of_layer(key: Column, name: str) -> Column:
+        own = F.filter("_e", lambda e: (e["conf_key"] == key) & (e["layer"] == name))
+        return F.array_max(F.transform(own, lambda e: e["conf_value"])).alias(name)
 
-    def merged(rows: DataFrame, packaged: bool) -> DataFrame:
-        return (
-            rows.groupBy("version", "conf_key")
-            .agg(*[F.max(c).alias(c) for c in ("default", "merge", "override")])
-            .withColumn("packaged", F.lit(packaged))
-        )
+    by_key = F.transform(keys, lambda k: F.struct(*[of_layer(k, n) for n in ("default", "merge", "override")]))
+    return entries.select("version", "packaged", F.map_from_arrays(keys, by_key).alias("_given"))
 
-    plain = keyed.unionByName(keys(always))
-    return merged(plain, False).unionByName(merged(plain.unionByName(keys([ARCHIVES, PYTHON])), True))
 
+def _session_rows(launches: DataFrame, user_conf: DataFrame, layers: DataFrame, versions: DataFrame, service: Service) -> DataFrame:
+    """Launches with their version's settings, one row for each setting the user asked for, at least one.
 
-def effective_config(
-    launches: DataFrame, user_conf: DataFrame, layers: DataFrame, versions: DataFrame, service: Service
-) -> DataFrame:
-    """Final settings per launch in long form (session_id, conf_key, conf_value).
+    Both sides are shuffled once, on ``session_id``; everything after works on a session's rows where they are.
+    """
+    resolved = resolve_versions(launches, versions).withColumn("packaged", F.coalesce("packaged", F.lit(False)))
+    given = resolved.join(_settings_by_version(versions, layers, service), ["version", "packaged"], "left")
+    return given.join(user_conf.select("session_id", "conf_key", F.col("conf_value").alias("_user")), "session_id", "left")
 
-    ``launches(session_id, version_name, app_name, token, packaged)``; launches with an unknown version
-    have no settings. ``user_conf(session_id, conf_key, conf_value)`` has one row per session and key.
 
-    Both sides meet in one full outer join on (session, key), so a session with very many
-    settings is spread over tasks; the layers are joined on by version beforehand.
+def _with_values(rows: DataFrame, service: Service, wanted: Column | None = None) -> DataFrame:
+    """A row per final setting (conf_key, conf_value) of each session; null ones where a session has none or isn't ``wanted``.
+
+    The first row of a session also brings the keys its version gives that the user didn't ask for.
     """
-    accepted = (
-        resolve_versions(launches, versions)
-        .where(F.col("version_status") == "found")
-        .select("session_id", "version", "app_name", "token", F.coalesce("packaged", F.lit(False)).alias("packaged"))
-    )
-    given = accepted.join(_settings_by_version(versions, layers, service), ["version", "packaged"]).select(
-        "session_id", "conf_key", "default", "merge", "override", "app_name", "token", "packaged"
-    )
-    asked = user_conf.join(accepted.select("session_id"), "session_id", "left_semi").select(
-        "session_id", "conf_key", F.col("conf_value").alias("user")
-    )
-    key = F.col("conf_key")
-    base = F.coalesce("user", "default")
-    merged = F.when(
-        F.col("merge").isNotNull() & base.isNotNull(), F.concat(base, F.lit(","), F.col("merge"))
-    ).otherwise(F.coalesce("merge", base))
-    layered = F.coalesce(F.col("override"), merged)
+    session = Window.partitionBy("session_id")
+    asked = F.collect_set(F.when(F.map_contains_key("_given", F.col("conf_key")), F.col("conf_key"))).over(session)
+    first = F.row_number().over(session.orderBy("conf_key")) == 1
+    none = F.array().cast("array<struct<key:string,user:string>>")
+    own = F.when(F.col("conf_key").isNotNull(), F.array(F.struct(F.col("conf_key").alias("key"), F.col("_user").alias("user")))).otherwise(none)
+    others = F.transform(
+        F.array_except(F.map_keys("_given"), F.col("_asked")), lambda k: F.struct(k.alias("key"), F.lit(None).cast("string").alias("user"))
+    )
+    entries = F.concat(own, F.when(F.col("_first"), F.coalesce(others, none)).otherwise(none))
+    if wanted is not None:
+        entries = F.when(wanted, entries).otherwise(none)
+    rows = rows.withColumns({"_asked": asked, "_first": first}).withColumn("_entry", F.explode_outer(entries))
+    key, layer = F.col("_entry.key"), F.element_at("_given", F.col("_entry.key"))
+    base = F.coalesce(F.col("_entry.user"), layer["default"])
+    merged = F.when(layer["merge"].isNotNull() & base.isNotNull(), F.concat(base, F.lit(","), layer["merge"])).otherwise(F.coalesce(layer["merge"], base))
+    layered = F.coalesce(layer["override"], merged)
     environment = F.lit(f"{service.tarball}#environment")
-    packaged = F.coalesce("packaged", F.lit(False))
     value = (
         F.when(
             key == APP_NAME,
@@ -135,16 +132,27 @@ def effective_config(
         .when(key == LISTENERS, service.listener_class)
         .when(key == INTERCEPTORS, service.interceptor_class)
         .when(key == PORT, "0")
-        .when((key == PYTHON) & packaged, ENVIRONMENT_PYTHON)
+        .when((key == PYTHON) & F.col("packaged"), ENVIRONMENT_PYTHON)
         .when(
-            (key == ARCHIVES) & packaged,
+            (key == ARCHIVES) & F.col("packaged"),
             F.when(F.length(layered) > 0, F.concat(layered, F.lit(","), environment)).otherwise(environment),
         )
         .otherwise(layered)
     )
-    return asked.join(given, ["session_id", "conf_key"], "full").select(
-        "session_id", "conf_key", value.alias("conf_value")
-    )
+    return rows.drop("conf_key").withColumns({"conf_key": key, "conf_value": value})
+
+
+def effective_config(
+    launches: DataFrame, user_conf: DataFrame, layers: DataFrame, versions: DataFrame, service: Service
+) -> DataFrame:
+    """Final settings per launch in long form (session_id, conf_key, conf_value).
+
+    ``launches(session_id, version_name, app_name, token, packaged)``; launches with an unknown version
+    have no settings. ``user_conf(session_id, conf_key, conf_value)`` has one row per session and key. The settings of one
+    session are worked on by one task, as they are one command line in the end.
+    """
+    rows = _session_rows(launches, user_conf, layers, versions, service).where(F.col("version_status") == "found")
+    return _with_values(rows, service).select("session_id", "conf_key", "conf_value")
 
 
 def _findings(value: Column) -> Column:
@@ -167,13 +175,17 @@ def _findings(value: Column) -> Column:
     return F.filter(judged, lambda e: e["reason"].isNotNull())
 
 
+def _rank(key: Column) -> Column:
+    return F.array_position(F.array(*[F.lit(k) for k in CHECKED_KEYS]), key)
+
+
 def config_policy_violations(user_conf: DataFrame) -> DataFrame:
     """Every entry of the file settings without a protocol or with file://; ``is_first`` is the one that rejects.
 
     The window that finds the first runs before the entries are exploded, over at most one row per
     checked key of a session.
     """
-    rank = F.array_position(F.array(*[F.lit(k) for k in CHECKED_KEYS]), F.col("conf_key"))
+    rank = _rank(F.col("conf_key"))
     found = (
         user_conf.where(F.col("conf_key").isin(*CHECKED_KEYS))
         .select("session_id", "conf_key", rank.alias("_rank"), _findings(F.col("conf_value")).alias("_found"))
@@ -192,19 +204,25 @@ def config_policy_violations(user_conf: DataFrame) -> DataFrame:
 
 
 def launch_specs(
-    launches: DataFrame, versions: DataFrame, config: DataFrame, violations: DataFrame, service: Service
+    launches: DataFrame, user_conf: DataFrame, layers: DataFrame, versions: DataFrame, service: Service
 ) -> DataFrame:
     """One row per launch: its submit command, or why it is rejected (version first, then policy).
 
     ``args`` is an array; settings are in key order. A launch's settings end up on one command
-    line, so the operating system's argument limit bounds what is collected per row.
+    line, so the operating system's argument limit bounds what is collected per row. Versions, policy and settings are all
+    worked out on one shuffle of the launches and one of the user's settings; rejected launches get no settings.
     """
-    policy = violations.where("is_first").select("session_id", F.col("reason").alias("_policy"))
-    resolved = resolve_versions(launches, versions).join(policy, "session_id", "left")
-    settings = config.groupBy("session_id").agg(
-        F.array_sort(F.collect_list(F.struct("conf_key", "conf_value"))).alias("_conf")
+    rows = _session_rows(launches, user_conf, layers, versions, service)
+    found = F.when(F.col("conf_key").isin(*CHECKED_KEYS), _findings(F.col("_user")))
+    bad = F.when(F.size("_found") > 0, F.struct(_rank(F.col("conf_key")).alias("rank"), F.col("_found")[0]["pos"].alias("pos"), F.col("_found")[0]["reason"].alias("reason")))
+    policy = F.min("_bad").over(Window.partitionBy("session_id"))["reason"]
+    rejected = F.when(F.col("version_status") != "found", "version_not_found").otherwise(policy)
+    judged = rows.withColumn("_found", found).withColumn("_bad", bad).withColumn("rejected_reason", rejected)
+    settled = _with_values(judged, service, F.col("rejected_reason").isNull())
+    session = ["session_id", "username", "home", "master", "deploy_mode", "proxy_user", "rejected_reason"]
+    specs = settled.groupBy(*session).agg(
+        F.array_sort(F.collect_list(F.when(F.col("conf_key").isNotNull(), F.struct("conf_key", "conf_value")))).alias("_conf")
     )
-    rejected = F.when(F.col("version_status") != "found", "version_not_found").otherwise(F.col("_policy"))
     accepted = F.col("rejected_reason").isNull()
     none = F.array().cast("array<string>")
     conf = F.flatten(
@@ -225,14 +243,10 @@ def launch_specs(
         option("--proxy-user", F.col("username"), F.coalesce("proxy_user", F.lit(False))),
         F.array(F.lit(service.plugin)),
     )
-    return (
-        resolved.withColumn("rejected_reason", rejected)
-        .join(settings, "session_id", "left")
-        .select(
-            "session_id",
-            F.when(accepted, "LAUNCHING").otherwise("FAILED").alias("state"),
-            "rejected_reason",
-            F.when(accepted, F.concat(F.col("home"), F.lit("/bin/spark-submit"))).alias("command"),
-            F.when(accepted, args).alias("args"),
-        )
+    return specs.select(
+        "session_id",
+        F.when(accepted, "LAUNCHING").otherwise("FAILED").alias("state"),
+        "rejected_reason",
+        F.when(accepted, F.concat(F.col("home"), F.lit("/bin/spark-submit"))).alias("command"),
+        F.when(accepted, args).alias("args"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens import schemas as S
 from fleetlens.functions.clock import SECOND, ceil_div, floor_div, micros, moment, plus_seconds
 from fleetlens.functions.lifecycle import UNGUARDED, end_state, fold_facts, state_after
-from fleetlens.plans.slices import HOT_ROWS, SLICE, find_slices
+from fleetlens.plans.cells import CELL, SEQ_CELL, TIME_CELL, across, carry, cell_of, within
 
 
 def fold_lifecycle(events: DataFrame) -> DataFrame:
@@ -16,104 +16,84 @@ def fold_lifecycle(events: DataFrame) -> DataFrame:
     return events.groupBy("session_key").agg(*fold_facts("seq")).select("session_key", *end_state())
 
 
-def launch_windows(events: DataFrame, created: DataFrame) -> DataFrame:
-    """Per session, when it was created and when it left LAUNCHING (null: never).
-
-    It leaves with its first event other than a health failure, which needs RUNNING.
-    """
-    first = (
-        events.where(F.col("kind") != S.HEALTH_FAILED)
-        .groupBy("session_key")
-        .agg(F.min_by("ts", "seq").alias("launch_end"))
-    )
-    return created.join(first, "session_key", "left").select("session_key", "created_at", "launch_end")
-
-
-def session_history(events: DataFrame, created: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def session_history(events: DataFrame, created: DataFrame, width: int = SEQ_CELL) -> DataFrame:
     """Validity intervals [valid_from, valid_to) per session; events without effect are dropped.
 
-    Replays the log in ``seq`` order with one shuffle on (session, slice). A slice of a hot session
-    starts from the folded state of its earlier slices and ends at the first change of the later ones.
+    Replays the log in ``seq`` order, per cell of ``width`` arrival numbers. The order of arrival is the truth, so time never runs
+    backwards: an event counts from its own time or that of an event that arrived before it, whichever is
+    later. A cell starts from the folded state of the cells before it and ends at the first change in those after it.
     """
     key = "session_key"
-    slices = find_slices(events, key, F.col("seq"), hot_rows)
-    log = events.select(key, "seq", "ts", "kind", "address", "application_id", F.col("seq").alias("_at")).unionByName(
-        created.selectExpr(
-            key,
-            "cast(null AS bigint) AS seq",
-            "created_at AS ts",
-            f"'{S.CREATE}' AS kind",
-            "cast(null AS string) AS address",
-            "cast(null AS string) AS application_id",
-            f"{-(1 << 62)}L AS _at",
+    log = (
+        events.select(key, "seq", "ts", "kind", "address", "application_id", F.col("seq").alias("_at"))
+        .unionByName(
+            created.selectExpr(
+                key,
+                "cast(null AS bigint) AS seq",
+                "created_at AS ts",
+                f"'{S.CREATE}' AS kind",
+                "cast(null AS string) AS address",
+                "cast(null AS string) AS application_id",
+                f"{-(1 << 62)}L AS _at",
+            )
         )
+        .withColumn(CELL, cell_of(F.col("_at"), width))
     )
-    at = F.col("_at")
-    across = Window.partitionBy(key).orderBy(SLICE)
-    within = Window.partitionBy(key, SLICE).orderBy("_at")
-    earlier = within.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    def changes(sliced: DataFrame) -> DataFrame:
-        set_before = F.last(F.expr(f"CASE WHEN {UNGUARDED} THEN kind END"), ignorenulls=True).over(earlier)
-        app = F.last(F.expr(f"CASE WHEN kind = '{S.REGISTER}' THEN struct(application_id) END"), ignorenulls=True)
-        app = app.over(so_far)
-        previous = F.lag("_status").over(within)
-        rows = sliced.repartition(key, SLICE)
-        if slices.table is not None:
-            rows = rows.join(F.broadcast(carried), [key, SLICE], "left")
-            set_before = F.coalesce(set_before, F.col("_set_before"))
-            app = F.coalesce(app, F.col("_app_before"))
-            previous = F.coalesce(previous, F.col("_status_before"))
-        effective = f"""CASE kind WHEN '{S.LAUNCH_FAILED}' THEN _set IS NULL
-            WHEN '{S.HEALTH_FAILED}' THEN _set <=> '{S.REGISTER}' ELSE true END"""
-        status = f"""struct({state_after("kind")} AS state, CASE WHEN kind = '{S.REGISTER}' THEN address END AS address,
-            _app.application_id AS application_id)"""
-        return (
-            rows.withColumns({"_set": set_before, "_app": app})
-            .where(effective)
-            .withColumn("_status", F.expr(status))
-            .withColumn("_previous", previous)
-            .where("_previous IS NULL OR NOT _previous <=> _status")
-            .select(key, SLICE, "seq", "_at", "ts", "_status")
+    before = across(key)
+    carried = (
+        log.groupBy(key, CELL)
+        .agg(*fold_facts("_at"), F.max("ts").alias("_latest"))
+        .select(
+            key,
+            CELL,
+            F.last("last_set", ignorenulls=True).over(before).alias("last_set"),
+            F.max("last_health").over(before).alias("last_health"),
+            F.max("launch_failed").over(before).alias("launch_failed"),
+            F.last("last_app", ignorenulls=True).over(before).alias("last_app"),
+            F.max("_latest").over(before).alias("_latest_before"),
+            F.row_number().over(Window.partitionBy(key).orderBy(CELL)).alias("_nth"),
         )
-
-    valid_to = F.lead("ts").over(within)
-    if slices.table is not None:
-        before = across.rowsBetween(Window.unboundedPreceding, -1)
-        carried = (
-            slices.hot(log, at)
-            .groupBy(key, SLICE)
-            .agg(*fold_facts("_at"))
-            .select(
-                key,
-                SLICE,
-                F.last("last_set", ignorenulls=True).over(before).alias("last_set"),
-                F.max("last_health").over(before).alias("last_health"),
-                F.max("launch_failed").over(before).alias("launch_failed"),
-                F.last("last_app", ignorenulls=True).over(before).alias("last_app"),
-                F.row_number().over(across).alias("_nth"),
-            )
-            .where("_nth > 1")
-            .select(
-                key,
-                SLICE,
-                F.expr("last_set.kind AS _set_before"),
-                F.expr("last_app AS _app_before"),
-                F.struct(*end_state()).alias("_status_before"),
-            )
+        .select(
+            key,
+            CELL,
+            "_latest_before",
+            F.expr("last_set.kind AS _set_before"),
+            F.expr("last_app AS _app_before"),
+            F.when(F.col("_nth") > 1, F.struct(*end_state())).alias("_status_before"),
         )
-        next_change = (
-            changes(slices.hot(log, at))
-            .groupBy(key, SLICE)
-            .agg(F.min_by("ts", "_at").alias("_first"))
-            .select(key, SLICE, F.lead("_first").over(across).alias("_next_slice"))
+    )
+    in_order = within(key, "_at")
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    set_before = F.last(F.expr(f"CASE WHEN {UNGUARDED} THEN kind END"), ignorenulls=True).over(earlier)
+    app = F.last(F.expr(f"CASE WHEN kind = '{S.REGISTER}' THEN struct(application_id) END"), ignorenulls=True).over(so_far)
+    effective = f"""CASE kind WHEN '{S.LAUNCH_FAILED}' THEN _set IS NULL
+        WHEN '{S.HEALTH_FAILED}' THEN _set <=> '{S.REGISTER}' ELSE true END"""
+    status = f"""struct({state_after("kind")} AS state, CASE WHEN kind = '{S.REGISTER}' THEN address END AS address,
+        _app.application_id AS application_id)"""
+    changes = (
+        carry(log, carried, key)
+        .withColumns(
+            {
+                "_from": F.greatest("_latest_before", F.max("ts").over(so_far)),
+                "_set": F.coalesce(set_before, F.col("_set_before")),
+                "_app": F.coalesce(app, F.col("_app_before")),
+            }
         )
-        valid_to = F.coalesce(valid_to, F.col("_next_slice"))
-    rows = changes(slices.assign(log, at))
-    if slices.table is not None:
-        rows = rows.join(F.broadcast(next_change), [key, SLICE], "left")
-    return rows.select(key, "seq", F.col("ts").alias("valid_from"), valid_to.alias("valid_to"), "_status.*")
+        .where(effective)
+        .withColumn("_status", F.expr(status))
+        .withColumn("_previous", F.coalesce(F.lag("_status").over(in_order), F.col("_status_before")))
+        .where("_previous IS NULL OR NOT _previous <=> _status")
+        .select(key, CELL, "seq", "_at", "_from", "_status")
+    )
+    later = Window.partitionBy(key).orderBy(CELL)
+    next_change = (
+        changes.groupBy(key, CELL)
+        .agg(F.min("_from").alias("_first"))
+        .select(key, CELL, F.lead("_first").over(later).alias("_next"))
+    )
+    valid_to = F.coalesce(F.lead("_from").over(in_order), F.col("_next"))
+    return carry(changes, next_change, key).select(key, "seq", F.col("_from").alias("valid_from"), valid_to.alias("valid_to"), "_status.*")
 
 
 def launch_timeouts(
@@ -122,52 +102,43 @@ def launch_timeouts(
     exits: DataFrame,
     timeout_s: int,
     observed_until,
-    hot_rows: int | None = HOT_ROWS,
+    width: int = TIME_CELL,
 ) -> DataFrame:
     """Outcome per launch: registered, exited, timed_out or pending.
 
     ``launches(session_key, launch_id, ts)``, ``callbacks(session_key, ts)`` and non-zero
-    ``exits(session_key, ts)``; facts after ``observed_until`` aren't known yet. A launch fails at its first
-    exit or its deadline, unless a callback came by then; a later callback revives it. Finds the
-    next callback and exit with one linear pass per (session, slice), not by pairing.
+    ``exits(session_key, ts)``; whatever comes after ``observed_until`` isn't known yet, launches included. A launch fails
+    at its first exit or its deadline, unless a callback came by then; a later callback revives it. Finds the
+    next callback and exit with one linear pass per (session, cell of ``width`` microseconds), not by pairing.
     """
     key = "session_key"
     until = moment(observed_until, launches.schema["ts"].dataType)
     no_id = F.lit(None).cast(launches.schema["launch_id"].dataType).alias("launch_id")
     known = F.col("ts") <= until
     log = (
-        launches.select(key, "launch_id", "ts", F.lit(0).alias("_what"))
+        launches.where(known).select(key, "launch_id", "ts", F.lit(0).alias("_what"))
         .unionByName(callbacks.where(known).select(key, no_id, "ts", F.lit(1).alias("_what")))
         .unionByName(exits.where(known).select(key, no_id, "ts", F.lit(2).alias("_what")))
         .withColumn("_at", micros(F.col("ts")))
+        .withColumn(CELL, cell_of(F.col("_at"), width))
     )
-    slices = find_slices(log, key, F.col("_at"), hot_rows)
     callback, exit_ts = F.expr("CASE WHEN _what = 1 THEN ts END"), F.expr("CASE WHEN _what = 2 THEN ts END")
-    # Backwards in time, launches last among equals, so "last seen" is the next one at or after the launch.
-    back = (
-        Window.partitionBy(key, SLICE)
-        .orderBy(F.col("_at").desc(), F.col("_what").desc())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    next_callback = F.last(callback, ignorenulls=True).over(back)
-    next_exit = F.last(exit_ts, ignorenulls=True).over(back)
-    rows = slices.assign(log, F.col("_at")).repartition(key, SLICE)
-    if slices.table is not None:
-        later = Window.partitionBy(key).orderBy(F.col(SLICE).desc()).rowsBetween(Window.unboundedPreceding, -1)
-        carried = (
-            slices.hot(log, F.col("_at"))
-            .groupBy(key, SLICE)
-            .agg(F.min(callback).alias("_c"), F.min(exit_ts).alias("_e"))
-            .select(
-                key,
-                SLICE,
-                F.last("_c", ignorenulls=True).over(later).alias("_callback_later"),
-                F.last("_e", ignorenulls=True).over(later).alias("_exit_later"),
-            )
+    later = across(key, descending=True)
+    carried = (
+        log.groupBy(key, CELL)
+        .agg(F.min(callback).alias("_c"), F.min(exit_ts).alias("_e"))
+        .select(
+            key,
+            CELL,
+            F.last("_c", ignorenulls=True).over(later).alias("_callback_later"),
+            F.last("_e", ignorenulls=True).over(later).alias("_exit_later"),
         )
-        rows = rows.join(F.broadcast(carried), [key, SLICE], "left")
-        next_callback = F.coalesce(next_callback, F.col("_callback_later"))
-        next_exit = F.coalesce(next_exit, F.col("_exit_later"))
+    )
+    # Backwards in time, launches last among equals, so "last seen" is the next one at or after the launch.
+    back = within(key, F.col("_at").desc(), F.col("_what").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    next_callback = F.coalesce(F.last(callback, ignorenulls=True).over(back), F.col("_callback_later"))
+    next_exit = F.coalesce(F.last(exit_ts, ignorenulls=True).over(back), F.col("_exit_later"))
+    rows = carry(log, carried, key)
     deadline = plus_seconds(F.col("ts"), timeout_s)
     outcome = (
         F.when(F.col("registered_at") <= F.coalesce(F.least("_exit", "_deadline"), "_deadline"), "registered")

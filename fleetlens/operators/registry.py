@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,8 @@ from fleetlens import schemas as S
 from fleetlens.functions.clock import moment
 from fleetlens.functions.text import render_link
 from fleetlens.plans.numbering import dense_number
-from fleetlens.plans.slices import HOT_ROWS
+
+_UTC_TIME = re.compile(r"\d{4}-\d\d-\d\d[Tt ]\d\d:\d\d:\d\d(\.\d{1,6})?([Zz]|[+-]\d\d:\d\d)")
 
 
 def info_columns(ui_template: str | None = None, log_template: str | None = None) -> list[Column]:
@@ -37,10 +39,13 @@ def parse_states(states: str | None) -> list[str]:
 
 
 def parse_timestamp(value: str | datetime | None) -> datetime | None:
+    """A full date and time in UTC, as ``2024-05-01T12:00:00Z``; anything else is refused."""
     if value is None or isinstance(value, datetime):
         return value
+    if not _UTC_TIME.fullmatch(value):
+        raise ValueError(f"malformed timestamp: {value}")
     try:
-        return datetime.fromisoformat(value)
+        return datetime.fromisoformat(value.replace("z", "Z"))
     except ValueError as error:
         raise ValueError(f"malformed timestamp: {value}") from error
 
@@ -91,14 +96,14 @@ def register_sessions(
     tie: Column,
     created_at: Column | None = None,
     token: Column | None = None,
-    slice_rows: int = HOT_ROWS,
+    width: int | None = None,
 ) -> DataFrame:
     """New registry rows for ``launches(username, name)``, in state LAUNCHING.
 
     Ids run on from ``next_id`` in (order, tie) order. Random tokens and the current time are the
     defaults; they change with every evaluation, so write the result once before using it twice.
     """
-    numbered = dense_number(launches, order, tie, "_number", slice_rows)
+    numbered = dense_number(launches, order, tie, "_number", width)
     return numbered.select(
         (F.lit(next_id) + F.col("_number")).cast("long").alias("id"),
         (F.current_timestamp() if created_at is None else created_at).alias("created_at"),

@@ -9,7 +9,7 @@ from fleetlens import schemas as S
 from fleetlens.functions.clock import SECOND, ceil_div, micros, plus_seconds
 from fleetlens.functions.headers import grpc_token, has_grpc_token
 from fleetlens.plans.asof import asof_lookup
-from fleetlens.plans.slices import HOT_ROWS, SLICE, Slices, find_slices, spread_unkeyed
+from fleetlens.plans.cells import SALTS, TIME_CELL, salted_lookup
 
 
 def _mismatch() -> Column:
@@ -17,6 +17,7 @@ def _mismatch() -> Column:
 
 
 def _target(address: Column) -> Column:
+    """The session's address with the path and query of the request."""
     path = F.when(F.length("path") > 0, F.col("path")).otherwise("/")
     return F.concat(F.lit("http://"), address, path)
 
@@ -32,15 +33,14 @@ def resolve_requests(
     requests: DataFrame,
     history: DataFrame,
     windows: DataFrame | None = None,
-    slices: Slices | None = None,
-    hot_rows: int | None = HOT_ROWS,
+    width: int = TIME_CELL,
 ) -> DataFrame:
     """Outcome, state and target of each request, by the state of its session at that time.
 
     ``requests(req_id, ts, session_key, path, auth_header, conn_token)``, where ``session_key`` is the session the
     request's token belongs to, null if there is none. ``history`` is that of ``session_history``.
-    ``windows`` (creation and end of LAUNCHING per session) and ``slices`` are derived when not given;
-    give them if ``history`` is costly to compute twice.
+    ``windows`` (creation and end of LAUNCHING per session) are those of ``history`` when not given. Store ``history`` first if it is
+    costly to compute, since it is read twice.
 
     A request that meets LAUNCHING polls each second, so it is looked up at its first poll after
     LAUNCHING ends. That time is known once the session is joined on, so one linear as-of pass
@@ -50,12 +50,6 @@ def resolve_requests(
     at = micros(F.col("ts"))
     if windows is None:
         windows = launch_windows_of(history)
-    if slices is None:
-        both = requests.select(key, at.alias("_o")).unionByName(
-            history.select(key, micros(F.col("valid_from")).alias("_o"))
-        )
-        slices = find_slices(both, key, F.col("_o"), hot_rows)
-
     passes = has_grpc_token(F.col("auth_header"))
     parsed = requests.select(
         "req_id",
@@ -65,8 +59,7 @@ def resolve_requests(
         grpc_token(F.col("auth_header")).alias("_token"),
         "conn_token",
     )
-    sliced = slices.assign(parsed, at).withColumn(SLICE, spread_unkeyed(key, "req_id"))
-    found = sliced.join(slices.repeat(windows), [key, SLICE], "left")
+    found = salted_lookup(parsed, windows, key, "req_id")
 
     known = F.coalesce(F.col("created_at") <= F.col("ts"), F.lit(False))
     waits = F.col("launch_end").isNull() | (F.col("ts") < F.col("launch_end"))
@@ -89,11 +82,12 @@ def resolve_requests(
     answered = asof_lookup(
         looked_up,
         facts,
-        slices,
+        key,
         left_order=micros(F.col("answered_at")),
         right_order=micros(F.col("valid_from")),
         right_tie=F.expr(f"coalesce(seq, {-(1 << 62)}L)"),
         row_id="req_id",
+        width=width,
     )
     covered = F.col("found").isNotNull() & (
         F.col("found._until").isNull() | (micros(F.col("answered_at")) < F.col("found._until"))
@@ -135,26 +129,17 @@ def one_session_per_token(registry: DataFrame) -> DataFrame:
     )
 
 
-def resolve_against_snapshot(
-    requests: DataFrame, sessions: DataFrame, hot_rows: int | None = HOT_ROWS
-) -> DataFrame:
+def resolve_against_snapshot(requests: DataFrame, sessions: DataFrame, salts: int = SALTS) -> DataFrame:
     """As ``resolve_requests``, but by the state as it is now; LAUNCHING rows are ``waiting``.
 
     ``sessions(token, id, state, address)`` has one row per token (``one_session_per_token``). Requests may be a stream.
-    Rows without a token get join keys of their own, so they don't collect in one task. The requests of
-    a hot token are cut into slices by the hash of their id; AQE may overlook them, as it goes
-    by compressed size. A stream can't be counted beforehand and is bounded by its batches.
+    The requests of a token are spread over ``salts`` tasks, those without a token over all, by keys of their own. One salt leaves a
+    bucketed ``sessions`` table where it is, for logs without hot tokens.
     """
-    token = grpc_token(F.col("auth_header"))
-    parsed = requests.select("req_id", "path", "conn_token", token.alias("_token")).withColumn(
+    parsed = requests.select("req_id", "path", "conn_token", grpc_token(F.col("auth_header")).alias("_token")).withColumn(
         "token", F.coalesce("_token", F.concat(F.lit(" "), F.col("req_id").cast("string")))
     )
-    spread = F.xxhash64("req_id")
-    slices = find_slices(parsed, "token", spread, None if requests.isStreaming else hot_rows)
-    if slices.table is None:
-        joined = parsed.join(sessions, "token", "left")
-    else:
-        joined = slices.assign(parsed, spread).join(slices.repeat(sessions), ["token", SLICE], "left")
+    joined = salted_lookup(parsed, sessions, "token", "req_id", salts)
     state, address = F.col("state"), F.col("address")
     outcome = (
         F.when(F.col("_token").isNull(), "unauthenticated")

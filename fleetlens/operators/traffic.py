@@ -13,9 +13,7 @@ from fleetlens.functions.headers import (
     user_header_outcome,
 )
 from fleetlens.functions.routes import USER_ROUTES, is_grpc, route_of
-from fleetlens.plans.slices import HOT_ROWS, SLICE, find_slices
-
-_MAX_METHOD_ORD = 62
+from fleetlens.plans.cells import CELL, TIME_CELL, carry, cell_of, salted_lookup, within
 
 
 def traffic_by_route(requests: DataFrame) -> DataFrame:
@@ -54,34 +52,19 @@ def auth_header_audit(requests: DataFrame) -> DataFrame:
 def resolve_identity(attempts: DataFrame) -> DataFrame:
     """First method in order that yields a user, per request, and how many methods failed before it.
 
-    ``attempts(req_id, method_ord, username, error)``. Errors are kept as a bit per method, so the
-    whole job is one aggregation; a position beyond 62 stops the job.
+    ``attempts(req_id, method_ord, username, error)``, one row per request and method. One aggregation: it keeps the winner and how
+    many errors there are, and the errors before the winner are counted in a second pass over the request's rows, of
+    which only those with an error are left.
     """
-    ord_ = F.col("method_ord").cast("int")
-    checked = F.when(ord_.between(0, _MAX_METHOD_ORD), ord_).otherwise(
-        F.raise_error(F.lit(f"method_ord must be 0..{_MAX_METHOD_ORD}")).cast("int")
-    )
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_ord"))
-    before = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("method_ord")) - 1
-    errors = F.coalesce("_errors", F.lit(0).cast("long"))
+    named = F.when(F.col("username").isNotNull(), F.col("method_ord"))
+    winner = attempts.groupBy("req_id").agg(F.min_by("username", named).alias("username"), F.min(named).alias("method_ord"))
+    failed = attempts.where(F.col("error").isNotNull()).select("req_id", F.col("method_ord").alias("_failed"))
+    before = F.col("_failed").isNotNull() & (F.col("method_ord").isNull() | (F.col("_failed") < F.col("method_ord")))
     return (
-        attempts.select("req_id", "username", "error", checked.alias("_ord"))
-        .groupBy("req_id")
-        .agg(
-            F.min_by("username", F.when(F.col("username").isNotNull(), F.col("_ord"))).alias("username"),
-            F.min(F.when(F.col("username").isNotNull(), F.col("_ord"))).alias("method_ord"),
-            F.bit_or(F.when(F.col("error").isNotNull(), bit)).alias("_errors"),
-        )
-        .select(
-            "req_id",
-            "username",
-            "method_ord",
-            F.when(F.col("username").isNull(), F.bit_count(errors))
-            .otherwise(F.bit_count(errors.bitwiseAND(before)))
-            .cast("long")
-            .alias("errors_before"),
-            F.when(F.col("username").isNull(), 401).otherwise(200).alias("status"),
-        )
+        winner.join(failed, "req_id", "left")
+        .groupBy("req_id", "username", "method_ord")
+        .agg(F.count_if(before).alias("errors_before"))
+        .select("req_id", "username", "method_ord", "errors_before", F.when(F.col("username").isNull(), 401).otherwise(200).alias("status"))
     )
 
 
@@ -101,10 +84,13 @@ def token_mismatches(requests: DataFrame) -> DataFrame:
 
 
 def control_traffic(requests: DataFrame) -> DataFrame:
-    """Control messages by what the session answers; requests without one are normal traffic."""
+    """Control messages by what the session answers; gRPC requests without one are normal traffic.
+
+    Only a session's gRPC interceptor reads the control value, so other requests don't count.
+    """
     control = F.col("control")
     return (
-        requests.select(
+        requests.where(is_grpc(F.col("path"))).select(
             F.when(control.isNull(), "NORMAL")
             .when(control == "health", "OK")
             .when(control == "stop", "CANCELLED")
@@ -122,46 +108,36 @@ def control_traffic(requests: DataFrame) -> DataFrame:
     )
 
 
-def mark_reuse(requests: DataFrame, invalidations: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def mark_reuse(requests: DataFrame, invalidations: DataFrame, created: DataFrame, width: int = TIME_CELL) -> DataFrame:
     """Requests of known sessions with ``cached``: false for the first after the start or an invalidation.
 
-    ``requests(session_key, req_id, ts)``, ``invalidations(session_key, ts)``. A request opens a connection
-    exactly when the event before it is an invalidation or nothing, so only the previous event's
-    kind crosses a slice border.
+    ``requests(session_key, req_id, ts)``, ``invalidations(session_key, ts)``, ``created(session_key, created_at)``. A request
+    before its session's creation finds none, so it neither opens nor reuses a connection. A request opens one
+    exactly when the event before it is an invalidation or nothing, so only the last event's kind crosses a cell's border.
     """
     key = "session_key"
     no_id = F.lit(None).cast(requests.schema["req_id"].dataType).alias("req_id")
+    served = salted_lookup(requests.where(F.col(key).isNotNull()).select(key, "req_id", "ts"), created.select(key, "created_at"), key, "req_id")
     log = (
-        requests.where(F.col(key).isNotNull())
+        served.where(F.col("created_at") <= F.col("ts"))
         .select(key, "req_id", "ts", F.lit(1).alias("_what"))
         .unionByName(invalidations.select(key, no_id, "ts", F.lit(0).alias("_what")))
         .withColumn("_at", micros(F.col("ts")))
+        .withColumn(CELL, cell_of(F.col("_at"), width))
     )
-    slices = find_slices(log, key, F.col("_at"), hot_rows)
-    previous = F.lag("_what").over(Window.partitionBy(key, SLICE).orderBy("_at", "_what", "req_id"))
-    rows = slices.assign(log, F.col("_at")).repartition(key, SLICE)
-    if slices.table is not None:
-        carried = (
-            slices.hot(log, F.col("_at"))
-            .groupBy(key, SLICE)
-            .agg(F.expr("max(struct(_at, _what)) AS _newest"))
-            .select(
-                key, SLICE, F.lag("_newest._what").over(Window.partitionBy(key).orderBy(SLICE)).alias("_before")
-            )
-        )
-        rows = rows.join(F.broadcast(carried), [key, SLICE], "left")
-        previous = F.coalesce(previous, F.col("_before"))
-    return (
-        rows.withColumn("cached", F.coalesce(previous, F.lit(0)) == 1)
-        .where("_what = 1")
-        .select(key, "req_id", "ts", "cached")
+    carried = (
+        log.groupBy(key, CELL)
+        .agg(F.expr("max(struct(_at, _what)) AS _newest"))
+        .select(key, CELL, F.lag("_newest._what").over(Window.partitionBy(key).orderBy(CELL)).alias("_before"))
     )
+    previous = F.coalesce(F.lag("_what").over(within(key, "_at", "_what", "req_id")), F.col("_before"), F.lit(0))
+    return carry(log, carried, key).withColumn("cached", previous == 1).where("_what = 1").select(key, "req_id", "ts", "cached")
 
 
-def upstream_reuse(requests: DataFrame, invalidations: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def upstream_reuse(requests: DataFrame, invalidations: DataFrame, created: DataFrame, width: int = TIME_CELL) -> DataFrame:
     """Connections opened (misses) and reused (hits) per session."""
     return (
-        mark_reuse(requests, invalidations, hot_rows)
+        mark_reuse(requests, invalidations, created, width)
         .groupBy("session_key")
         .agg(F.count_if("cached").alias("hits"), F.count_if(~F.col("cached")).alias("misses"))
     )

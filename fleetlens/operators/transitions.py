@@ -144,7 +144,7 @@ def health_sweep(registry: DataFrame, probes: DataFrame) -> Change:
     )
     joined = registry.join(healthy, "id", "left").withColumn(
         "_hit",
-        (F.col("state") == S.RUNNING) & (F.col("address").isNull() | F.col("_healthy").isNull()),
+        F.col("state").eqNullSafe(S.RUNNING) & (F.col("address").isNull() | F.col("_healthy").isNull()),
     )
     swept = joined.select(
         "id",
@@ -168,9 +168,9 @@ def prune_cutoff(now: datetime, age_s: int) -> datetime:
 
 
 def is_prunable(registry: DataFrame, cutoff: datetime) -> Column:
-    """FAILED or FINISHED, and created at or before the cutoff."""
+    """FAILED or FINISHED, and created at or before the cutoff. Never null: rows without a state or time stay."""
     at = moment(cutoff, registry.schema["created_at"].dataType)
-    return F.col("state").isin(*S.TERMINAL_STATES) & (F.col("created_at") <= at)
+    return F.coalesce(F.col("state").isin(*S.TERMINAL_STATES) & (F.col("created_at") <= at), F.lit(False))
 
 
 @dataclass(frozen=True)

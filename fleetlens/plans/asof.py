@@ -1,6 +1,6 @@
 """As-of lookup: for each row on the left, the latest row of its key on the right.
 
-One shuffle of both sides and one linear pass per (key, slice); never the pairs of a key.
+One shuffle of both sides and one linear pass per (key, cell); never the pairs of a key.
 """
 
 from __future__ import annotations
@@ -8,23 +8,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.plans.slices import SLICE, Slices, spread_unkeyed
+from fleetlens.plans.cells import CELL, TIME_CELL, across, carry, cell_of, within
 
 
 def asof_lookup(
     left: DataFrame,
     right: DataFrame,
-    slices: Slices,
+    key: str,
     left_order: Column,
     right_order: Column,
     right_tie: Column,
     row_id: str,
+    width: int = TIME_CELL,
 ) -> DataFrame:
     """``left`` plus a struct column ``found``: the last ``right`` row with right_order <= left_order.
 
-    The key is that of ``slices``. Left rows with a null key are kept with a null ``found``.
+    Left rows with a null key are kept with a null ``found``, each in a cell of its own. A cell that has no right row
+    of its own starts from the newest one of the cells before it.
     """
-    key = slices.key
     at = left.select(
         key,
         left_order.alias("_o"),
@@ -32,7 +33,7 @@ def asof_lookup(
         F.expr("cast(null AS bigint) AS _tie"),
         F.struct(*left.columns).alias("_l"),
         F.lit(None).cast(right.schema).alias("_r"),
-        F.col(row_id).alias("_id"),
+        F.when(F.col(key).isNull(), F.xxhash64(row_id)).otherwise(cell_of(left_order, width)).alias(CELL),
     )
     facts = right.select(
         key,
@@ -41,29 +42,13 @@ def asof_lookup(
         right_tie.alias("_tie"),
         F.lit(None).cast(left.schema).alias("_l"),
         F.struct(*right.columns).alias("_r"),
+        cell_of(right_order, width).alias(CELL),
     )
-    kept = [key, SLICE, "_o", "_side", "_tie", "_l", "_r"]
-    merged = (
-        slices.assign(at, F.col("_o"))
-        .withColumn(SLICE, spread_unkeyed(key, "_id"))
-        .select(*kept)
-        .unionByName(slices.assign(facts, F.col("_o")).select(*kept))
-        .repartition(key, SLICE)
+    merged = at.unionByName(facts)
+    newest = merged.where(F.col(key).isNotNull()).groupBy(key, CELL).agg(
+        F.max_by("_r", F.when(F.col("_side") == 0, F.struct("_o", "_tie"))).alias("_newest")
     )
-    upto = (
-        Window.partitionBy(key, SLICE)
-        .orderBy("_o", "_side", "_tie")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    latest = F.last("_r", ignorenulls=True).over(upto)
-    if slices.table is not None:
-        earlier = Window.partitionBy(key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-        newest = slices.hot(facts, F.col("_o")).groupBy(key, SLICE).agg(F.expr("max_by(_r, struct(_o, _tie)) AS _newest"))
-        carried = (
-            slices.each()
-            .join(newest, [key, SLICE], "left")
-            .select(key, SLICE, F.last("_newest", ignorenulls=True).over(earlier).alias("_carried"))
-        )
-        merged = merged.join(F.broadcast(carried), [key, SLICE], "left")
-        latest = F.coalesce(latest, F.col("_carried"))
-    return merged.withColumn("found", latest).where("_side = 1").select("_l.*", "found")
+    carried = newest.select(key, CELL, F.last("_newest", ignorenulls=True).over(across(key)).alias("_carried"))
+    upto = within(key, "_o", "_side", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = F.coalesce(F.last("_r", ignorenulls=True).over(upto), F.col("_carried"))
+    return carry(merged, carried, key).withColumn("found", latest).where("_side = 1").select("_l.*", "found")

@@ -5,28 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.plans.slices import HOT_ROWS, SLICE, find_slices
+from fleetlens.functions.clock import micros
+from fleetlens.plans.cells import CELL, SEQ_CELL, cell_of
 
+_CELLS = 4096
 
-def dense_number(rows: DataFrame, order: Column, tie: Column, out: str, slice_rows: int = HOT_ROWS) -> DataFrame:
+
+def dense_number(rows: DataFrame, order: Column, tie: Column, out: str, width: int | None = None) -> DataFrame:
     """Add ``out`` = 1.. in (order, tie) order.
 
-    The table is treated as one key: if it has more than ``slice_rows`` rows it is cut into slices,
-    which are counted and then numbered from their offsets. The offsets, one row per slice, are
-    broadcast.
+    The table is cut into cells of ``width`` of the order, a number or a time (by default 65,536, or an hour). Cells are counted
+    map-side, numbered from their offsets, and sorted on their own. Offsets are summed in runs of 4,096 cells and
+    then over the runs, so the one task that sees all runs gets a row for each.
     """
-    keyed = rows.withColumn("_all", F.lit(0)).withColumn("_o", order.cast("long")).withColumn("_t", tie)
-    slices = find_slices(keyed, "_all", F.col("_o"), slice_rows)
-    sliced = slices.assign(keyed, F.col("_o"))
-    number = F.row_number().over(Window.partitionBy(SLICE).orderBy("_o", "_t"))
-    if slices.table is not None:
-        earlier = Window.partitionBy("_all").orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = (
-            slices.hot(keyed, F.col("_o"))
-            .groupBy("_all", SLICE)
-            .agg(F.expr("count(1) AS _n"))
-            .select(SLICE, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-        )
-        sliced = sliced.join(F.broadcast(offsets), SLICE, "left")
-        number = F.col("_before") + number
-    return sliced.withColumn(out, number).select(*rows.columns, out)
+    keyed = rows.withColumn("_o", order).withColumn("_t", tie)
+    timed = keyed.schema["_o"].dataType.typeName().startswith("timestamp")
+    at = micros(F.col("_o")) if timed else F.floor("_o").cast("long")
+    keyed = keyed.withColumn(CELL, cell_of(at, width or (3_600_000_000 if timed else SEQ_CELL)))
+    counts = keyed.groupBy(CELL).agg(F.count(F.lit(1)).alias("_n")).withColumn("_run", cell_of(F.col(CELL), _CELLS))
+    inside = Window.partitionBy("_run").orderBy(F.col(CELL).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    runs = counts.groupBy("_run").agg(F.sum("_n").alias("_all"))
+    before = Window.orderBy(F.col("_run").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(F.col("_run").alias("_r"), F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_base"))
+    offsets = counts.join(runs, F.col("_run").eqNullSafe(F.col("_r"))).select(
+        F.col(CELL).alias("_c"), (F.col("_base") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_before")
+    )
+    number = F.row_number().over(Window.partitionBy(CELL).orderBy(F.col("_o").asc_nulls_first(), "_t"))
+    joined = keyed.join(offsets, F.col(CELL).eqNullSafe(F.col("_c")))
+    return joined.withColumn(out, F.col("_before") + number).select(*rows.columns, out)

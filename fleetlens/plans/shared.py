@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local master may go without one and gets a new temporary folder.
-    """
+    """The shared folder named by ``spark.checkpoint.dir``, which has to be set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="fleetlens-")
+    if not configured:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return configured.rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

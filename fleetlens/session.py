@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
 
 def builder() -> SparkSession.Builder:
-    """UTC, and AQE with its skew handling; sizes stay those of the cluster."""
+    """UTC, AQE with its skew handling, session windows merged before the shuffle; sizes stay those of the cluster."""
     return (
         SparkSession.builder.appName("fleetlens")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     )
 
 
@@ -29,6 +31,7 @@ def local_session(cores: str | None = None) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.host", "127.0.0.1")
+        .config("spark.checkpoint.dir", f"/tmp/checkpoints/fleetlens-{uuid.uuid4().hex}")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from fleetlens.plans.shared import new_folder
 
-# Hot sessions: merge session windows before the shuffle.
-_MERGE_EARLY = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
-
 
-def append_to_files(stream: DataFrame, label: str) -> DataFrame:
-    """Run an append-mode query to the end of its input and read its output."""
+def append_to_files(stream: DataFrame, label: str) -> tuple[DataFrame, datetime]:
+    """Run an append-mode query to the end of its input; its output, and the watermark up to which it has reported."""
     spark = stream.sparkSession
-    spark.conf.set(_MERGE_EARLY, "true")
     folder = new_folder(spark, label)
     query = (
         stream.writeStream.format("parquet")
@@ -24,19 +21,31 @@ def append_to_files(stream: DataFrame, label: str) -> DataFrame:
         .start(f"{folder}/rows")
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    marks = [p["eventTime"]["watermark"] for p in query.recentProgress if "watermark" in p["eventTime"]]
+    mark = datetime.fromisoformat(marks[-1]) if marks else datetime.fromtimestamp(0, UTC)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows"), mark
 
 
 def upsert_to_files(stream: DataFrame, key: str, label: str) -> DataFrame:
     """Run an update-mode query to the end of its input and read the latest row per key.
 
-    Each batch overwrites a folder of its own, so a batch that is tried again counts once.
+    Each batch writes a new snapshot, the last one with its updates put in, to a folder of its own. A batch that is
+    tried again starts from the same snapshot, so it counts once; a reader needs the newest one only.
     """
     spark = stream.sparkSession
     folder = new_folder(spark, label)
 
+    def snapshot(batch: int) -> DataFrame:
+        return spark.read.schema(stream.schema).parquet(f"{folder}/rows/{batch}")
+
+    last = {"done": -1, "before": -1}
+
     def write(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+        before = last["done"] if batch > last["done"] else last["before"]
+        if before >= 0:
+            rows = rows.unionByName(snapshot(before).join(rows.select(key), key, "left_anti").select(*rows.columns))
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/{batch}")
+        last.update(done=batch, before=before)
 
     query = (
         stream.writeStream.foreachBatch(write)
@@ -46,10 +55,4 @@ def upsert_to_files(stream: DataFrame, key: str, label: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    rest = [c for c in stream.columns if c != key]
-    return (
-        spark.read.parquet(f"{folder}/rows")
-        .groupBy(key)
-        .agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
-        .select(key, "_row.*")
-    )
+    return snapshot(last["done"]) if last["done"] >= 0 else spark.createDataFrame([], stream.schema)

@@ -32,28 +32,37 @@ def states(df):
     return {r.id: (r.state, r.address, r.application_id) for r in df.collect()}
 
 
-def test_lifecycle_create_register_unregister(spark):
-    launches = spark.createDataFrame([(7, "user1", "a", "t1")], "n long, username string, name string, token string")
-    made = registry.register_sessions(launches, 0, F.col("n"), F.col("token"), F.lit(NOW).cast("timestamp_ntz"), F.col("token"))
-    assert states(made) == {1: (S.LAUNCHING, None, None)}
+def test_a_session_runs_ends_and_comes_back(spark):
+    asked = spark.createDataFrame(
+        [(20, "mira", None, "tb"), (10, "mira", "etl", "ta"), (20, "otto", "etl", "tc")], "n long, username string, name string, token string"
+    )
+    made = registry.register_sessions(asked, 40, F.col("n"), F.col("token"), F.lit(NOW).cast("timestamp_ntz"), F.col("token"))
+    assert {r.id: r.token for r in made.collect()} == {41: "ta", 42: "tb", 43: "tc"}
+    assert set(states(made).values()) == {(S.LAUNCHING, None, None)}
     events = spark.createDataFrame(
-        [(1, "t1", "localhost:1", "old"), (2, "t1", "localhost:12345", "test-app-1"), (3, "nobody", "x", "y")],
+        [(5, "ta", "", "application_9"), (3, "ta", "node-1:7001", "application_8"), (4, "tc", "node-2:7002", None), (1, "zz", "node-3:1", "z")],
         "seq long, token string, address string, application_id string",
     )
-    registered = transitions.apply_registrations(made, events)
-    assert states(registered.registry) == {1: (S.RUNNING, "localhost:12345", "test-app-1")}
-    assert rows(registered.unmatched) == [("nobody",)]
-    assert [r.active for r in registry.list_sessions(registered.registry, "user1").collect()] == [True]
-    ended = transitions.apply_unregistrations(registered.registry, events.select("token"))
-    assert states(ended.registry) == {1: (S.FINISHED, None, "test-app-1")}
-    revived = transitions.apply_registrations(ended.registry, events)
-    assert states(revived.registry) == {1: (S.RUNNING, "localhost:12345", "test-app-1")}
+    up = transitions.apply_registrations(made, events)
+    assert states(up.registry) == {
+        41: (S.RUNNING, "", "application_9"),
+        42: (S.LAUNCHING, None, None),
+        43: (S.RUNNING, "node-2:7002", None),
+    }
+    assert sorted(states(up.touched)) == [41, 43]
+    assert rows(up.unmatched) == [("zz",)]
+    assert {r.id: r.active for r in registry.list_sessions(up.registry, "mira").collect()} == {41: True, 42: False}
+    down = transitions.apply_unregistrations(up.registry, events.select("token"))
+    assert states(down.registry)[41] == (S.FINISHED, None, "application_9")
+    again = transitions.apply_registrations(down.registry, events.where("seq = 3"))
+    assert states(again.registry)[41] == (S.RUNNING, "node-1:7001", "application_8")
+    assert states(again.registry)[43] == (S.FINISHED, None, None)
 
 
 def test_random_tokens_differ_and_ids_run_on(spark):
     launches = spark.range(500).select(F.lit("u").alias("username"), F.lit("n").alias("name"), "id")
-    for slice_rows in (10**9, 40):
-        made = registry.register_sessions(launches, 100, F.col("id"), F.col("id"), slice_rows=slice_rows).collect()
+    for width in (None, 40):
+        made = registry.register_sessions(launches, 100, F.col("id"), F.col("id"), width=width).collect()
         assert sorted(r.id for r in made) == list(range(101, 601))
         assert len({r.token for r in made}) == 500
 
@@ -106,12 +115,13 @@ def test_created_range_is_inclusive(spark):
     first, second = datetime.fromtimestamp(1700000000), datetime.fromtimestamp(1700000060)
     table = sessions(spark, {"created_at": first}, {"created_at": second})
     for at, found in ((first, 1), (second, 2)):
-        shown = registry.list_sessions(table, "user1", created_after=at, created_before=at.isoformat())
+        shown = registry.list_sessions(table, "user1", created_after=at, created_before=f"{at.isoformat()}Z")
         assert [r.id for r in shown.collect()] == [found]
     with_offset = registry.list_sessions(table, "user1", created_after="2023-11-14T23:13:21+01:00")
     assert [r.id for r in with_offset.collect()] == [2]
-    with pytest.raises(ValueError):
-        registry.list_sessions(table, "user1", created_after="not-a-timestamp")
+    for bad in ("soon", "2023-11-14", "2023-W46-2", "2023-11-14T23:13:21", "2023-13-14T23:13:21Z"):
+        with pytest.raises(ValueError):
+            registry.list_sessions(table, "user1", created_after=bad)
 
 
 def test_prune(spark):
@@ -120,6 +130,9 @@ def test_prune(spark):
     result = transitions.prune_terminal(table, NOW + timedelta(microseconds=900_000), 60)
     assert sorted(states(result.pruned)) == [1, 2, 5]
     assert sorted(states(result.kept)) == [3, 4]
+    blank = sessions(spark, {"state": None}, {"state": S.FAILED, "created_at": None}, {"state": None, "created_at": None})
+    split = transitions.prune_terminal(blank, NOW, 60)
+    assert (split.kept.count(), split.pruned.count()) == (3, 0)
     observed, seen = transitions.count_rows(result.pruned, "pruned")
     observed.write.format("noop").mode("overwrite").save()
     assert seen.get == {"rows": 3}
@@ -207,6 +220,11 @@ ROUTES = [
     ("DELETE", "/callback", "callback"),
     ("GET", "/callback", "method_not_allowed"),
     ("GET", "/nope", "not_found"),
+    ("GET", "/apps?state=RUNNING", "apps"),
+    ("GET", "/apps/7?x=/1?y", "app"),
+    ("GET", "/apps/?id=7", "not_found"),
+    ("POST", "/callback?", "callback"),
+    ("GET", "?/apps", "not_found"),
 ]
 
 
@@ -224,8 +242,8 @@ def test_identity(spark):
     ]
     frame = spark.createDataFrame(tries, "req_id long, method_ord int, username string, error string")
     assert rows(traffic.resolve_identity(frame)) == [(1, "u", 2, 1, 200), (2, None, None, 2, 401), (3, None, None, 0, 401)]
-    with pytest.raises(Exception, match="method_ord"):
-        traffic.resolve_identity(spark.createDataFrame([(1, 63, "u", None)], frame.schema)).collect()
+    many = [(4, n, "w" if n == 900 else None, "bad" if n % 2 else None) for n in range(1000)]
+    assert rows(traffic.resolve_identity(spark.createDataFrame(many, frame.schema))) == [(4, "w", 900, 450, 200)]
 
 
 def test_control_and_mismatch(spark):
@@ -244,7 +262,6 @@ def test_control_and_mismatch(spark):
     assert {r.answer: (r.is_activity, r.shuts_down) for r in traffic.control_traffic(frame).collect()} == {
         "OK": (False, False),
         "CANCELLED": (False, True),
-        "INVALID_ARGUMENT": (False, False),
         "NORMAL": (True, False),
     }
 
@@ -260,14 +277,14 @@ CATALOGUE = "ord int, version string, home string, master string, deploy_mode st
 LAUNCH = "session_id long, username string, version_name string, app_name string, token string, packaged boolean"
 CONF = "session_id long, conf_key string, conf_value string"
 LAYER = "version string, layer string, conf_key string, conf_value string"
-SERVICE = launch.Service("http://localhost:8100", 60, "/tmp/python-environment.tgz")
+SERVICE = launch.Service("https://fleet:9", 75, "/srv/env-7.tar.gz")
 
 
 def config(spark, user, layers=(), app_name=None, packaged=False):
     return {
         r.conf_key: r.conf_value
         for r in launch.effective_config(
-            spark.createDataFrame([(1, "user", None, app_name, "abcd", packaged)], LAUNCH),
+            spark.createDataFrame([(1, "user", None, app_name, "tok-0", packaged)], LAUNCH),
             spark.createDataFrame([(1, k, v) for k, v in user.items()], CONF),
             spark.createDataFrame([("default", *layer) for layer in layers], LAYER),
             spark.createDataFrame([(0, "default", "/opt/spark", None, None, None)], CATALOGUE),
@@ -277,63 +294,75 @@ def config(spark, user, layers=(), app_name=None, packaged=False):
 
 
 def test_config_layering(spark):
-    layers = [("default", "a", "default"), ("default", "b", "default"), ("merge", "c", "merge")]
-    layers += [("merge", "e", "merge-only"), ("override", "d", "override"), ("merge", "f", "x")]
-    got = config(spark, {"a": "user", "c": "user", "d": "user", "f": ""}, layers)
-    want = {"a": "user", "b": "default", "c": "user,merge", "d": "override", "e": "merge-only", "f": ",x"}
+    """Override beats everything; a merge is put behind what the user asked for, else behind the default, also behind an empty value."""
+    layers = [("default", k, f"d{k}") for k in ("p", "q", "r", "s")] + [("merge", k, "m1,m2") for k in ("q", "r", "t", "u", "v")]
+    layers += [("override", "s", "forced"), ("override", "v", ""), ("override", "w", "only")]
+    got = config(spark, {"q": "mine", "s": "mine", "u": "", "v": "mine", "x": "a=b"}, layers)
+    want = {"p": "dp", "q": "mine,m1,m2", "r": "dr,m1,m2", "s": "forced", "t": "m1,m2", "u": ",m1,m2", "v": "", "w": "only", "x": "a=b"}
     assert {k: got[k] for k in want} == want
+    assert set(got) - set(want) == set(config(spark, {}))
 
 
 def test_internal_settings_win(spark):
     got = config(spark, {launch.LISTENERS: "mine", launch.PORT: "1", launch.TOKEN: "mine"})
     assert got == {
         launch.APP_NAME: f"{SERVICE.app_name_prefix}1",
-        launch.TOKEN: "abcd",
-        SERVICE.callback_key: "http://localhost:8100",
-        SERVICE.idle_key: "60",
+        launch.TOKEN: "tok-0",
+        SERVICE.callback_key: "https://fleet:9",
+        SERVICE.idle_key: "75",
         launch.LISTENERS: SERVICE.listener_class,
         launch.INTERCEPTORS: SERVICE.interceptor_class,
         launch.PORT: "0",
     }
 
 
-def test_app_name(spark):
-    layers = [("override", launch.APP_NAME, "forced")]
-    assert config(spark, {}, layers, app_name="custom-app-name")[launch.APP_NAME] == "custom-app-name"
-    assert config(spark, {launch.APP_NAME: "asked"}, layers)[launch.APP_NAME] == "forced"
-    assert config(spark, {launch.APP_NAME: "asked"})[launch.APP_NAME] == "asked"
-
-
 @pytest.mark.parametrize(
-    "asked, want",
+    "named, asked, layer, want",
     [
-        ("s3://bucket/archive.tar.gz#archive", "s3://bucket/archive.tar.gz#archive,/tmp/python-environment.tgz#environment"),
-        ("", "/tmp/python-environment.tgz#environment"),
-        (None, "/tmp/python-environment.tgz#environment"),
+        ("nightly", None, None, "nightly"),
+        ("", "other", None, ""),
+        ("nightly", "other", "override", "nightly"),
+        (None, "other", "override", "layer"),
+        (None, "other", "merge", "other,layer"),
+        (None, None, "default", "layer"),
+        (None, "", None, ""),
+        (None, None, None, f"{SERVICE.app_name_prefix}1"),
     ],
 )
-def test_archives(spark, asked, want):
-    got = config(spark, {} if asked is None else {launch.ARCHIVES: asked}, packaged=True)
-    assert got[launch.ARCHIVES] == want
+def test_app_name(spark, named, asked, layer, want):
+    layers = [(layer, launch.APP_NAME, "layer")] if layer else []
+    assert config(spark, {} if asked is None else {launch.APP_NAME: asked}, layers, app_name=named)[launch.APP_NAME] == want
+
+
+@pytest.mark.parametrize(
+    "asked, layer, want",
+    [("hdfs://n/x.zip,s3://y#z", None, "hdfs://n/x.zip,s3://y#z,"), ("", None, ""), (None, None, ""), (None, "default", "layer,"), ("", "merge", ",layer,")],
+)
+def test_archives(spark, asked, layer, want):
+    layers = [(layer, launch.ARCHIVES, "layer")] if layer else []
+    user = {} if asked is None else {launch.ARCHIVES: asked}
+    got = config(spark, user, layers, packaged=True)
+    assert got[launch.ARCHIVES] == f"{want}{SERVICE.tarball}#environment"
     assert got[launch.PYTHON] == launch.ENVIRONMENT_PYTHON
+    assert launch.PYTHON not in config(spark, user, layers)
 
 
 def test_file_policy(spark):
     conf = [
-        (1, "spark.files", "/local/path/file.txt"),
-        (2, "spark.files", "file:///etc/passwd"),
-        (3, "spark.files", "s3://bucket/file.txt,hdfs://namenode/data"),
-        (3, "spark.archives", "gs://bucket/archive.tar.gz"),
-        (4, "spark.submit.pyFiles", "x"),
-        (4, "spark.archives", "s3://a,  ,FILE://b, file://c ,d"),
-        (4, "spark.jars", "/not/checked"),
+        (10, "spark.archives", "hdfs://n/one.zip , s3a://b/two.zip#t"),
+        (10, "spark.files", ""),
+        (11, "spark.submit.pyFiles", "lib.py,,file://lib.py,://odd"),
+        (12, "spark.submit.pyFiles", "C:/x"),
+        (12, "spark.archives", ",\t,file:///a , file:/b"),
+        (12, "spark.files", "File://kept,ftp://kept"),
+        (13, "spark.jars", "anything"),
     ]
     assert rows(launch.config_policy_violations(spark.createDataFrame(conf, CONF))) == [
-        (1, "spark.files", 0, "/local/path/file.txt", "no_protocol", True),
-        (2, "spark.files", 0, "file:///etc/passwd", "file_protocol", True),
-        (4, "spark.archives", 3, "file://c", "file_protocol", True),
-        (4, "spark.archives", 4, "d", "no_protocol", False),
-        (4, "spark.submit.pyFiles", 0, "x", "no_protocol", False),
+        (11, "spark.submit.pyFiles", 0, "lib.py", "no_protocol", True),
+        (11, "spark.submit.pyFiles", 2, "file://lib.py", "file_protocol", False),
+        (12, "spark.archives", 2, "file:///a", "file_protocol", True),
+        (12, "spark.archives", 3, "file:/b", "no_protocol", False),
+        (12, "spark.submit.pyFiles", 0, "C:/x", "no_protocol", False),
     ]
 
 
@@ -351,9 +380,7 @@ def test_specs_and_versions(spark):
     layers = spark.createDataFrame([], LAYER)
     found = {r.session_id: (r.version, r.home) for r in launch.resolve_versions(launches, versions).collect()}
     assert found == {1: ("a", "/a"), 2: ("b", "/b"), 3: (None, None), 4: ("a", "/a")}
-    settled = launch.effective_config(launches, conf, layers, versions, SERVICE)
-    bad = launch.config_policy_violations(conf)
-    specs = {r.session_id: r for r in launch.launch_specs(launches, versions, settled, bad, SERVICE).collect()}
+    specs = {r.session_id: r for r in launch.launch_specs(launches, conf, layers, versions, SERVICE).collect()}
     assert {i: (s.state, s.rejected_reason) for i, s in specs.items()} == {
         1: ("LAUNCHING", None),
         2: ("LAUNCHING", None),

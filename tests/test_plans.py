@@ -6,13 +6,14 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
 from fleetlens.catalog.fixtures import view
-from fleetlens.operators import lifecycle
+from fleetlens.catalog.queries import QUERIES, SERVICE
+from fleetlens.operators import launch, lifecycle
 from fleetlens.operators.registry import list_sessions
-from fleetlens.plans.slices import SLICE, find_slices
+from fleetlens.plans.asof import asof_lookup
+from fleetlens.plans.numbering import dense_number
 
-BATCH = [name for name in queries() if not name.startswith("stream_")]
+BATCH = [name for name in QUERIES if not name.startswith("stream_")]
 
 
 def plan(df):
@@ -21,10 +22,10 @@ def plan(df):
 
 @pytest.mark.parametrize("name", BATCH)
 def test_no_pairing_and_no_python(spark, name):
-    text = plan(queries()[name](spark, SF))
+    text = plan(QUERIES[name](spark, SF))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
         assert bad not in text
-    # One task for the version catalogue's default, and for a batch of new sessions under the slice size.
+    # One task for the version catalogue's default, and for one row per 4,096 cells of new sessions.
     assert "SinglePartition" not in text or name in (
         "resolve_versions",
         "launch_specs",
@@ -37,7 +38,7 @@ def test_list_pushes_its_filters(spark, tmp_path):
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     path = str(tmp_path / "registry")
     view(spark, SF, "fx_registry").write.parquet(path)
-    shown = list_sessions(spark.read.parquet(path), "user-5", state="RUNNING", created_after="1996-01-01")
+    shown = list_sessions(spark.read.parquet(path), "user-5", state="RUNNING", created_after="1996-01-01T00:00:00Z")
     text = plan(shown)
     for pushed in ("EqualTo(username,user-5)", "EqualTo(state,RUNNING)", "GreaterThanOrEqual(created_at"):
         assert pushed in text
@@ -51,12 +52,24 @@ def test_fold_combines_before_its_one_shuffle(spark):
     assert "Window" not in text
 
 
-def test_history_has_one_shuffle_for_its_windows(spark):
+@pytest.mark.parametrize("name", BATCH)
+def test_building_a_query_starts_no_job(spark, name):
+    """Counted by Spark's job group; schemas are read before."""
+    QUERIES[name](spark, SF)
+    spark.sparkContext.setJobGroup("building", name)
+    QUERIES[name](spark, SF)
+    started = spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(started) == 0
+
+
+def test_ordered_passes_run_per_cell(spark):
     log = view(spark, SF, "fx_lifecycle")
     made = log.select("session_key", F.col("ts").alias("created_at"))
     text = plan(lifecycle.session_history(log, made))
-    assert text.count("Exchange") == 1
-    assert text.count("Sort ") == 1
+    assert "partial_max" in text and "hashpartitioning(session_key#" in text
+    for node in (line for line in text.splitlines() if "Window [" in line and "_status" in line):
+        assert "_cell" in node
 
 
 def test_idle_windows_run_on_cells(spark):
@@ -65,28 +78,52 @@ def test_idle_windows_run_on_cells(spark):
     assert text.index("Window") < text.rindex("partial_min")
 
 
-def test_slices_are_even_and_ordered_under_a_burst(spark):
-    """A third of the rows in one key, most of those within one second of a month."""
+@pytest.mark.parametrize("operator", [launch.effective_config, launch.launch_specs])
+def test_settings_are_shuffled_once(spark, operator):
+    """One shuffle of the launches and one of the user's settings; the others are of the configuration tables."""
+    launches = spark.range(9000).selectExpr("id AS session_id", "'u' AS username", "'4.0.0' AS version_name", "'n' AS app_name", "'t' AS token", "true AS packaged")
+    asked = spark.range(9000).selectExpr("id AS session_id", "'k' AS conf_key", "'v' AS conf_value")
+    tables = [view(spark, SF, name) for name in ("fx_conf_layers", "fx_versions")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10k")
+    try:
+        text = plan(operator(launches, asked, *tables, SERVICE))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("Exchange hashpartitioning(session_id#") + text.count("Exchange hashpartitioning(id#") == 2
+    assert "FullOuter" not in text and "Window" in text
+
+
+def tied_rows(spark):
+    """A third of the rows in one key, most of them at one time."""
     rng = random.Random(1)
-    made = [(7, rng.randrange(10**6) if i % 5 else rng.randrange(30 * 86400 * 10**6)) for i in range(10_000)]
-    made += [(100 + i % 400, i) for i in range(20_000)]
-    rows = spark.createDataFrame(made, "k long, o long")
-    slices = find_slices(rows, "k", F.col("o"), hot_rows=250)
-    assert [r.k for r in slices.table.collect()] == [7]
-    sliced = slices.assign(rows, F.col("o")).groupBy("k", SLICE).agg(F.count("*").alias("n"), F.min("o").alias("a"), F.max("o").alias("b"))
-    hot = sorted((r[SLICE], r.n, r.a, r.b) for r in sliced.where("k = 7").collect())
-    assert all(r[SLICE] == 0 for r in sliced.where("k <> 7").collect())
-    assert sum(n for _, n, _, _ in hot) == 10_000
-    assert max(n for _, n, _, _ in hot) <= 500
-    assert len(hot) <= 3 * 10_000 / 250
-    assert all(before[3] < after[2] for before, after in zip(hot, hot[1:]))
-    assert {s for s, *_ in hot} <= {r[SLICE] for r in slices.each().collect()}
-
-
-def test_more_rows_than_quantiles(spark):
-    rows = spark.range(40_000).select(F.lit(1).cast("long").alias("k"), F.col("id").alias("o"))
-    slices = find_slices(rows, "k", F.col("o"), hot_rows=100)
-    sizes = [r["count"] for r in slices.assign(rows, F.col("o")).groupBy(SLICE).count().collect()]
-    assert max(sizes) <= 200
-    assert len(sizes) <= 3 * 400
-    assert find_slices(rows, "k", F.col("o")).table is None
+    made = [(7, i, 5_000 if i % 5 else rng.randrange(9_000)) for i in range(3_000)]
+    made += [(100 + i % 400, i, rng.randrange(9_000)) for i in range(3_000, 9_000)]
+    return made, spark.createDataFrame(made, "k long, id long, o long").repartition(4)
+
+
+@pytest.mark.parametrize("width", [1 << 16, 100, 1])
+def test_numbers_are_dense_under_ties(spark, width):
+    made, rows = tied_rows(spark)
+    got = {r.id: r.n for r in dense_number(rows, F.col("o"), F.col("id"), "n", width).collect()}
+    assert got == {i: n for n, (_, i, _) in enumerate(sorted(made, key=lambda r: (r[2], r[1])), 1)}
+
+
+def test_numbers_follow_parts_of_a_second(spark):
+    rows = spark.sql("SELECT id, timestamp_micros(1700000000000000 + (id * 7919 % 1000) * 1000) AS at FROM range(1000)")
+    got = sorted((r.n, r.id * 7919 % 1000) for r in dense_number(rows, F.col("at"), F.col("id"), "n").collect())
+    assert got == [(i + 1, i) for i in range(1000)]
+
+
+@pytest.mark.parametrize("width", [1 << 20, 100, 1])
+def test_latest_row_under_ties(spark, width):
+    made, rows = tied_rows(spark)
+    facts = [(k, i, o + 1) for k, i, o in made if i % 3 == 0]
+    left = rows.where("id % 3 <> 0").unionByName(spark.createDataFrame([(None, -1, 5), (None, -2, 5)], "k long, id long, o long"))
+    right = spark.createDataFrame(facts, "k long, id long, o long")
+    found = asof_lookup(left, right, "k", F.col("o"), F.col("o"), F.col("id"), "id", width)
+    got = {r.id: r.found and (r.found.o, r.found.id) for r in found.collect()}
+    by_key = {}
+    for k, i, o in facts:
+        by_key.setdefault(k, []).append((o, i))
+    want = {i: max((f for f in by_key.get(k, []) if f[0] <= o), default=None) for k, i, o in made if i % 3}
+    assert got == want | {-1: None, -2: None}

@@ -1,4 +1,4 @@
-"""Random logs against row-at-a-time replays, with ordinary and with sliced plans."""
+"""Random logs against row-at-a-time replays, with cells of several widths."""
 
 import random
 from datetime import timedelta
@@ -10,7 +10,6 @@ from fleetlens.operators import lifecycle
 from fleetlens.operators.traffic import mark_reuse
 
 LOG = "seq long, ts timestamp_ntz, session_key long, kind string, address string, application_id string"
-FAR = 10**9
 
 
 def frames(spark, log, keys):
@@ -29,13 +28,13 @@ def test_fold_equals_replay(spark):
     assert {r[0]: tuple(r)[1:] for r in lifecycle.fold_lifecycle(events).collect()} == status
 
 
-@pytest.mark.parametrize("hot_rows", [FAR, 150, 7, 1])
-def test_history_equals_replay(spark, hot_rows):
+@pytest.mark.parametrize("width", [1 << 16, 150, 7, 1])
+def test_history_equals_replay(spark, width):
     log = random_log(2, sessions=60, events=1500, hot_share=0.34)
     events, created_df, created = frames(spark, log, range(60))
     _, history = replay(log, created)
     got = {}
-    for r in lifecycle.session_history(events, created_df, hot_rows).collect():
+    for r in lifecycle.session_history(events, created_df, width).collect():
         got.setdefault(r.session_key, []).append(
             [r.seq, r.valid_from, r.valid_to, r.state, r.address, r.application_id]
         )
@@ -44,6 +43,28 @@ def test_history_equals_replay(spark, hot_rows):
     assert got == history
 
 
+@pytest.mark.parametrize("width", [1 << 16, 13, 1])
+def test_history_never_runs_backwards(spark, width):
+    """The log arrives out of order in time, and many events share a time."""
+    rng = random.Random(12)
+    log = [(seq, T0 + timedelta(seconds=rng.randrange(40)), *rest) for seq, _, *rest in random_log(6, sessions=12, events=600, hot_share=0.34)]
+    events, created_df, created = frames(spark, log, range(12))
+    latest, ordered = dict(created), []
+    for seq, ts, key, *rest in log:
+        latest[key] = max(latest[key], ts)
+        ordered.append((seq, latest[key], key, *rest))
+    _, history = replay(ordered, created)
+    got = {}
+    for r in lifecycle.session_history(events, created_df, width).collect():
+        assert r.valid_to is None or r.valid_from <= r.valid_to
+        got.setdefault(r.session_key, []).append([r.seq, r.valid_from, r.valid_to, r.state, r.address, r.application_id])
+    for spans in got.values():
+        spans.sort(key=lambda s: -1 if s[0] is None else s[0])
+    assert got == history
+    fold = {r[0]: tuple(r)[1:] for r in lifecycle.fold_lifecycle(events).collect()}
+    assert fold == {key: tuple(spans[-1][3:]) for key, spans in got.items() if key in fold}
+
+
 @pytest.mark.parametrize("timeout_s", [0, 1, 59, 60, 61, 300, 3600])
 def test_idle_equals_replay(spark, timeout_s):
     rng = random.Random(timeout_s)
@@ -67,8 +88,8 @@ def test_idle_equals_replay(spark, timeout_s):
     assert got == want
 
 
-@pytest.mark.parametrize("hot_rows", [FAR, 90, 5])
-def test_launch_timeouts_equal_brute_force(spark, hot_rows):
+@pytest.mark.parametrize("width", [3600 * 10**6, 90 * 10**6, 10**6])
+def test_launch_timeouts_equal_brute_force(spark, width):
     rng = random.Random(5)
     timeout, until = 300, T0 + timedelta(seconds=4000)
     facts = [
@@ -78,6 +99,8 @@ def test_launch_timeouts_equal_brute_force(spark, hot_rows):
     launches = [(k, i, ts) for i, (k, ts, what) in enumerate(facts) if what == "l"]
     want = []
     for key, launch, ts in launches:
+        if ts > until:
+            continue
         later = {w: [t for k, t, what in facts if k == key and what == w and ts <= t <= until] for w in "ce"}
         callback, left = min(later["c"], default=None), min(later["e"], default=None)
         deadline = ts + timedelta(seconds=timeout)
@@ -97,20 +120,23 @@ def test_launch_timeouts_equal_brute_force(spark, hot_rows):
         spark.createDataFrame([(k, t) for k, t, w in facts if w == "e"], events),
         timeout,
         until,
-        hot_rows,
+        width,
     )
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("hot_rows", [FAR, 60, 4])
-def test_reuse_equals_replay(spark, hot_rows):
+@pytest.mark.parametrize("width", [3600 * 10**6, 30 * 10**6, 10**6])
+def test_reuse_equals_replay(spark, width):
     rng = random.Random(9)
     facts = []
     for i in range(500):
         key = 0 if rng.random() < 0.34 else rng.randrange(20)
         facts.append((key, T0 + timedelta(seconds=rng.randrange(300)), rng.random() < 0.8, i))
+    born = {key: T0 + timedelta(seconds=20 * (key % 4)) for key in range(19)}
     open_tokens, want = set(), []
     for key, ts, is_request, i in sorted(facts, key=lambda f: (f[1], f[2], f[3])):
+        if is_request and (key not in born or born[key] > ts):
+            continue
         if is_request:
             want.append((key, i, ts, key in open_tokens))
             open_tokens.add(key)
@@ -118,5 +144,6 @@ def test_reuse_equals_replay(spark, hot_rows):
             open_tokens.discard(key)
     requests = spark.createDataFrame([(k, i, t) for k, t, r, i in facts if r], "session_key long, req_id long, ts timestamp_ntz")
     ended = spark.createDataFrame([(k, t) for k, t, r, _ in facts if not r], "session_key long, ts timestamp_ntz")
-    got = sorted(tuple(r) for r in mark_reuse(requests, ended, hot_rows).collect())
+    created = spark.createDataFrame(list(born.items()), "session_key long, created_at timestamp_ntz")
+    got = sorted(tuple(r) for r in mark_reuse(requests, ended, created, width).collect())
     assert got == sorted(want)

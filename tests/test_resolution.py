@@ -1,14 +1,12 @@
-"""Request resolution against brute force, on ordinary and on sliced plans."""
+"""Request resolution against brute force, with cells of several widths."""
 
 import math
 import random
 from datetime import timedelta
 
 import pytest
-from conftest import SF
 from replay import T0, random_log, replay
 
-from fleetlens.catalog.queries import _resolve_requests
 from fleetlens.operators import lifecycle
 from fleetlens.operators.resolution import one_session_per_token, resolve_against_snapshot, resolve_requests
 
@@ -45,8 +43,8 @@ def answer(request, history):
     return outcome, state, f"http://{address}{path}" if outcome == "ok" else None, at
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 200, 9])
-def test_resolution_equals_brute_force(spark, hot_rows):
+@pytest.mark.parametrize("width", [3600 * 10**6, 60 * 10**6, 10**6])
+def test_resolution_equals_brute_force(spark, width):
     rng = random.Random(3)
     log = random_log(4, sessions=40, events=900, hot_share=0.34)
     created = {k: T0 + timedelta(seconds=(k * 3) % 50) for k in range(40)}
@@ -64,20 +62,23 @@ def test_resolution_equals_brute_force(spark, hot_rows):
         log, "seq long, ts timestamp_ntz, session_key long, kind string, address string, application_id string"
     )
     made = spark.createDataFrame(list(created.items()), "session_key long, created_at timestamp_ntz")
-    past = lifecycle.session_history(events, made, hot_rows)
+    past = lifecycle.session_history(events, made, 50)
     frame = spark.createDataFrame(requests, REQUESTS)
-    got = sorted(tuple(r) for r in resolve_requests(frame, past, hot_rows=hot_rows).collect())
+    got = sorted(tuple(r) for r in resolve_requests(frame, past, width=width).collect())
     assert [g[0] for g in got] == [w[0] for w in want]
     for g, w in zip(got, want):
         assert g == w
-    windows = lifecycle.launch_windows(events, made)
-    again = resolve_requests(frame, past, windows=windows, hot_rows=hot_rows)
-    assert sorted(tuple(r) for r in again.collect()) == got
 
 
-def test_registered_query_with_hot_sessions(spark):
-    plain = sorted(map(repr, _resolve_requests(spark, SF).collect()))
-    assert sorted(map(repr, _resolve_requests(spark, SF, hot_rows=4).collect())) == plain
+def test_requests_follow_the_order_of_arrival(spark):
+    """The end arrives after the start but carries an earlier time."""
+    events = spark.createDataFrame(
+        [(1, T0 + timedelta(seconds=10), 1, "register", "h:1", "a"), (2, T0 + timedelta(seconds=8), 1, "unregister", None, None)],
+        "seq long, ts timestamp_ntz, session_key long, kind string, address string, application_id string",
+    )
+    made = spark.createDataFrame([(1, T0)], "session_key long, created_at timestamp_ntz")
+    requests = spark.createDataFrame([(1, T0 + timedelta(hours=1), 1, CONNECT, "Bearer t", "t")], REQUESTS)
+    assert [r.outcome for r in resolve_requests(requests, lifecycle.session_history(events, made)).collect()] == ["bad_state"]
 
 
 def test_row_gone_while_waiting_is_not_found(spark):
@@ -101,9 +102,10 @@ def test_hot_token_in_a_snapshot(spark):
         "id", "if(id = 29, 'hot', concat('t', id)) AS token", "'RUNNING' AS state", "concat('h:', id) AS address"
     )
     sessions = one_session_per_token(registry)
-    plain = sorted(map(repr, resolve_against_snapshot(calls, sessions).collect()))
-    for hot_rows in (100, 9):
-        assert sorted(map(repr, resolve_against_snapshot(calls, sessions, hot_rows).collect())) == plain
+    plain = sorted(map(repr, resolve_against_snapshot(calls, sessions, salts=1).collect()))
+    assert len(plain) == 900
+    for salts in (3, 16):
+        assert sorted(map(repr, resolve_against_snapshot(calls, sessions, salts).collect())) == plain
 
 
 def test_snapshot_takes_the_lowest_id_of_a_token(spark):

@@ -46,7 +46,7 @@ def test_launch_timeout_stream_equals_batch(spark, tmp_path, timeout_s):
         timeout_s,
         "1 hour",
     )
-    got = append_to_files(late, "t").where(F.col("session_key") != SENTINEL)
+    got = append_to_files(late, "t")[0].where(F.col("session_key") != SENTINEL)
     batch = lifecycle.launch_timeouts(
         launches, log.where("kind = 'callback'"), log.where("kind = 'exit_nonzero'"), timeout_s, far
     )
@@ -59,7 +59,7 @@ def test_idle_stream_equals_gap_rule(spark, tmp_path):
     log = with_zone(view(spark, SF, "fx_activity"))
     far = log.agg(F.max("end_ts")).first()[0] + timedelta(days=30)
     stream = staged(spark, tmp_path / "a", log, (SENTINEL, far, far, None))
-    got = append_to_files(streaming.stream_idle_sessions(stream, TIMEOUT_S, "1 hour"), "t")
+    got, _ = append_to_files(streaming.stream_idle_sessions(stream, TIMEOUT_S, "1 hour"), "t")
     spans = {}
     for key, start, end in sorted((r.session_key, r.start_ts, r.end_ts) for r in log.where("control IS NULL").collect()):
         until = max(start, end) + timedelta(seconds=TIMEOUT_S)
@@ -77,7 +77,7 @@ def test_idle_stream_stops_at_most_one_look_early(spark, tmp_path):
     log = with_zone(view(spark, SF, "fx_activity")).where("control IS NULL")
     far = log.agg(F.max("end_ts")).first()[0] + timedelta(days=30)
     stream = staged(spark, tmp_path / "a", log, (SENTINEL, far, far, None))
-    spans = append_to_files(streaming.stream_idle_sessions(stream, TIMEOUT_S, "1 hour"), "t")
+    spans, _ = append_to_files(streaming.stream_idle_sessions(stream, TIMEOUT_S, "1 hour"), "t")
     first = spans.groupBy("session_key").agg(F.min("idle_at").alias("idle_at"))
     exact = lifecycle.idle_sessions(log, TIMEOUT_S, far)
     early = first.join(exact, "session_key").select(
