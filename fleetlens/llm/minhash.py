@@ -63,11 +63,16 @@ def _frequencies(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
 
 
 def word_idf(texts_only: DataFrame, buckets: int = FREQUENCY_BUCKETS) -> np.ndarray:
-    """Inverse document frequency per bucket of words, over all texts: ``buckets`` numbers at any size."""
+    """Inverse document frequency per bucket of words, over all texts: ``buckets`` numbers at any size.
+
+    1 + ln(N / df) / ln(N), between 1 and 2: a rare word weighs up to twice a word of every text. So a weighted similarity stays
+    close to the share of common shingles, and a changed word that happens to be rare doesn't part two copies.
+    """
     counted = texts_only.mapInArrow(lambda b: _frequencies(b, buckets), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     table = {row["bucket"]: row["n"] for row in counted.collect()}
     found = np.array([table.get(i, 0) for i in range(buckets)])
-    return np.log(1 + table.get(-1, 0) / (1 + found)).astype(np.float32)
+    n = max(table.get(-1, 0), 2)
+    return (1 + np.log(n / np.clip(found, 1, n)) / np.log(n)).astype(np.float32)
 
 
 def _weighted(values: list[bytes], idf: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
