@@ -1,9 +1,9 @@
 """Quality rules from tokeniser fertility: how well public vocabularies fit a text.
 
 For each vocabulary a text has its characters per token, its share of fallback tokens (tokens for parts of a character)
-and the entropy of its tokens relative to their number. Texts are judged within their language, or their script if they name none:
-the quartiles of each measure over all documents of that group that pass the plain rules give bands, ``reach`` times
-the interquartile range beyond the quartiles. Texts outside are rejected.
+and the entropy of its tokens relative to their number. Texts are judged among those of their language, or their script if they name none,
+and of their length, by powers of two: the quartiles of each measure over all documents of that group that pass the plain
+rules give bands, ``reach`` times the interquartile range beyond the quartiles, and wider in groups of few texts. Texts outside are rejected.
 
 Words are tokenised one by one, so a task asks a vocabulary once for each different word it holds.
 """
@@ -23,7 +23,8 @@ from fleetlens.plans.shared import stored
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
-REACH = 4.0
+REACH = 3.5
+FEW_TEXTS = 10
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -107,7 +108,7 @@ _MEASURES = (
 )
 
 #: The least interquartile range of each measure, so that groups of like texts don't reject each other.
-LEAST_RANGE = {"chars_per_token": 0.2, "fallback_share": 0.01, "token_entropy": 0.05}
+LEAST_RANGE = {"chars_per_token": 0.02, "fallback_share": 0.005, "token_entropy": 0.01}
 
 
 def fertility(
@@ -116,25 +117,27 @@ def fertility(
     """One row per input row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, band_group and the three measures.
 
     Measures are arrays, one value per vocabulary. A text that is null or has no words has zeros, null measures, and fails the plain rules.
-    A group of one text has its own measures as bands, widened by the least range. Null and repeated ids are rows like any other; other
+    A band's reach grows with 1 + FEW_TEXTS / texts in the group. Null and repeated ids are rows like any other; other
     columns are ignored.
     """
     read = docs.select(F.col(id_column).cast("long").alias("d"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang"))
     measured = read.mapInArrow(lambda b: _measures(b, tokenizer_paths), _MEASURES)
     failed = f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words"
-    measured = stored(measured.withColumn("base_failed", F.expr(failed)).withColumn("band_group", F.coalesce("lang", "script")), "fertility")
+    measured = measured.withColumn("base_failed", F.expr(failed))
+    group = F.concat_ws("/", F.coalesce("lang", "script"), F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("string"))
+    measured = stored(measured.withColumn("band_group", group), "fertility")
     quartiles, outside = [], []
     for k in range(len(tokenizer_paths)):
         for name, least in LEAST_RANGE.items():
             band = f"{name}_{k}"
             quartiles.append(F.percentile_approx(F.col(name)[k], [0.25, 0.75], 10_000).alias(band))
             value, low, high = f"{name}[{k}]", f"{band}[0]", f"{band}[1]"
-            span = f"{reach} * greatest({high} - {low}, {least})"
+            span = f"{reach} * (1 + {FEW_TEXTS} / group_texts) * greatest({high} - {low}, {least})"
             if name != "token_entropy":
                 outside.append(f"{value} > {high} + {span}")
             if name != "fallback_share":
                 outside.append(f"{value} < {low} - {span}")
-    bands = measured.where("NOT base_failed").groupBy("band_group").agg(*quartiles)
+    bands = measured.where("NOT base_failed").groupBy("band_group").agg(F.count(F.lit(1)).alias("group_texts"), *quartiles)
     judged = measured.join(bands, "band_group", "left").withColumn("kept", F.expr(f"NOT base_failed AND NOT coalesce({' OR '.join(outside)}, false)"))
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "band_group"]
     return judged.select(F.col("d").alias(id_column), *columns, *LEAST_RANGE)

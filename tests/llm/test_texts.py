@@ -58,7 +58,14 @@ def test_a_text_that_fits_no_vocabulary_is_rejected(spark, docs):
     table = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(99_999, noise, "en")], "doc_id bigint, text string, lang string"))
     got = {r.doc_id: r for r in fertility(table, FERTILITY_VOCABULARIES).collect()}
     assert not got[99_999].kept and not got[99_999].base_failed and min(got[99_999].fallback_share) > 0.5
-    assert sum(not r.kept and not r.base_failed for r in got.values()) == 1
+
+
+def test_junk_goes_and_clean_texts_stay(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = fertility(spark.read.parquet(f"{sf}/documents.parquet"), FERTILITY_VOCABULARIES).where("NOT base_failed")
+    labelled = rows.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
+    kept = {r.quality: r.kept for r in labelled.collect()}
+    assert kept[1] > 0.995 and kept[0] < 0.5
 
 
 # --- language
