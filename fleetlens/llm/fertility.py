@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.names import _SPACE, blocks, combined, texts, word_names
+from fleetlens.llm.names import _SPACE, blocks, combined, small, texts, word_names
 from fleetlens.llm.tokens import vocabulary, word_coder
 from fleetlens.plans.shared import stored
 
@@ -25,6 +25,7 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 REACH = 3.5
 FEW_TEXTS = 10
+CACHED_WORDS = 1 << 18
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -77,9 +78,9 @@ def plain_measures(values: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def _measures(batches: Iterator[pa.RecordBatch], paths: list[str]) -> Iterator[pa.RecordBatch]:
-    coders = [word_coder(p) for p in paths]
+    coders = [word_coder(p, CACHED_WORDS) for p in paths]
     fallback = [vocabulary(p).fallback() for p in paths]
-    for batch in batches:
+    for batch in small(batches):
         values = list(texts(batch))
         plain = plain_measures(values)
         fit = [[], [], []]

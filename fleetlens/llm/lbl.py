@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.langid import held_out
-from fleetlens.llm.names import blocks, signed, texts, word_names
+from fleetlens.llm.names import blocks, signed, small, texts, word_names
 from fleetlens.plans.shared import stored
 
 CLASSES, SIZE = 1024, 24
@@ -152,7 +152,7 @@ def _chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         total = np.bincount(inverse, weights=np.concatenate([c for _, c in held]), minlength=len(unique)).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(unique), chunk, np.int32)), signed(unique), pa.array(total)], ["chunk", "w", "c"])
 
-    for batch in batches:
+    for batch in small(batches):
         chunks = batch.column("chunk").to_numpy()
         for own in np.unique(chunks).tolist():
             if own != chunk and held:
@@ -178,7 +178,7 @@ def _trained(batches: Iterator[pa.RecordBatch], model: Model, round_number: int)
     def train() -> None:
         train_on(own, squares, *(np.concatenate(c) for c in zip(*codes)), seed=round_number)
 
-    for batch in batches:
+    for batch in small(batches):
         for _, n, owner, names in tokens_of(list(texts(batch))):
             _, target, two, one = sequences(owner, own.classes_of(names), n)
             codes.append((two, one, target))

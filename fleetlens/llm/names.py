@@ -111,3 +111,10 @@ def blocks(values: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         size += len(text) + 1
     if held:
         yield first, np.frombuffer(b"\n".join([*held, b""]), np.uint8), np.cumsum([len(t) + 1 for t in held])
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of few, so that a task holds few texts as Python objects at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)

@@ -76,13 +76,13 @@ class Vocabulary:
 class WordCoder:
     """Ids of texts word by word (between ASCII white space), each different word encoded once while it is held.
 
-    For a vocabulary that drops white space the ids are those of the whole text. At most ``MAX_CACHED_WORDS`` words are held.
+    For a vocabulary that drops white space the ids are those of the whole text. At most ``most`` words, and those of one call, are held.
     Where the vocabulary lower-cases words and splits them from punctuation (``splits_words``), words of Latin letters that differ in that only
     are encoded once too.
     """
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: Vocabulary, most: int = MAX_CACHED_WORDS):
+        self.vocabulary, self.most = vocabulary, most
         self._clear()
 
     def _clear(self) -> None:
@@ -122,7 +122,7 @@ class WordCoder:
     def encode_all(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids, and how many each of its words has."""
         for a in range(0, len(texts), _TEXTS):
-            if len(self._index) > MAX_CACHED_WORDS:
+            if len(self._index) > self.most:
                 self._clear()
             split = [t.split() for t in texts[a : a + _TEXTS]]
             counts = list(map(len, split))
@@ -145,14 +145,14 @@ class WordCoder:
                 word, token = word + count, token + n
 
 
-_coders: dict[str, WordCoder] = {}
+_coders: dict[tuple[str, int], WordCoder] = {}
 
 
-def word_coder(path: str) -> WordCoder:
+def word_coder(path: str, most: int = MAX_CACHED_WORDS) -> WordCoder:
     """The coder of this process for a vocabulary file."""
-    if path not in _coders:
-        _coders[path] = WordCoder(Vocabulary(path))
-    return _coders[path]
+    if (path, most) not in _coders:
+        _coders[path, most] = WordCoder(Vocabulary(path), most)
+    return _coders[path, most]
 
 
 _vocabularies: dict[str, Vocabulary] = {}
