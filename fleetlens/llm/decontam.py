@@ -150,9 +150,8 @@ def contaminated(
         {"d": "item", "t": "it", "slots": "item_slots", "at": "item_at", "total": "item_windows"}
     )
     asked = asked.distinct()
-    buckets = asked.select(_bucket("w")).distinct().collect()
     keep = np.zeros(FILTER_BUCKETS, bool)
-    keep[[r[0] for r in buckets]] = True
+    keep[asked.select(_bucket("w")).distinct().toArrow().column("bucket").to_numpy()] = True
     text = F.coalesce(F.col(text_column), F.lit(""))
     read = docs.select(F.col(id_column).cast("long").alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
     sizes = list(range(LEAST_WINDOW, window + 1))

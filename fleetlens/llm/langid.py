@@ -24,7 +24,7 @@ from fleetlens.llm.names import texts
 WINDOW_BYTES = 256
 WIDTHS = (2, 3, 4)
 FILTERS, EMBEDDING = 16, 8
-PER_LANGUAGE, WINDOWS = 400, 6
+PER_LANGUAGE, WINDOWS = 400, 4
 
 _LETTER = regex.compile(r"\p{L}")
 _BATCH = 64
@@ -92,7 +92,7 @@ def gradients(net: Network, x: np.ndarray, y: np.ndarray) -> tuple[float, list[n
     return loss, [d_embedding, *d_filters, *d_offsets, hidden.T @ d, d.sum(0)]
 
 
-def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = 12, batch: int = 256, rate: float = 0.004) -> Network:
+def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = 9, batch: int = 256, rate: float = 0.004) -> Network:
     """Adam over shuffled windows; a fifth of them is cut short at random, so that short texts are known too."""
     net, rng = new_network(languages), np.random.default_rng(5)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
