@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.names import _VALUES, Named, blocks, bounds, combined, mixed, texts
+from fleetlens.llm.names import _VALUES, Named, blocks, bounds, combined, mixed, small, texts
 
 WINDOW, LEAST_WINDOW = 8, 4
 LEAST_LITERALS = 4
@@ -95,7 +95,7 @@ def windows_of(names: np.ndarray, kind: np.ndarray, of: np.ndarray, size: int) -
 
 def _windows(batches: Iterator[pa.RecordBatch], sizes: list[int] | None, keep: np.ndarray | None, window: int) -> Iterator[pa.RecordBatch]:
     """Windows with their slots. Without ``sizes`` the texts are items: each has windows of one size, its own if it is shorter."""
-    for batch in batches:
+    for batch in small(batches):
         values = list(texts(batch))
         rows: list[tuple] = []
         for first, raw, ends in blocks(values):

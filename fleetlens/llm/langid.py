@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.llm.names import texts
+from fleetlens.llm.names import small, texts
 
 WINDOW_BYTES = 256
 WIDTHS = (2, 3, 4)
@@ -150,7 +150,7 @@ def windows_of(text: bytes, size: int = WINDOW_BYTES) -> np.ndarray:
 
 
 def _sample_windows(batches: Iterator[pa.RecordBatch], windows: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         out = []
         for lang, text in zip(batch.column("lang").to_pylist(), texts(batch)):
             every = windows_of(text)
@@ -205,14 +205,14 @@ def predict(values: list[bytes], predictor: Predictor | None) -> tuple[list[str]
 
 def _predicted(batches: Iterator[pa.RecordBatch], net: Network | None) -> Iterator[pa.RecordBatch]:
     predictor = Predictor(net) if net else None
-    for batch in batches:
+    for batch in small(batches):
         language, score = predict(list(texts(batch)), predictor)
         yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(language, pa.string()), pa.array(score, pa.float64())], ["d", "lang_pred", "score"])
 
 
 def _clear(batches: Iterator[pa.RecordBatch], net: Network | None, text_column: str, least: float) -> Iterator[pa.RecordBatch]:
     predictor = Predictor(net) if net else None
-    for batch in batches:
+    for batch in small(batches):
         language, score = predict(list(texts(batch, text_column)), predictor)
         yield batch.filter(pa.array([lang != "und" and value >= least for lang, value in zip(language, score)], pa.bool_()))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.names import Named, blocks, bounds, texts
+from fleetlens.llm.names import Named, blocks, bounds, small, texts
 
 #: Phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -237,7 +237,7 @@ _scanners: list[Scanner] = []
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not _scanners:
         _scanners.append(Scanner())
-    for batch in batches:
+    for batch in small(batches):
         rows = _scanners[0].scan([t.lower() for t in texts(batch)])
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), _SPANS)
         columns = list(zip(*rows)) or [()] * len(kinds)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.components import components
-from fleetlens.llm.names import blocks, combined, mixed, texts, word_names
+from fleetlens.llm.names import blocks, combined, mixed, small, texts, word_names
 from fleetlens.plans.shared import stored
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -50,7 +50,7 @@ _UNIFORM = ((np.arange(_STEPS) + 0.5) / _STEPS).astype(np.float32)
 def _frequencies(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """How many of a task's texts hold a word of each bucket; bucket -1 counts the texts."""
     counts, n = np.zeros(buckets, np.int64), 0
-    for batch in batches:
+    for batch in small(batches):
         values = [t.lower() for t in texts(batch)]
         n += len(values)
         for _, data, ends in blocks(values):
@@ -126,7 +126,7 @@ def icws(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, samples: in
 
 
 def _keys(batches: Iterator[pa.RecordBatch], idf: np.ndarray, size: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         values = list(texts(batch))
         keys: list = [None] * len(values)
         for first, owner, shingle, weight in _weighted([t.lower() for t in values], idf, size):
@@ -146,7 +146,7 @@ def _keys(batches: Iterator[pa.RecordBatch], idf: np.ndarray, size: int, bands:
 
 def _sets(batches: Iterator[pa.RecordBatch], idf: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
     """Shingle names and weights of each text as byte strings."""
-    for batch in batches:
+    for batch in small(batches):
         names: list = [b""] * batch.num_rows
         weights: list = [b""] * batch.num_rows
         for first, owner, shingle, weight in _weighted([t.lower() for t in texts(batch)], idf, size):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.names import texts
+from fleetlens.llm.names import small, texts
 from fleetlens.llm.tokens import word_coder
 from fleetlens.plans.shared import stored
 
@@ -70,7 +70,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, tokens: int) -> Iterator[pa.RecordBatch]:
     coder = word_coder(path)
-    for batch in batches:
+    for batch in small(batches):
         out = []
         for i, (ids, _) in enumerate(coder.encode_all(list(texts(batch)))):
             ids = np.append(ids, end_id).astype("<u4")

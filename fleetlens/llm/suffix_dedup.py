@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from fleetlens.llm.names import Named, signed, texts
+from fleetlens.llm.names import Named, signed, small, texts
 from fleetlens.plans.shared import stored
 
 WINDOW, GRAM = 200, 64
 BUCKET_ROWS = 4096
 
 _BLOCK = 1 << 20
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 _PLACE_BITS = np.uint64(22)
 
 
@@ -59,7 +59,7 @@ def anchors(data: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[n
 
 
 def _segments(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         found = []
         for at, text in enumerate(texts(batch)):
             data = np.frombuffer(text, np.uint8)
@@ -201,7 +201,7 @@ def _cut(text: bytes, lows: list[int] | None, highs: list[int] | None, window: i
 
 def _digests(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    for batch in batches:
+    for batch in small(batches):
         out = []
         for text, lows, highs in zip(texts(batch), batch.column("lows").to_pylist(), batch.column("highs").to_pylist()):
             kept, removed, spans = _cut(text, lows, highs, window)
@@ -232,7 +232,7 @@ def remove_repeats(
 
 
 def _rewritten(batches: Iterator[pa.RecordBatch], window: int, text_column: str, chars_column: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         rows = batch.column("doc")
         columns = {field.name: rows.field(i) for i, field in enumerate(rows.type)}
         before = columns[text_column].to_pylist()

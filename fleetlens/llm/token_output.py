@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.names import texts
+from fleetlens.llm.names import small, texts
 from fleetlens.llm.tokens import vocabulary
 
 ROW_TOKENS = 2048
@@ -78,7 +78,7 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, row_tokens: int) -> Iterator[pa.RecordBatch]:
     coder, kind = vocabulary(path), "<u2" if end_id < 1 << 16 else "<u4"
-    for batch in batches:
+    for batch in small(batches):
         out = []
         for i, text in enumerate(texts(batch)):
             ids = np.append(np.array(coder.encode([text.decode()])[0], np.int64), end_id).astype(kind)
