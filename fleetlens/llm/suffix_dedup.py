@@ -19,12 +19,13 @@ read in blocks. A segment never grows beyond 2 * WINDOW - GRAM bytes.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -144,6 +145,12 @@ def _found(rows: list[tuple], window: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["d", "t", "lo", "hi", "h", "w"])
 
 
+def _free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what has been stored: it does so when the driver's JVM collects their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _same_document(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     """Join on id and text name; a null id equals a null id."""
     right = right.withColumnRenamed("d", "rd").withColumnRenamed("t", "rt")
@@ -166,6 +173,7 @@ def repeated_windows(
     buckets = classes.groupBy("h").agg(F.sum("n").alias("nh"), F.count(F.lit(1)).alias("nf")).where("nh > 1")
     hits = segments.join(classes.join(buckets, "h"), ["h", "f"]).select("h", "d", "t", "lo", "hi", "n", "nf", (F.col("o") == F.col("first")).alias("is_first"))
     hits = stored(hits, "repeats")
+    _free_shuffles(docs.sparkSession)
     differing = (
         hits.where("nf > 1 AND is_first")
         .withColumn("salts", F.ceil(F.col("nf") / bucket_rows))
@@ -182,6 +190,7 @@ def repeated_windows(
         .sortWithinPartitions("h", "salt")
     )
     found = stored(with_bytes.mapInArrow(lambda b: _sorted_buckets(b, window), _FOUND), "sorted")
+    _free_shuffles(docs.sparkSession)
     across = found.where("w IS NOT NULL").groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     late = found.where("w IS NOT NULL AND lo IS NOT NULL").join(across, ["h", "w"])
     spans = ["d", "t", "lo", "hi"]
