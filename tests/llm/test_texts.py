@@ -199,6 +199,25 @@ def test_inconsistent_slots_are_not_the_same_question(spark):
     assert [r.doc_id for r in got] == [1]
 
 
+SHORT_ITEMS = [
+    (1, "水的沸点是多少度？请选择正确的答案。"),
+    (2, "Solve 3x + 5 = 2x + 9."),
+    (3, "WHICH PLANET IS THE LARGEST OF ALL"),
+    (4, "12 7 9 33 101 5 8 13 21 34 55"),
+    (5, "น้ำเดือดที่กี่องศา"),
+    (6, "Name it"),
+    (7, "?!"),
+]
+
+
+def test_every_item_with_a_word_is_found_verbatim(spark):
+    rows = [(i, f"Some text before. {text} Then some text after it.") for i, text in SHORT_ITEMS]
+    rows += [(10, "这是另外一个关于天气的句子。"), (11, "Solve 4x + 5 = 2x + 9."), (12, "which planet is it of them all"), (13, "12 7 9 33 101 5 8"), (14, "?!")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = contaminated(docs, spark.createDataFrame(SHORT_ITEMS, "item_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i in range(1, 7)]
+
+
 def test_planted_items_are_found(spark):
     sf = "/root/testdata/sf0.01"
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
