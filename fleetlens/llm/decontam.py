@@ -7,7 +7,8 @@ each value of the item was replaced by one value throughout, so copies with new
 share a common phrase.
 
 Beside them go literal windows: of words as they stand but for their case, numbers and names included, and of single characters in
-scripts without spaces. An item shorter than a window is one window, so every item with a letter, digit or symbol has one. An item may match by either.
+scripts without spaces. An item shorter than a window is one window, so every item with a letter, digit or symbol has one. Folded windows have slots for numbers and units but none for names:
+whether a word is a name hangs on its case and on what stands before it, and copies may differ there. An item may match by any of the three.
 
 A filter of fixed size, one bit per bucket of the benchmark's window hashes, lets most windows of clean documents go before the join.
 It drops nothing that could match, whatever the size of the benchmark.
@@ -42,7 +43,7 @@ UNITS = (
 _NUMBER, _UNIT, _NAME = 1, 2, 3
 
 #: Kinds of windows. Where an item matches by several, the first says how.
-TEMPLATE, LITERAL = 0, 1
+TEMPLATE, FOLDED, LITERAL = 0, 1, 2
 
 #: First and last characters of scripts that don't part words by spaces.
 _UNSPACED = (
@@ -140,9 +141,12 @@ def _streams(values: list[bytes], ends: np.ndarray, wanted: Iterable[int]) -> It
     if TEMPLATE in wanted:
         raw, lower = (np.frombuffer(b"\n".join([*x, b""]), np.uint8) for x in (values, map(_lower, values)))
         yield TEMPLATE, *templates(raw, lower, ends)
+    folded_texts = [_folded(t) for t in values]
+    folded, folded_ends = np.frombuffer(b"\n".join([*folded_texts, b""]), np.uint8), np.cumsum([len(t) + 1 for t in folded_texts])
+    if FOLDED in wanted:
+        yield FOLDED, *templates(folded, folded, folded_ends)  # without capitals there are no names
     if LITERAL in wanted:
-        folded = list(map(_folded, values))
-        of, names = literals(np.frombuffer(b"\n".join([*folded, b""]), np.uint8), np.cumsum([len(t) + 1 for t in folded]))
+        of, names = literals(folded, folded_ends)
         yield LITERAL, of, names, np.zeros(len(names), np.int64), names
 
 
@@ -150,7 +154,8 @@ def _windows(
     batches: Iterator[pa.RecordBatch], sizes: dict[int, list[int]] | None, keep: np.ndarray | None, window: int
 ) -> Iterator[pa.RecordBatch]:
     """Windows with their slots. Without ``sizes`` the texts are items: each has windows of one size, its own if it is shorter."""
-    every = {TEMPLATE: list(range(LEAST_WINDOW, window + 1)), LITERAL: list(range(1, window + 1))}
+    templated = list(range(LEAST_WINDOW, window + 1))
+    every = {TEMPLATE: templated, FOLDED: templated, LITERAL: list(range(1, window + 1))}
     for batch in small(batches):
         values = list(texts(batch))
         rows: list[tuple] = []
@@ -204,8 +209,8 @@ def contaminated(
     Columns: id, t (name of the text), item id, n_windows (different windows of the item that match), item_windows, cover, n_verbatim (those whose
     slots are equal too), n_slots (slot values of the item that matched), n_conflicts (those replaced by several values), reparameterised. An item
     stands in a document if ``windows`` of its windows match, or a share of ``cover``, and either so many match verbatim or at most a
-    fifth of its slot values conflict. The counts are those of template windows if the item stands there by them, else of literal ones, which
-    have no slots. Items without a letter, digit or symbol and null texts match nothing; items shorter than the window are one
+    fifth of its slot values conflict. The counts are those of template windows if the item stands there by them, else of folded or then literal ones,
+    which have no slots. Items without a letter, digit or symbol and null texts match nothing; items shorter than the window are one
     window. Items that repeat an id are one item, rows that repeat an id and a text one document. An empty benchmark gives no rows.
     """
     item_id, item_text = F.col(item_column).cast("long"), F.coalesce(F.col(item_text_column), F.lit(""))

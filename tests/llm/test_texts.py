@@ -199,6 +199,22 @@ def test_inconsistent_slots_are_not_the_same_question(spark):
     assert [r.doc_id for r in got] == [1]
 
 
+def test_case_and_what_stands_before_a_word_do_not_hide_an_item(spark):
+    german = "Der alte Zug verließ den Bahnhof der Stadt mit 60 km und der Bus folgte dem Zug nach 2 Stunden auf der Straße nach Berlin"
+    wrapped = "the river flows through Vienna and then 9 bridges cross it before Budapest where 7 boats wait for the Danube ferry"
+    items = [(1, german), (2, "What is the boiling point of 3 litres water"), (3, wrapped)]
+    rows = [
+        (1, "davor. " + german.lower().replace("60", "75").replace("2 ", "4 ") + " danach"),
+        (2, "davor. " + german.upper().replace("60", "75").replace("2 ", "4 ") + " danach"),
+        (3, "Q1) What is the boiling point of 5 litres water? It is said"),
+        (4, "see " + wrapped.replace("9", "8").replace("7", "6").replace("Vienna", "\nVienna").replace("Budapest", "\nBudapest").replace("Danube", "\nDanube")),
+        (5, "the old train left the station and what is the point of boiling water in vienna"),
+    ]
+    got = contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 1), (3, 2), (4, 3)]
+    assert all(r.reparameterised and r.n_slots > 0 for r in got)
+
+
 SHORT_ITEMS = [
     (1, "水的沸点是多少度？请选择正确的答案。"),
     (2, "Solve 3x + 5 = 2x + 9."),
