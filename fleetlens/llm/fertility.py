@@ -4,6 +4,8 @@ For each vocabulary a text has its characters per token, its share of fallback t
 and the entropy of its tokens relative to their number. Texts are judged among those of their language, or their script if they name none,
 and of their length, by powers of two: the quartiles of each measure over all documents of that group that pass the plain
 rules give bands, ``reach`` times the interquartile range beyond the quartiles, and wider in groups of few texts. Texts outside are rejected.
+A group of fewer than ``LEAST_TEXTS`` texts says nothing about its own: they are judged by the band of their language over all lengths, if that
+is as thin of their script, else of all texts; and by the mean entropy of blocks of fixed size, as that of whole texts falls with their length.
 
 Words are tokenised one by one, so a task asks a vocabulary once for each different word it holds.
 """
@@ -25,6 +27,8 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 REACH = 3.5
 FEW_TEXTS = 10
+LEAST_TEXTS = 20
+BLOCK_TOKENS = MIN_WORDS
 CACHED_WORDS = 1 << 18
 
 _SYMBOL = np.zeros(256, bool)
@@ -77,39 +81,68 @@ def plain_measures(values: list[bytes]) -> dict[str, np.ndarray]:
     return out
 
 
+_SELF_LOG = np.append(0, np.arange(1, BLOCK_TOKENS + 1) * np.log(np.arange(1, BLOCK_TOKENS + 1)))
+
+
+def block_entropies(ids: list[np.ndarray]) -> np.ndarray:
+    """Of each text the mean entropy of its blocks of tokens relative to their size; the last block ends with the text. Shorter texts have none."""
+    size = BLOCK_TOKENS
+    counts = np.array([len(i) for i in ids], np.int64)
+    blocks_of = np.where(counts >= size, -(-counts // size), 0)
+    of = np.repeat(np.arange(len(ids)), blocks_of)
+    within = np.arange(len(of)) - np.repeat(np.cumsum(blocks_of) - blocks_of, blocks_of)
+    begins = (np.cumsum(counts) - counts)[of] + np.minimum(within * size, counts[of] - size)
+    flat, repeated = np.concatenate([*ids, np.zeros(size, np.int32)]), np.zeros(len(of))
+    windows = np.lib.stride_tricks.sliding_window_view(flat, size)
+    for a in range(0, len(of), 1 << 13):
+        part = np.sort(windows[begins[a : a + (1 << 13)]], axis=1)
+        changes = np.ones(part.shape, bool)
+        np.not_equal(part[:, 1:], part[:, :-1], out=changes[:, 1:])
+        first = np.flatnonzero(changes)
+        runs = np.diff(np.append(first, part.size))
+        several = np.flatnonzero(runs > 1)
+        repeated[a : a + len(part)] = np.bincount(first[several] // size, weights=_SELF_LOG[runs[several]], minlength=len(part))
+    total = np.bincount(of, weights=repeated, minlength=len(ids))
+    return np.where(blocks_of > 0, 1 - total / (np.maximum(blocks_of, 1) * size * np.log(size)), np.nan)
+
+
 def _measures(batches: Iterator[pa.RecordBatch], paths: list[str]) -> Iterator[pa.RecordBatch]:
     coders = [word_coder(p, CACHED_WORDS) for p in paths]
     fallback = [vocabulary(p).fallback() for p in paths]
     for batch in small(batches):
         values = list(texts(batch))
         plain = plain_measures(values)
-        fit = [[], [], []]
-        for chars, *coded in zip(plain["word_chars"].tolist(), *(coder.encode_all(values) for coder in coders)):
-            row = ([], [], [])
-            for (ids, _), parts in zip(coded, fallback):
+        fit = [[], [], [], []]
+        coded_texts = [[ids for ids, _ in coder.encode_all(values)] for coder in coders]
+        by_block = [block_entropies(ids).tolist() for ids in coded_texts]
+        for i, (chars, *coded) in enumerate(zip(plain["word_chars"].tolist(), *coded_texts)):
+            row = ([], [], [], [])
+            for ids, parts, entropies in zip(coded, fallback, by_block):
                 n = len(ids)
                 if n:
                     share = np.unique(ids, return_counts=True)[1] / n
                     row[0].append(chars / n)
                     row[1].append(float(parts[ids].mean()))
                     row[2].append(float(-(share * np.log(share)).sum() / np.log(n)) if n > 1 else 1.0)
+                    row[3].append(entropies[i] if n >= BLOCK_TOKENS else row[2][-1])
             for column, value in zip(fit, row):
                 column.append(value or None)
         counts = [pa.array(plain[c]) for c in ("n_words", "word_chars", "n_symbols")]
         yield pa.RecordBatch.from_arrays(
             [batch.column("d"), batch.column("lang"), *counts, pa.array(map(repeated_lines, values), pa.int64()), pa.array(plain["n_repeat_words"]),
              pa.array([SCRIPTS[i] for i in plain["script"]]), *(pa.array(c, pa.list_(pa.float64())) for c in fit)],
-            ["d", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "script", "chars_per_token", "fallback_share", "token_entropy"],
+            ["d", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "script", "chars_per_token", "fallback_share", "token_entropy",
+             "block_entropy"],
         )
 
 
 _MEASURES = (
     "d bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, script string, "
-    "chars_per_token array<double>, fallback_share array<double>, token_entropy array<double>"
+    "chars_per_token array<double>, fallback_share array<double>, token_entropy array<double>, block_entropy array<double>"
 )
 
 #: The least interquartile range of each measure, so that groups of like texts don't reject each other.
-LEAST_RANGE = {"chars_per_token": 0.02, "fallback_share": 0.005, "token_entropy": 0.01}
+LEAST_RANGE = {"chars_per_token": 0.02, "fallback_share": 0.005, "token_entropy": 0.01, "block_entropy": 0.01}
 
 
 def fertility(
@@ -118,27 +151,38 @@ def fertility(
     """One row per input row: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, band_group and the three measures.
 
     Measures are arrays, one value per vocabulary. A text that is null or has no words has zeros, null measures, and fails the plain rules.
-    A band's reach grows with 1 + FEW_TEXTS / texts in the group. Null and repeated ids are rows like any other; other
+    A band's reach grows with 1 + FEW_TEXTS / texts in the group; band_group names the group whose band judged a text: language and length class, its
+    language, its script, or "all". Null and repeated ids are rows like any other; other
     columns are ignored.
     """
     read = docs.select(F.col(id_column).cast("long").alias("d"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang"))
     measured = read.mapInArrow(lambda b: _measures(b, tokenizer_paths), _MEASURES)
     failed = f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words"
     measured = measured.withColumn("base_failed", F.expr(failed))
-    group = F.concat_ws("/", F.coalesce("lang", "script"), F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("string"))
-    measured = stored(measured.withColumn("band_group", group), "fertility")
+    language = F.coalesce("lang", "script")
+    length = F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("string")
+    measured = stored(measured.withColumn("language", language).withColumn("length", length), "fertility")
     quartiles, outside = [], []
     for k in range(len(tokenizer_paths)):
         for name, least in LEAST_RANGE.items():
             band = f"{name}_{k}"
             quartiles.append(F.percentile_approx(F.col(name)[k], [0.25, 0.75], 10_000).alias(band))
-            value, low, high = f"{name}[{k}]", f"{band}[0]", f"{band}[1]"
-            span = f"{reach} * (1 + {FEW_TEXTS} / group_texts) * greatest({high} - {low}, {least})"
-            if name != "token_entropy":
+            value, low, high = f"{name}[{k}]", f"band.{band}[0]", f"band.{band}[1]"
+            span = f"{reach} * (1 + {FEW_TEXTS} / band.group_texts) * greatest({high} - {low}, {least})"
+            by = {"token_entropy": "band.level = 0 AND ", "block_entropy": "band.level > 0 AND "}.get(name, "")
+            if name not in ("token_entropy", "block_entropy"):
                 outside.append(f"{value} > {high} + {span}")
             if name != "fallback_share":
-                outside.append(f"{value} < {low} - {span}")
-    bands = measured.where("NOT base_failed").groupBy("band_group").agg(F.count(F.lit(1)).alias("group_texts"), *quartiles)
-    judged = measured.join(bands, "band_group", "left").withColumn("kept", F.expr(f"NOT base_failed AND NOT coalesce({' OR '.join(outside)}, false)"))
+                outside.append(f"({by}{value} < {low} - {span})")
+    groups = [F.concat_ws("/", "language", "length"), F.col("language"), F.col("script"), F.lit("all")]
+    levels = F.array(*(F.struct(F.lit(i).alias("level"), g.alias("band_group")) for i, g in enumerate(groups)))
+    kinds = ["language", "length", "script"]
+    leveled = measured.where("NOT base_failed").withColumn("group", F.explode(levels)).select("group.*", *kinds, *LEAST_RANGE)
+    bands = leveled.groupBy("level", "band_group").agg(F.count(F.lit(1)).alias("group_texts"), *quartiles)
+    # each kind of text is judged by the first of its groups that has enough texts; there are few kinds
+    asked = leveled.select("level", "band_group", *kinds).distinct().join(bands, ["level", "band_group"]).where(f"level = 3 OR group_texts >= {LEAST_TEXTS}")
+    chosen = asked.groupBy(*kinds).agg(F.min_by(F.struct("level", "band_group", "group_texts", *(c for c in bands.columns[3:])), "level").alias("band"))
+    judged = measured.join(chosen, kinds, "left").withColumn("kept", F.expr(f"NOT base_failed AND NOT coalesce({' OR '.join(outside)}, false)"))
+    judged = judged.withColumn("band_group", F.coalesce("band.band_group", groups[0]))
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "band_group"]
-    return judged.select(F.col("d").alias(id_column), *columns, *LEAST_RANGE)
+    return judged.select(F.col("d").alias(id_column), *columns, "chars_per_token", "fallback_share", "token_entropy")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm import lbl
 from fleetlens.llm.decontam import contaminated
-from fleetlens.llm.fertility import fertility
+from fleetlens.llm.fertility import block_entropies, fertility
 from fleetlens.llm.langid import FILTERS, Predictor, drop_unclear, gradients, identify, new_network, windows_of
 from fleetlens.llm.lbl import log_bilinear_scores
 from fleetlens.llm.licenses import PHRASES, TEMPLATES, Automaton, Scanner, scan_licenses
@@ -60,6 +60,29 @@ def test_a_text_that_fits_no_vocabulary_is_rejected(spark, docs):
     assert not got[99_999].kept and not got[99_999].base_failed and min(got[99_999].fallback_share) > 0.5
 
 
+def test_long_texts_and_rare_languages_are_judged(spark, docs):
+    rng = random.Random(2)
+    noise = lambda n: " ".join("".join(chr(rng.randint(0x12000, 0x12300)) for _ in range(6)) for _ in range(n))
+    clean = " ".join(r.text for r in docs.where("lang = 'en'").orderBy("doc_id").collect() if r.text and plain(r.text)[4] == 0)
+    vocabulary = rng.sample(sorted(set(words(clean))), 400)
+    long = " ".join(rng.choices(vocabulary, k=10_000))
+    rows = [(99_991, noise(10_000), "en"), (99_992, noise(300), "xx"), (99_993, noise(20_000), None), (99_994, long, "en")]
+    table = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    got = {r.doc_id: r for r in fertility(table, FERTILITY_VOCABULARIES).where("doc_id > 99990").collect()}
+    assert {d: (r.base_failed, r.kept) for d, r in got.items()} == {99_991: (False, False), 99_992: (False, False), 99_993: (False, False), 99_994: (False, True)}
+
+
+def test_block_entropies_have_no_length():
+    rng = np.random.default_rng(5)
+    ids = rng.zipf(1.5, 100_000).astype(np.int32)
+    values = block_entropies([ids[:n] for n in (2_000, 20_000, 100_000)])
+    assert max(values) - min(values) < 0.02
+    entropy = lambda x: -sum(c / len(x) * math.log(c / len(x)) for c in collections.Counter(x.tolist()).values()) / math.log(len(x))
+    got = block_entropies([ids[:49], ids[:50], ids[:0], ids[100:220]])
+    assert np.isnan(got[0]) and abs(got[1] - entropy(ids[:50])) < 1e-9 and np.isnan(got[2])
+    assert abs(got[3] - np.mean([entropy(ids[a : a + 50]) for a in (100, 150, 170)])) < 1e-9
+
+
 def test_junk_goes_and_clean_texts_stay(spark):
     sf = "/root/testdata/sf0.01"
     rows = fertility(spark.read.parquet(f"{sf}/documents.parquet"), FERTILITY_VOCABULARIES).where("NOT base_failed")
