@@ -5,9 +5,9 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from fleetlens.session import local_session
+from support import SF
 
-SF = "/root/testdata/sf0.001"
+from fleetlens.session import local_session
 
 
 @pytest.fixture(scope="session")
@@ -21,8 +21,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return SF
-
-
-def rows(df):
-    """Rows as sorted plain tuples."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)

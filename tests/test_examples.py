@@ -3,7 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 
 from fleetlens import schemas as S

@@ -1,7 +1,7 @@
 """Every registered query against its SQL, and the session settings they must not depend on."""
 
 import pytest
-from conftest import SF
+from support import SF
 from oracle_check import compare, connect
 
 from __spark_entry__ import entry, oracle_sql

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import SF
+from support import SF
 from pyspark.sql import functions as F
 
 from fleetlens.catalog.fixtures import view

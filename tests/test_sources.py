@@ -2,7 +2,7 @@ import uuid
 from datetime import date, datetime, timedelta
 
 import pytest
-from conftest import rows
+from support import rows
 
 from fleetlens import jobs
 from fleetlens import schemas as S

@@ -3,7 +3,7 @@
 from datetime import timedelta
 
 import pytest
-from conftest import SF, rows
+from support import SF, rows
 from pyspark.sql import functions as F
 
 from fleetlens.catalog.fixtures import view, with_zone
