@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-SMALL = "/root/testdata/sf0.001"
+from llm_support import ODD, SMALL
 
 
 @pytest.fixture(scope="session")
@@ -13,20 +13,6 @@ def docs(spark):
     return spark.read.parquet(f"{SMALL}/documents.parquet")
 
 
-#: Rows every operator has to take: nulls, empty and long texts, repeated rows, extra columns with names the operators use.
-ODD = [
-    (1, None, "en", "s", None),
-    (2, "", None, None, 0),
-    (None, "no id here but some words to keep it going on and on", "en", "s", 3),
-    (3, "same row twice " * 20, "en", "s", 3),
-    (3, "same row twice " * 20, "en", "s", 3),
-    (4, "1 2 3 ... !!!", "de", "s", 3),
-    (5, "long text with many words and no end " * 20_000, "en", "s", 3),
-    (6, "é" * 500, "fr", None, 3),
-    (None, None, None, None, None),
-]
-
-
 @pytest.fixture(scope="session")
 def odd(spark):
     from pyspark.sql import functions as F

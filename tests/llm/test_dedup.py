@@ -1,31 +1,17 @@
 """Suffix dedup and near-duplicates against brute force."""
 
-import hashlib
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
+from llm_support import brute_repeats, near_rows
 
 from fleetlens.llm.components import components
 from fleetlens.llm.minhash import SIMILARITY, _weighted, icws, links_of, near_duplicates, word_idf
 from fleetlens.llm.suffix_dedup import cut_repeats, remove_repeats, repeated_starts
 
 
-def brute_repeats(texts, window):
-    count = Counter(t[i : i + window] for t in texts for i in range(len(t) - window + 1))
-    out = []
-    for t in texts:
-        gone = np.zeros(len(t), bool)
-        for i in range(len(t) - window + 1):
-            if count[t[i : i + window]] > 1:
-                gone[i : i + window] = True
-        kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
-        runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
-        out.append((len(t), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
-    return out
-
-
 def made_texts(seed=1):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7)))
@@ -104,21 +90,6 @@ def similarity(a, b):
     return common / (sum(a.values()) + sum(b.values()) - common)
 
 
-def near_rows(spark, docs):
-    rng = random.Random(5)
-    texts = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    long = [t for t in texts if len(t[1].split()) > 150][:12]
-    copies = []
-    for k, (_, text) in enumerate(long):
-        for j in range(5):
-            words = text.split(" ")
-            for _ in range(max(1, len(words) // 100)):
-                words[rng.randrange(len(words))] = "changed"
-            copies.append((10_000 + 10 * k + j, " ".join(words)))
-        copies.append((20_000 + k, text))
-    return spark.createDataFrame(texts + copies, "doc_id bigint, text string").repartition(4)
-
-
 @pytest.mark.parametrize("block_rows", [2048, 2])
 def test_groups_equal_all_pairs(spark, docs, block_rows):
     rows = near_rows(spark, docs).cache()

@@ -1,12 +1,11 @@
 """Packing and packed rows: exact ids, gapless places, bounds that hold."""
 
-import itertools
 import random
 import zlib
-from collections import defaultdict
 
 import numpy as np
 import pytest
+from llm_support import check_places, ids_of
 from tokenizers import Tokenizer
 
 from fleetlens.llm.packing import best_fit, lower_bound, pack_sequences
@@ -14,22 +13,6 @@ from fleetlens.llm.queries import BYTE_END, BYTE_VOCABULARY, WORD_VOCABULARY
 from fleetlens.llm.token_output import FreeRoom, best_fit_decreasing, packed_rows, unpacked
 
 
-def ids_of(text):
-    tokenizer = Tokenizer.from_file(WORD_VOCABULARY)
-    return np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
-
-
-def check_places(rows, capacity=2048):
-    by = defaultdict(list)
-    for r in rows:
-        by[r.sequence_id].append((r.offset, r.length))
-    for places in by.values():
-        places.sort()
-        assert [o for o, _ in places] == list(itertools.accumulate([0] + [n for _, n in places]))[:-1]
-        assert sum(n for _, n in places) <= capacity
-    return len(by)
-
-
 @pytest.mark.parametrize("part_pieces", [100_000, 20])
 def test_pieces_are_exact_and_gapless(docs, part_pieces):
     rows = pack_sequences(docs, WORD_VOCABULARY, part_pieces=part_pieces).collect()

@@ -3,14 +3,12 @@
 import re
 
 import pytest
+from llm_support import SMALL, brute_repeats, check_places, ids_of, near_rows
 from pyspark.sql import functions as F
-from test_dedup import brute_repeats, near_rows
-from test_packing import check_places, ids_of
 
 import corpus_pipeline as pipeline
 from fleetlens.llm.minhash import near_duplicates
 
-SMALL = "/root/testdata/sf0.001"
 STAGE = dict(pipeline.STAGES)
 
 
