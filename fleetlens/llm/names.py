@@ -86,18 +86,23 @@ def signed(names: np.ndarray) -> pa.Array:
 _PIECE = 1 << 20
 
 
-def word_names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and name of every word between ASCII white space; long arrays are named in pieces."""
-    starts, ends = word_bounds(data)
+def span_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Names of spans in ascending order; long arrays are named in pieces."""
     if len(data) <= _PIECE:
-        return starts, ends, Named(data).between(starts, ends)
+        return Named(data).between(starts, ends)
     names, i = np.zeros(len(starts), np.uint64), 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _PIECE)))
         named = Named(data[starts[i] : ends[j - 1]])
         names[i:j] = named.between(starts[i:j] - starts[i], ends[i:j] - starts[i])
         i = j
-    return starts, ends, names
+    return names
+
+
+def word_names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and name of every word between ASCII white space."""
+    starts, ends = word_bounds(data)
+    return starts, ends, span_names(data, starts, ends)
 
 
 def blocks(values: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.chat import branches, digests, formatted, tree_of_turns
 from fleetlens.llm.decontam import contaminated
+from fleetlens.llm.divergence import source_divergence
+from fleetlens.llm.exact_dedup import exact_groups
 from fleetlens.llm.fertility import fertility
 from fleetlens.llm.langid import identify
 from fleetlens.llm.lbl import log_bilinear_scores
 from fleetlens.llm.licenses import scan_licenses
 from fleetlens.llm.minhash import near_duplicates
 from fleetlens.llm.packing import pack_sequences
+from fleetlens.llm.ranked_search import ranked_search
 from fleetlens.llm.suffix_dedup import remove_repeats
 from fleetlens.llm.token_output import packed_rows
 
@@ -94,6 +97,84 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
+def range_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def late_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(documents(spark, sf_dir))
+
+
+def grace_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(documents(spark, sf_dir))
+
+
+def _terms_sql(pattern: str) -> str:
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all({lowered}, '{pattern}')"
+
+
+_SEARCH_TERMS = _terms_sql(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+_SEARCH_SQL = f"""
+WITH texts AS (SELECT row_number() OVER () AS doc, doc_id, {_SEARCH_TERMS} AS terms FROM documents),
+lengths AS (SELECT doc, doc_id, len(terms) AS length FROM texts),
+corpus AS (SELECT count(*) FILTER (length > 0) AS n_docs, sum(length)::BIGINT AS n_terms FROM lengths),
+counts AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM texts) GROUP BY doc, term),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight
+    FROM counts, corpus GROUP BY term, n_docs),
+items AS (
+    SELECT item, item_id, term, count(*) AS times
+    FROM (SELECT item, item_id, unnest(terms) AS term FROM (SELECT row_number() OVER () AS item, item_id, {_SEARCH_TERMS} AS terms FROM benchmark))
+    GROUP BY item, item_id, term),
+scores AS (
+    SELECT item, item_id, doc_id,
+        sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * length * n_docs) // n_terms))))::BIGINT AS score
+    FROM items JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (doc), corpus
+    GROUP BY item, item_id, doc, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
+
+_DIVERGENCE_SQL = rf"""
+WITH texts AS (
+    SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        {_terms_sql(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")} AS terms FROM documents),
+occurrences AS (SELECT doc, lang, source, unnest(terms) AS term FROM texts),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS in_lang FROM occurrences GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+counts AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM occurrences JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (
+    SELECT g.lang, g.source, coalesce(t.total, 0) AS total, coalesce(l.lang_total, 0) AS lang_total, coalesce(l.terms, 0) AS terms
+    FROM (SELECT DISTINCT lang, source FROM texts) g
+    LEFT JOIN (SELECT lang, source, sum(n)::HUGEINT AS total FROM counts GROUP BY lang, source) t ON t.lang = g.lang AND t.source = g.source
+    LEFT JOIN (SELECT lang, sum(in_lang)::HUGEINT AS lang_total, count(*)::HUGEINT AS terms FROM kept GROUP BY lang) l ON l.lang = g.lang),
+weighed AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+        1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + g.terms) AS p,
+        1 + (1000000000::HUGEINT * (k.in_lang + 1)) // (g.lang_total + g.terms) AS q
+    FROM groups g JOIN kept k ON k.lang = g.lang
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+parts AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (
+        SELECT x.lang, x.source, y.source AS other, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+        FROM weighed x JOIN weighed y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source
+    ) s ON s.lang = a.lang AND s.source = a.source AND s.other = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM weighed WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value,
+    row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 200
+"""
+
+_EXACT_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+    row_number() OVER (same ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": suffix_array_dedup,
     "op2_tokeniser_fertility": tokeniser_fertility,
@@ -105,6 +186,14 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_certified_packing": certified_packing,
     "op9_license_automaton": license_automaton,
     "op10_reply_tree_chat": reply_tree_chat,
+    "op11_range_max_search": range_max_search,
+    "op12_late_divergence_audit": late_divergence_audit,
+    "op13_grace_exact_dedup": grace_exact_dedup,
 }
 
-LLM_ORACLES: dict[str, str] = {"op10_reply_tree_chat": _CHAT_SQL}
+LLM_ORACLES: dict[str, str] = {
+    "op10_reply_tree_chat": _CHAT_SQL,
+    "op11_range_max_search": _SEARCH_SQL,
+    "op12_late_divergence_audit": _DIVERGENCE_SQL,
+    "op13_grace_exact_dedup": _EXACT_SQL,
+}
