@@ -98,6 +98,17 @@ SELECT event_id AS seq,
   CASE WHEN event_type = 'signup' THEN concat('10.1.0.', CAST(event_id % 250 AS STRING), ':15002') END AS address,
   CASE WHEN event_type = 'signup' THEN concat('application_', CAST(event_id AS STRING)) END AS application_id
 FROM {events}""",
+    "fx_mixed_events": """
+SELECT seq, kind, CASE WHEN kind IN ('register', 'unregister', 'connect_failed') THEN md5(concat('tok-', CAST(session AS STRING))) END AS token,
+  CASE WHEN kind NOT IN ('register', 'unregister', 'connect_failed') THEN session END AS id,
+  CASE WHEN kind <> 'stop' THEN NULL WHEN seq % 5 = 0 THEN 'user-none' ELSE concat('user-', CAST(o_custkey AS STRING)) END AS username,
+  CASE WHEN kind = 'register' THEN concat('10.1.0.', CAST(seq % 250 AS STRING), ':15002') END AS address,
+  CASE WHEN kind = 'register' THEN concat('application_', CAST(seq AS STRING)) END AS application_id
+FROM (
+  SELECT event_id AS seq, (user_id * 7 + event_id % 3) * (CASE WHEN event_id % 40 = 0 THEN -1 ELSE 1 END) AS session,
+    CASE event_type WHEN 'signup' THEN 'register' WHEN 'purchase' THEN 'unregister' WHEN 'click' THEN 'stop'
+         WHEN 'view' THEN CASE WHEN event_id % 4 = 0 THEN 'connect_failed' ELSE 'health_failed' END ELSE 'launch_failed' END AS kind
+  FROM {events}) e LEFT JOIN {orders} ON o_orderkey = session""",
     "fx_stops": """
 SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 4 = 0 THEN 'user-none' ELSE concat('user-', CAST(o_custkey AS STRING)) END AS username,
   CASE WHEN o_orderkey % 35 = 0 THEN o_orderkey + 1000000000 ELSE o_orderkey END AS id

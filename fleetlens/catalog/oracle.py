@@ -69,6 +69,48 @@ history AS (
   FROM marked
   WHERE nth = 1 OR state IS DISTINCT FROM state0 OR address IS DISTINCT FROM address0 OR app IS DISTINCT FROM app0)"""
 
+# Every event with the row it names, what was there before it, and what it did.
+_EFFECTS = f"""
+named AS (
+  SELECT e.seq, e.kind, e.address AS new_address, e.application_id AS new_app, r.id, r.token, r.state AS state0, r.address AS address0, r.application_id AS app0
+  FROM fx_mixed_events e LEFT JOIN fx_registry r ON CASE WHEN e.kind IN ('register', 'unregister', 'connect_failed') THEN r.token = e.token
+    WHEN e.kind = 'stop' THEN r.id = e.id AND r.username = e.username ELSE r.id = e.id END),
+before AS (
+  SELECT *, last_value(CASE WHEN kind IN {_UNGUARDED} THEN kind END IGNORE NULLS) OVER earlier AS set_by,
+    last_value(CASE WHEN kind IN {_UNGUARDED} THEN seq END IGNORE NULLS) OVER earlier AS set_at,
+    last_value(CASE WHEN kind IN {_UNGUARDED} THEN coalesce(new_address, '-') END IGNORE NULLS) OVER earlier AS set_address,
+    last_value(CASE WHEN kind = 'register' THEN new_app END IGNORE NULLS) OVER earlier AS app_before,
+    max(CASE WHEN kind = 'health_failed' THEN seq END) OVER earlier AS health_at,
+    bool_or(kind = 'launch_failed') OVER earlier AS failed_before
+  FROM named WINDOW earlier AS (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+states AS (
+  SELECT *, CASE WHEN id IS NULL THEN NULL WHEN set_by IS NULL THEN CASE WHEN state0 = 'LAUNCHING' AND failed_before OR state0 = 'RUNNING' AND health_at IS NOT NULL THEN 'FAILED' ELSE state0 END
+      WHEN set_by = 'register' THEN CASE WHEN health_at > set_at THEN 'FAILED' ELSE 'RUNNING' END
+      WHEN set_by = 'connect_failed' THEN 'FAILED' ELSE 'FINISHED' END AS state1,
+    CASE WHEN id IS NULL THEN NULL WHEN set_by IS NULL THEN CASE WHEN state0 = 'RUNNING' AND health_at IS NOT NULL THEN NULL ELSE address0 END
+      WHEN set_by = 'register' AND NOT coalesce(health_at > set_at, FALSE) THEN set_address END AS address1,
+    CASE WHEN id IS NOT NULL THEN coalesce(app_before, app0) END AS app1
+  FROM before),
+effects AS (
+  SELECT seq, kind, id, token, id IS NOT NULL AS matched,
+    id IS NOT NULL AND (kind IN {_UNGUARDED} OR kind = 'launch_failed' AND state1 = 'LAUNCHING' OR kind = 'health_failed' AND state1 = 'RUNNING') AS effective,
+    CASE WHEN kind = 'register' THEN 'RUNNING' WHEN kind IN ('unregister', 'stop') THEN 'FINISHED' ELSE 'FAILED' END AS state2,
+    state1, address1, CASE WHEN id IS NULL THEN NULL WHEN kind = 'register' THEN new_app ELSE app1 END AS application_id, new_address
+  FROM states),
+judged AS (
+  SELECT seq, kind, id, token, matched, effective, CASE WHEN effective THEN state2 ELSE state1 END AS state,
+    CASE WHEN NOT effective OR kind = 'launch_failed' THEN address1 WHEN kind = 'register' THEN new_address END AS address, application_id,
+    CASE WHEN kind = 'stop' THEN address1 END AS signal_address
+  FROM effects),
+ends AS (SELECT id, arg_max(j, seq) AS j, bool_or(effective) AS hit FROM judged j WHERE id IS NOT NULL GROUP BY id),
+after AS (
+  SELECT r.id, r.created_at, r.username, r.name, CASE WHEN e.id IS NULL THEN r.state ELSE e.j.state END AS state, r.token,
+    CASE WHEN e.id IS NULL THEN r.address ELSE e.j.address END AS address,
+    CASE WHEN e.id IS NULL THEN r.application_id ELSE e.j.application_id END AS application_id, coalesce(e.hit, FALSE) AS hit
+  FROM fx_registry r LEFT JOIN ends e USING (id))"""
+
+_EVENT_VIEWS = ["fx_registry", "fx_mixed_events"]
+
 _FOLD = f"""SELECT session_key,
   CASE WHEN set_kind IS NULL THEN CASE WHEN lf THEN 'FAILED' ELSE 'LAUNCHING' END
        WHEN set_kind = 'register' THEN CASE WHEN coalesce(health, -1) > set_seq THEN 'FAILED' ELSE 'RUNNING' END
@@ -289,6 +331,15 @@ WHERE attempt <= 4 GROUP BY token HAVING count(*) = 4 AND NOT bool_or(ok)""",
         "r.address",
         "r.application_id",
     ),
+    "apply_events": _sql(_EVENT_VIEWS, f"--ctes{_EFFECTS}\nSELECT {_ALL} FROM after"),
+    "apply_events_touched": _sql(_EVENT_VIEWS, f"--ctes{_EFFECTS}\nSELECT {_ALL} FROM after WHERE hit"),
+    "event_effects": _sql(_EVENT_VIEWS, f"--ctes{_EFFECTS}\nSELECT * FROM judged"),
+    "event_effect_counts": _sql(
+        _EVENT_VIEWS,
+        f"""--ctes{_EFFECTS}
+SELECT kind, count(DISTINCT seq) AS events, count(DISTINCT CASE WHEN matched THEN seq END) AS matched,
+  count(*) FILTER (WHERE effective) AS rows FROM judged GROUP BY kind""",
+    ),
     "parse_callbacks": _sql(
         ["fx_token_events"],
         """SELECT seq, token,

@@ -14,7 +14,7 @@ from fleetlens.catalog.fixtures import view, view_stream, with_zone, without_zon
 from fleetlens.functions.clock import plus_seconds
 from fleetlens.functions.headers import has_grpc_token
 from fleetlens.functions.routes import is_grpc
-from fleetlens.operators import launch, lifecycle, registry, resolution, traffic, transitions
+from fleetlens.operators import event_batch, launch, lifecycle, registry, resolution, traffic, transitions
 from fleetlens.sources.callbacks import parse_callbacks
 from fleetlens.streaming import operators as streaming
 from fleetlens.streaming.run import append_to_files, upsert_to_files
@@ -113,6 +113,10 @@ def _health(spark, sf):
     return transitions.health_sweep(view(spark, sf, "fx_registry"), view(spark, sf, "fx_probes"))
 
 
+def _event_batch(operator, spark, sf):
+    return operator(view(spark, sf, "fx_registry"), view(spark, sf, "fx_mixed_events"))
+
+
 def _prune(spark, sf):
     return transitions.prune_terminal(view(spark, sf, "fx_registry"), PRUNE_NOW, PRUNE_AGE_S)
 
@@ -253,6 +257,10 @@ QUERIES: dict[str, Query] = {
     "parse_callbacks": _callbacks,
     "update_counts": _update_counts,
     "apply_connect_failures": lambda spark, sf: _connect_failures(spark, sf).registry,
+    "apply_events": lambda spark, sf: _event_batch(event_batch.apply_events, spark, sf).registry,
+    "apply_events_touched": lambda spark, sf: _event_batch(event_batch.apply_events, spark, sf).touched,
+    "event_effects": lambda spark, sf: _event_batch(event_batch.event_effects, spark, sf),
+    "event_effect_counts": lambda spark, sf: event_batch.effect_counts(_event_batch(event_batch.event_effects, spark, sf)),
     "prune_terminal": lambda spark, sf: _prune(spark, sf).pruned,
     "prune_terminal_kept": lambda spark, sf: _prune(spark, sf).kept,
     "health_sweep": lambda spark, sf: _health(spark, sf).registry,
