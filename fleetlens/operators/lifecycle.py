@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,56 +13,70 @@ from fleetlens.functions.lifecycle import UNGUARDED, end_state, fold_facts, stat
 from fleetlens.plans.cells import CELL, SEQ_CELL, TIME_CELL, across, carry, cell_of, within
 
 
-def fold_lifecycle(events: DataFrame) -> DataFrame:
-    """Final state, address and application id per session: one aggregation, combined map-side."""
-    return events.groupBy("session_key").agg(*fold_facts("seq")).select("session_key", *end_state())
+def fold_lifecycle(events: DataFrame, last_event: bool = False) -> DataFrame:
+    """Final state, address and application id per session, and the time of its last event if asked: one aggregation, combined map-side."""
+    latest = [F.max("ts").alias("last_event")] if last_event else []
+    folded = events.groupBy("session_key").agg(*fold_facts("seq"), *latest)
+    return folded.select("session_key", *end_state(), *(["last_event"] if last_event else []))
 
 
-def session_history(events: DataFrame, created: DataFrame, width: int = SEQ_CELL) -> DataFrame:
-    """Validity intervals [valid_from, valid_to) per session; events without effect are dropped.
+#: What a session's log up to some event comes to: enough to go on from there.
+_SUMMARY = ["last_set", "last_health", "launch_failed", "last_app", "latest"]
 
-    Replays the log in ``seq`` order, per cell of ``width`` arrival numbers. The order of arrival is the truth, so time never runs
-    backwards: an event counts from its own time or that of an event that arrived before it, whichever is
-    later. A cell starts from the folded state of the cells before it and ends at the first change in those after it.
-    """
+
+def _log_of(events: DataFrame, created: DataFrame, width: int) -> DataFrame:
     key = "session_key"
-    log = (
-        events.select(key, "seq", "ts", "kind", "address", "application_id", F.col("seq").alias("_at"))
-        .unionByName(
-            created.selectExpr(
-                key,
-                "cast(null AS bigint) AS seq",
-                "created_at AS ts",
-                f"'{S.CREATE}' AS kind",
-                "cast(null AS string) AS address",
-                "cast(null AS string) AS application_id",
-                f"{-(1 << 62)}L AS _at",
-            )
-        )
-        .withColumn(CELL, cell_of(F.col("_at"), width))
+    births = created.selectExpr(
+        key,
+        "cast(null AS bigint) AS seq",
+        "created_at AS ts",
+        f"'{S.CREATE}' AS kind",
+        "cast(null AS string) AS address",
+        "cast(null AS string) AS application_id",
+        f"{-(1 << 62)}L AS _at",
+    )
+    log = events.select(key, "seq", "ts", "kind", "address", "application_id", F.col("seq").alias("_at")).unionByName(births)
+    return log.withColumn(CELL, cell_of(F.col("_at"), width))
+
+
+def _summed_up(summaries: DataFrame) -> DataFrame:
+    """One summary per session from those of parts of its log."""
+    return summaries.groupBy("session_key").agg(
+        F.expr("max_by(last_set, last_set.at) AS last_set"),
+        F.max("last_health").alias("last_health"),
+        F.max("launch_failed").alias("launch_failed"),
+        F.expr("max_by(last_app, last_app_at) AS last_app"),
+        F.max("last_app_at").alias("last_app_at"),
+        F.max("latest").alias("latest"),
     )
+
+
+def _summaries(log: DataFrame) -> DataFrame:
+    """One summary per (session, cell), combined map-side."""
+    at = F.max(F.when(F.col("kind") == S.REGISTER, F.col("_at"))).alias("last_app_at")
+    return log.groupBy("session_key", CELL).agg(*fold_facts("_at"), at, F.max("ts").alias("latest"))
+
+
+def _changes(log: DataFrame, summaries: DataFrame) -> DataFrame:
+    """The events that change a session's status, with where the status begins and, but for the last of a cell, ends."""
+    key = "session_key"
     before = across(key)
-    carried = (
-        log.groupBy(key, CELL)
-        .agg(*fold_facts("_at"), F.max("ts").alias("_latest"))
-        .select(
-            key,
-            CELL,
-            F.last("last_set", ignorenulls=True).over(before).alias("last_set"),
-            F.max("last_health").over(before).alias("last_health"),
-            F.max("launch_failed").over(before).alias("launch_failed"),
-            F.last("last_app", ignorenulls=True).over(before).alias("last_app"),
-            F.max("_latest").over(before).alias("_latest_before"),
-            F.row_number().over(Window.partitionBy(key).orderBy(CELL)).alias("_nth"),
-        )
-        .select(
-            key,
-            CELL,
-            "_latest_before",
-            F.expr("last_set.kind AS _set_before"),
-            F.expr("last_app AS _app_before"),
-            F.when(F.col("_nth") > 1, F.struct(*end_state())).alias("_status_before"),
-        )
+    carried = summaries.select(
+        key,
+        CELL,
+        F.last("last_set", ignorenulls=True).over(before).alias("last_set"),
+        F.max("last_health").over(before).alias("last_health"),
+        F.max("launch_failed").over(before).alias("launch_failed"),
+        F.last("last_app", ignorenulls=True).over(before).alias("last_app"),
+        F.max("latest").over(before).alias("_latest_before"),
+        F.row_number().over(Window.partitionBy(key).orderBy(CELL)).alias("_nth"),
+    ).select(
+        key,
+        CELL,
+        "_latest_before",
+        F.expr("last_set.kind AS _set_before"),
+        F.expr("last_app AS _app_before"),
+        F.when(F.col("_nth") > 1, F.struct(*end_state())).alias("_status_before"),
     )
     in_order = within(key, "_at")
     earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
@@ -71,7 +87,7 @@ def session_history(events: DataFrame, created: DataFrame, width: int = SEQ_CELL
         WHEN '{S.HEALTH_FAILED}' THEN _set <=> '{S.REGISTER}' ELSE true END"""
     status = f"""struct({state_after("kind")} AS state, CASE WHEN kind = '{S.REGISTER}' THEN address END AS address,
         _app.application_id AS application_id)"""
-    changes = (
+    return (
         carry(log, carried, key)
         .withColumns(
             {
@@ -84,16 +100,65 @@ def session_history(events: DataFrame, created: DataFrame, width: int = SEQ_CELL
         .withColumn("_status", F.expr(status))
         .withColumn("_previous", F.coalesce(F.lag("_status").over(in_order), F.col("_status_before")))
         .where("_previous IS NULL OR NOT _previous <=> _status")
-        .select(key, CELL, "seq", "_at", "_from", "_status")
+        .withColumns({"_to": F.lead("_from").over(in_order), "_first": F.lag("_at").over(in_order).isNull()})
+        .select(key, "seq", "_at", "_from", "_to", "_first", "_status")
     )
-    later = Window.partitionBy(key).orderBy(CELL)
-    next_change = (
-        changes.groupBy(key, CELL)
-        .agg(F.min("_from").alias("_first"))
-        .select(key, CELL, F.lead("_first").over(later).alias("_next"))
+
+
+def _spans(changes: DataFrame) -> DataFrame:
+    """Intervals from changes. Only the first and last change of a cell are looked at beyond their cell."""
+    key = "session_key"
+    inner = changes.where("NOT _first AND _to IS NOT NULL")
+    border = changes.where("_first OR _to IS NULL")
+    following = F.lead("_from").over(Window.partitionBy(key).orderBy("_at"))
+    border = border.withColumn("_to", F.coalesce("_to", following))
+    return inner.unionByName(border).select(key, "seq", F.col("_from").alias("valid_from"), F.col("_to").alias("valid_to"), "_status.*")
+
+
+def session_history(
+    events: DataFrame, created: DataFrame, width: int = SEQ_CELL, keep: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """Validity intervals [valid_from, valid_to) per session; events without effect are dropped.
+
+    Replays the log in ``seq`` order, per cell of ``width`` arrival numbers. The order of arrival is the truth, so time never runs
+    backwards: an event counts from its own time or that of an event that arrived before it, whichever is
+    later. A cell starts from the folded state of the cells before it and ends at the first change in those after it. The log and the changes are
+    read twice each; ``keep`` may hold the changes, such as by writing them (``plans.shared.stored``).
+    """
+    log = _log_of(events, created, width)
+    changes = _changes(log, _summaries(log))
+    return _spans(keep(changes) if keep else changes)
+
+
+def extend_history(
+    events: DataFrame, created: DataFrame, before: DataFrame, width: int = SEQ_CELL, keep: Callable[[DataFrame], DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Intervals that a new slice of the log adds to a history, and where its sessions stand after it.
+
+    ``before`` has a row per session of earlier slices: its summary and its open interval. Events of the slice have higher ``seq`` than all before.
+    The intervals contain the open ones of ``before`` whose session changes, with their end. The second frame has the form of ``before``, for the
+    sessions of the slice; their open intervals are there and not among the intervals.
+    """
+    key = "session_key"
+    log = _log_of(events, created, width)
+    summaries = _summaries(log)
+    touched = summaries.select(key).distinct()
+    earlier = before.join(touched, key, "left_semi")
+    start = earlier.select(key, F.lit(-(1 << 63)).cast("long").alias(CELL), *_SUMMARY, "last_app_at")
+    known = summaries.select(start.columns).unionByName(start)
+    open_before = earlier.where("valid_from IS NOT NULL").select(
+        key,
+        "seq",
+        F.lit(-(1 << 63)).cast("long").alias("_at"),
+        F.col("valid_from").alias("_from"),
+        F.lit(None).cast(before.schema["valid_from"].dataType).alias("_to"),
+        F.lit(True).alias("_first"),
+        F.struct("state", "address", "application_id").alias("_status"),
     )
-    valid_to = F.coalesce(F.lead("_from").over(in_order), F.col("_next"))
-    return carry(changes, next_change, key).select(key, "seq", F.col("_from").alias("valid_from"), valid_to.alias("valid_to"), "_status.*")
+    changes = _changes(log, known).unionByName(open_before)
+    spans = _spans(keep(changes) if keep else changes)
+    stand = _summed_up(known).join(spans.where("valid_to IS NULL").drop("valid_to"), key, "left")
+    return spans.where("valid_to IS NOT NULL"), stand
 
 
 def launch_timeouts(

@@ -7,21 +7,31 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from fleetlens import schemas as S
 from fleetlens.functions.clock import SECOND, micros, moment, plus_seconds
 from fleetlens.operators.lifecycle import fold_lifecycle
 from fleetlens.operators.resolution import resolve_against_snapshot
+from fleetlens.operators.transitions import prune_cutoff
 from fleetlens.plans.cells import SALTS, salted_lookup
 
 
-def stream_registry(events: DataFrame) -> DataFrame:
+def stream_registry(events: DataFrame, last_event: bool = False) -> DataFrame:
     """The end state per session, kept up to date; run it in update mode.
 
-    State is one row per session whatever the order of arrival: late callbacks count, so there is no watermark.
+    State is one row per session whatever the order of arrival: late callbacks count, so there is no watermark. With ``last_event`` the
+    time of a session's last event comes too, for retention where the rows are kept.
     """
-    return fold_lifecycle(events)
+    return fold_lifecycle(events, last_event)
+
+
+def is_expired(now: datetime, age_s: int) -> Column:
+    """FAILED and FINISHED rows of ``stream_registry`` whose last event is ``age_s`` or longer ago."""
+    old = F.col("last_event") <= moment(prune_cutoff(now, age_s), T.TimestampType())
+    return F.coalesce(F.col("state").isin(*S.TERMINAL_STATES) & old, F.lit(False))
 
 
 def stream_launch_timeouts(launches: DataFrame, signals: DataFrame, timeout_s: int, delay: str) -> DataFrame:
