@@ -1,6 +1,6 @@
 """Input views over the test tables. All but one text run unchanged on Spark and DuckDB.
 
-``{orders}``, ``{events}`` and ``{lineitem}`` stand for the tables, ``{three}`` for a table t(m) of 1, 2, 3.
+``{orders}``, ``{events}`` and ``{lineitem}`` stand for the tables, ``{three}`` and ``{four}`` for a table t(m) of 1 to 3 or 4.
 Stop requests cover all orders.
 """
 
@@ -109,6 +109,11 @@ FROM (
     CASE event_type WHEN 'signup' THEN 'register' WHEN 'purchase' THEN 'unregister' WHEN 'click' THEN 'stop'
          WHEN 'view' THEN CASE WHEN event_id % 4 = 0 THEN 'connect_failed' ELSE 'health_failed' END ELSE 'launch_failed' END AS kind
   FROM {events}) e LEFT JOIN {orders} ON o_orderkey = session""",
+    "fx_connects": """
+SELECT user_id * 100 + CAST(extract(day FROM ts) AS BIGINT) AS session_key, ts - INTERVAL '30' MINUTE + (m - 1) * INTERVAL '1' SECOND AS ts, m AS attempt,
+  CASE event_id % 6 WHEN 0 THEN FALSE WHEN 1 THEN m = 3 ELSE m = 1 END AS ok
+FROM {events} {four}
+WHERE event_type IN ('click', 'purchase') AND m <= CASE event_id % 6 WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 1 END""",
     "fx_stops": """
 SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 4 = 0 THEN 'user-none' ELSE concat('user-', CAST(o_custkey AS STRING)) END AS username,
   CASE WHEN o_orderkey % 35 = 0 THEN o_orderkey + 1000000000 ELSE o_orderkey END AS id
@@ -155,14 +160,19 @@ def without_zone(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])
 
 
-_THREE_IN_SPARK = "LATERAL VIEW explode(array(1, 2, 3)) t AS m"
-_THREE_IN_SQL = "CROSS JOIN (VALUES (1), (2), (3)) AS t(m)"
+_COUNTS = {
+    "three": ("LATERAL VIEW explode(array(1, 2, 3)) t AS m", "CROSS JOIN (VALUES (1), (2), (3)) AS t(m)"),
+    "four": ("LATERAL VIEW explode(array(1, 2, 3, 4)) t AS m", "CROSS JOIN (VALUES (1), (2), (3), (4)) AS t(m)"),
+}
 
 
 def _over(spark: SparkSession, name: str, table) -> DataFrame:
-    text = VIEWS[name].replace("{three}", _THREE_IN_SPARK)
+    text = VIEWS[name]
+    for word, (in_spark, _) in _COUNTS.items():
+        text = text.replace("{" + word + "}", in_spark)
     return spark.sql(text, **{t: table(t) for t in TABLES if "{" + t + "}" in text})
 
 
 def view_sql(name: str) -> str:
-    return VIEWS[name].format(three=_THREE_IN_SQL, **{t: t for t in TABLES})
+    counts = {word: in_sql for word, (_, in_sql) in _COUNTS.items()}
+    return VIEWS[name].format(**counts, **{t: t for t in TABLES})

@@ -164,8 +164,69 @@ resolved AS (
   FROM placed p LEFT JOIN history h ON h.session_key = p.session_key
     AND h.valid_from <= p.at AND (h.valid_to IS NULL OR p.at < h.valid_to) AND h.valid_from IS DISTINCT FROM h.valid_to)"""
 
+# What each request finds with the connections that tokens keep.
+_CACHED = f"""{_HISTORY},
+ended AS (SELECT session_key, ts FROM fx_lifecycle WHERE kind IN ('unregister', 'stop')),
+requests AS (
+  SELECT req_id, ts, CASE WHEN req_id % 10 <> 4 THEN session_key END AS session_key, path, {_HEADER} AS header,
+    {_TOKEN} AS token, conn_token FROM fx_requests WHERE {_GRPC}),
+sessions AS (
+  SELECT h.session_key, h.valid_from AS created_at, h.valid_to AS launch_end, (SELECT min(e.ts) FROM ended e WHERE e.session_key = h.session_key) AS first_end
+  FROM history h WHERE h.state = 'LAUNCHING'),
+judged AS (
+  SELECT r.*, s.launch_end, s.first_end,
+    CASE WHEN r.header <> 'ok' THEN 'unauthenticated' WHEN s.created_at IS NULL OR s.created_at > r.ts THEN 'not_found'
+         WHEN r.token <> r.conn_token THEN 'token_mismatch' END AS early
+  FROM requests r LEFT JOIN sessions s ON s.session_key = r.session_key AND r.header = 'ok'),
+firsts AS (SELECT session_key AS first_key, min(ts) AS first_ts FROM judged WHERE early IS NULL GROUP BY session_key),
+freed AS (
+  SELECT j.*, CASE WHEN f.first_ts < j.launch_end
+      THEN f.first_ts + to_seconds(CAST(ceil((epoch_us(j.launch_end) - epoch_us(f.first_ts)) / 1000000.0) AS BIGINT)) END AS free_at
+  FROM judged j LEFT JOIN firsts f ON f.first_key = j.session_key),
+placed AS (SELECT *, CASE WHEN early IS NULL AND ts < free_at THEN free_at ELSE ts END AS seen_at FROM freed),
+closed AS (
+  SELECT *, coalesce(early IS NULL AND ts < first_end AND first_end <= seen_at, FALSE) AS is_over,
+    coalesce(early, CASE WHEN launch_end IS NULL THEN 'pending' END) AS stopped_by,
+    (SELECT max(e.ts) FROM ended e WHERE e.session_key = p.session_key AND e.ts <= p.ts) AS generation FROM placed p),
+seen AS (
+  SELECT c.*, h.state, h.address, stopped_by IS NULL AND NOT is_over AS looked
+  FROM closed c LEFT JOIN history h ON h.session_key = c.session_key AND c.stopped_by IS NULL AND NOT c.is_over
+    AND h.valid_from <= c.seen_at AND (h.valid_to IS NULL OR c.seen_at < h.valid_to) AND h.valid_from IS DISTINCT FROM h.valid_to),
+openers AS (
+  SELECT session_key AS open_key, generation AS open_generation, arg_min(s, (ts, req_id)) AS o
+  FROM seen s WHERE looked AND state = 'RUNNING' AND address IS NOT NULL GROUP BY session_key, generation),
+cached AS (
+  SELECT s.*, o.req_id AS opener, o.address AS open_address, o.seen_at AS opened_at,
+    coalesce(looked AND (s.ts > o.ts OR s.ts = o.ts AND s.req_id > o.req_id), FALSE) AS is_cached, coalesce(looked AND state = 'RUNNING' AND address IS NOT NULL, FALSE) AS opens
+  FROM seen s LEFT JOIN openers ON open_key = s.session_key AND open_generation IS NOT DISTINCT FROM s.generation)
+SELECT req_id, CASE WHEN header = 'ok' THEN session_key END AS session_key,
+  CASE WHEN is_cached THEN 'ok' WHEN stopped_by IS NOT NULL THEN stopped_by WHEN is_over OR state IS NULL THEN 'not_found' WHEN opens THEN 'ok'
+    WHEN state = 'RUNNING' THEN 'no_address' WHEN state = 'LAUNCHING' THEN 'pending' ELSE 'bad_state' END AS outcome,
+  CASE WHEN NOT is_cached THEN state END AS state,
+  CASE WHEN is_cached THEN concat('http://', open_address, path) WHEN opens THEN concat('http://', address, path) END AS target,
+  CASE WHEN is_cached THEN greatest(ts, opened_at) WHEN looked OR is_over THEN seen_at END AS answered_at,
+  CASE WHEN is_cached OR opens THEN opener END AS opened_by
+FROM cached"""
+
+_RUNS = """
+begun AS (
+  SELECT c.*, (SELECT max(b.ts) FROM fx_connects b WHERE b.session_key = c.session_key AND b.attempt = 1 AND b.ts <= c.ts) AS started_at FROM fx_connects c),
+runs AS (
+  SELECT session_key, started_at, count(*) AS attempts, NOT bool_or(ok) AND count(DISTINCT attempt) = 4 AS failed
+  FROM begun WHERE started_at IS NOT NULL GROUP BY session_key, started_at)"""
+
+_CONNECTED = f"""{_RESOLVED},{_RUNS},
+broken AS (
+  SELECT DISTINCT (SELECT arg_max(s.req_id, (s.answered_at, s.req_id)) FROM resolved s
+    WHERE s.outcome = 'ok' AND s.session_key = r.session_key AND s.answered_at <= r.started_at) AS req_id
+  FROM runs r WHERE r.failed),
+connected AS (
+  SELECT s.req_id, s.session_key, CASE WHEN b.req_id IS NULL THEN s.outcome ELSE 'upstream_connect' END AS outcome, s.state,
+    CASE WHEN b.req_id IS NULL THEN s.target END AS target, s.answered_at
+  FROM resolved s LEFT JOIN broken b ON b.req_id = s.req_id)"""
+
 _CODE = """CASE WHEN outcome = 'ok' THEN 0 WHEN outcome IN ('unauthenticated', 'token_mismatch') THEN 16 WHEN outcome = 'not_found' THEN 5
-  WHEN outcome = 'no_address' THEN 14 WHEN outcome = 'bad_state' THEN 9 END"""
+  WHEN outcome IN ('no_address', 'upstream_connect') THEN 14 WHEN outcome = 'bad_state' THEN 9 END"""
 
 _VERSIONED = """
 picked AS (
@@ -426,6 +487,13 @@ FROM winners w JOIN fx_auth_attempts a USING (req_id) GROUP BY w.req_id, w.metho
         ["fx_lifecycle", "fx_requests"],
         f"--ctes{_RESOLVED}\nSELECT outcome, {_CODE} AS code, count(*) AS requests FROM resolved GROUP BY ALL",
     ),
+    "resolve_cached_requests": _sql(["fx_lifecycle", "fx_requests"], f"--ctes{_CACHED}"),
+    "connect_runs": _sql(["fx_connects"], f"--ctes{_RUNS}\nSELECT * FROM runs"),
+    "resolve_with_connects": _sql(["fx_lifecycle", "fx_requests", "fx_connects"], f"--ctes{_CONNECTED}\nSELECT * FROM connected"),
+    "request_outcomes_with_connects": _sql(
+        ["fx_lifecycle", "fx_requests", "fx_connects"],
+        f"--ctes{_CONNECTED}\nSELECT outcome, {_CODE} AS code, count(*) AS requests FROM connected GROUP BY ALL",
+    ),
     "upstream_reuse": _sql(
         ["fx_lifecycle", "fx_requests"],
         f"""--ctes

@@ -15,6 +15,7 @@ from fleetlens.functions.clock import plus_seconds
 from fleetlens.functions.headers import has_grpc_token
 from fleetlens.functions.routes import is_grpc
 from fleetlens.operators import event_batch, launch, lifecycle, registry, resolution, traffic, transitions
+from fleetlens.plans.shared import new_folder, stored
 from fleetlens.sources.callbacks import parse_callbacks
 from fleetlens.streaming import operators as streaming
 from fleetlens.streaming.run import append_to_files, upsert_to_files
@@ -127,7 +128,11 @@ def _created(log: DataFrame) -> DataFrame:
 
 def _session_history(spark, sf):
     log = view(spark, sf, "fx_lifecycle")
-    return lifecycle.session_history(log, _created(log))
+    return lifecycle.session_history(log, _created(log), keep=_keep("changes"))
+
+
+def _keep(label: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: stored(df, label)
 
 
 def _launch_timeouts(spark, sf):
@@ -160,7 +165,8 @@ def _grpc_requests(spark, sf):
 
 
 def _resolve_requests(spark, sf):
-    return resolution.resolve_requests(_grpc_requests(spark, sf), _session_history(spark, sf))
+    history = stored(_session_history(spark, sf), "history")
+    return resolution.resolve_requests(_grpc_requests(spark, sf), history, keep=_keep("asked"))
 
 
 def _resolve_against_snapshot(spark, sf):
@@ -169,6 +175,20 @@ def _resolve_against_snapshot(spark, sf):
     return resolution.resolve_against_snapshot(requests, sessions)
 
 
+def _invalidations(spark, sf):
+    return view(spark, sf, "fx_lifecycle").where(F.col("kind").isin(S.UNREGISTER, S.STOP)).select("session_key", "ts")
+
+
+def _resolve_cached(spark, sf):
+    history = stored(_session_history(spark, sf), "history")
+    return resolution.resolve_cached_requests(_grpc_requests(spark, sf), history, _invalidations(spark, sf), keep=_keep("asked"))
+
+
+def _resolve_connects(spark, sf):
+    resolved = stored(_resolve_requests(spark, sf), "resolved")
+    return resolution.with_connect_failures(resolved, resolution.connect_runs(view(spark, sf, "fx_connects")))
+
+
 def _request_outcomes(spark, sf):
     return resolution.request_outcomes(_resolve_requests(spark, sf))
 
@@ -275,6 +295,10 @@ QUERIES: dict[str, Query] = {
     "resolve_requests": _resolve_requests,
     "resolve_against_snapshot": _resolve_against_snapshot,
     "request_outcomes": _request_outcomes,
+    "resolve_cached_requests": _resolve_cached,
+    "connect_runs": lambda spark, sf: resolution.connect_runs(view(spark, sf, "fx_connects")),
+    "resolve_with_connects": _resolve_connects,
+    "request_outcomes_with_connects": lambda spark, sf: resolution.request_outcomes(_resolve_connects(spark, sf)),
     "upstream_reuse": _upstream_reuse,
     "token_mismatches": _requests(traffic.token_mismatches),
     "control_traffic": _requests(traffic.control_traffic),

@@ -13,7 +13,7 @@ from fleetlens.functions.headers import (
     user_header_outcome,
 )
 from fleetlens.functions.routes import USER_ROUTES, is_grpc, route_of
-from fleetlens.plans.cells import CELL, TIME_CELL, carry, cell_of, salted_lookup, within
+from fleetlens.plans.cells import CELL, TIME_CELL, carry, cell_of, within
 
 
 def traffic_by_route(requests: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def mark_reuse(requests: DataFrame, invalidations: DataFrame, created: DataFrame
     """
     key = "session_key"
     no_id = F.lit(None).cast(requests.schema["req_id"].dataType).alias("req_id")
-    served = salted_lookup(requests.where(F.col(key).isNotNull()).select(key, "req_id", "ts"), created.select(key, "created_at"), key, "req_id")
+    served = requests.where(F.col(key).isNotNull()).select(key, "req_id", "ts").join(created.select(key, "created_at"), key)
     log = (
         served.where(F.col("created_at") <= F.col("ts"))
         .select(key, "req_id", "ts", F.lit(1).alias("_what"))

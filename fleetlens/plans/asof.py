@@ -5,6 +5,8 @@ One shuffle of both sides and one linear pass per (key, cell); never the pairs o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,11 +22,12 @@ def asof_lookup(
     right_tie: Column,
     row_id: str,
     width: int = TIME_CELL,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``left`` plus a struct column ``found``: the last ``right`` row with right_order <= left_order.
 
     Left rows with a null key are kept with a null ``found``, each in a cell of its own. A cell that has no right row
-    of its own starts from the newest one of the cells before it.
+    of its own starts from the newest one of the cells before it. Both sides together are read twice; ``keep`` may hold them.
     """
     at = left.select(
         key,
@@ -45,6 +48,8 @@ def asof_lookup(
         cell_of(right_order, width).alias(CELL),
     )
     merged = at.unionByName(facts)
+    if keep:
+        merged = keep(merged)
     newest = merged.where(F.col(key).isNotNull()).groupBy(key, CELL).agg(
         F.max_by("_r", F.when(F.col("_side") == 0, F.struct("_o", "_tie"))).alias("_newest")
     )

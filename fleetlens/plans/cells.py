@@ -5,7 +5,8 @@ A window partitioned by key sends a whole key to one task, which AQE can't split
 its neighbours comes from one summary row per (key, cell), made with map-side sums, and a window over these few rows. The summaries
 are joined back on (key, cell), the same keys the pass itself is dealt by. The plan is the same for every size.
 
-Lookups of one row per key are dealt by (key, salt): the side with one row per key is repeated for each salt.
+A lookup of one row per key is a plain join, whose hot keys AQE splits. Streams have no AQE, so there it may be dealt by (key, salt), the
+side with one row per key being repeated for each salt.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ CELL = "_cell"
 #: Widths of a cell: arrival numbers, and microseconds.
 SEQ_CELL = 1 << 16
 TIME_CELL = 3600 * SECOND
-SALTS = 16
 
 
 def cell_of(order: Column, width: int) -> Column:
@@ -42,10 +42,10 @@ def carry(rows: DataFrame, summaries: DataFrame, key: str) -> DataFrame:
     return rows.join(summaries, [key, CELL], "left")
 
 
-def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, row_id: str, salts: int = SALTS) -> DataFrame:
+def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, row_id: str, salts: int = 1) -> DataFrame:
     """Left join of ``lookup``, unique by ``key``, that spreads the rows of a key over ``salts`` tasks, and those without one over all.
 
-    One salt is a plain join, which a lookup table bucketed by its key serves without a shuffle.
+    One salt is a plain join: a lookup table bucketed by its key isn't shuffled, and AQE splits hot keys.
     """
     if salts == 1:
         return rows.join(lookup, key, "left")

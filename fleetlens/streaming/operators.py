@@ -16,7 +16,6 @@ from fleetlens.functions.clock import SECOND, micros, moment, plus_seconds
 from fleetlens.operators.lifecycle import fold_lifecycle
 from fleetlens.operators.resolution import resolve_against_snapshot
 from fleetlens.operators.transitions import prune_cutoff
-from fleetlens.plans.cells import SALTS, salted_lookup
 
 
 def stream_registry(events: DataFrame, last_event: bool = False) -> DataFrame:
@@ -34,14 +33,14 @@ def is_expired(now: datetime, age_s: int) -> Column:
     return F.coalesce(F.col("state").isin(*S.TERMINAL_STATES) & old, F.lit(False))
 
 
-def stream_launch_timeouts(launches: DataFrame, signals: DataFrame, timeout_s: int, delay: str) -> DataFrame:
+def stream_launch_timeouts(launches: DataFrame, signals: DataFrame, timeout_s: int, delay: str, salts: int = 1) -> DataFrame:
     """Launches with neither callback nor non-zero exit by their deadline, once event time has passed it.
 
     ``launches(session_key, launch_id, ts)``, ``signals(session_key, ts)``. Signals are first reduced to the
     last one in each timeout-wide cell and the first one in the cell after it, which is all a
     launch in that cell can need. So a launch meets one row, not every signal of its session. A
-    timeout is reported when the watermark passes the end of that next cell; ``open_launch_timeouts`` has the rest. The launches of a
-    session are spread over ``SALTS`` tasks, and its few signal rows are repeated for each.
+    timeout is reported when the watermark passes the end of that next cell; ``open_launch_timeouts`` has the rest. Where one
+    session launches very often, its launches can be spread over ``salts`` tasks, with its few signal rows repeated for each.
     """
     width, step = f"{2 * timeout_s} seconds", f"{timeout_s} seconds"
     middle = plus_seconds(F.col("cells.start"), timeout_s)
@@ -54,7 +53,7 @@ def stream_launch_timeouts(launches: DataFrame, signals: DataFrame, timeout_s: i
             F.max(F.when(F.col("ts") < middle, at)).alias("last_here"),
             F.min(F.when(F.col("ts") >= middle, at)).alias("first_next"),
         )
-        .withColumn("_salts", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        .withColumn("_salts", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     )
     # The cell carries the watermark from here on; a stream has one event time column.
     placed = (
@@ -62,7 +61,7 @@ def stream_launch_timeouts(launches: DataFrame, signals: DataFrame, timeout_s: i
         .select("session_key", "launch_id", "ts", F.window("ts", width, step).alias("cells"))
         .where(F.col("ts") < middle)
         .select("session_key", "launch_id", at.alias("launched"), "cells")
-        .withColumn("_salt", F.pmod(F.xxhash64("launch_id"), F.lit(SALTS)))
+        .withColumn("_salt", F.pmod(F.xxhash64("launch_id"), F.lit(salts)))
     )
     deadline = F.col("launched") + timeout_s * SECOND
     return (
@@ -123,12 +122,12 @@ def stream_idle_sessions(activity: DataFrame, timeout_s: int, delay: str) -> Dat
 def open_idle_sessions(reported: DataFrame, activity: DataFrame, timeout_s: int) -> DataFrame:
     """The spans of ``activity``, the stream's input in batch, that come after those ``reported`` of each session."""
     last = reported.groupBy("session_key").agg(F.max("idle_at").alias("_reported"))
-    active = activity.where(F.col("control").isNull()).withColumn("_row", F.monotonically_increasing_id())
-    rest = salted_lookup(active, last, "session_key", "_row").where(F.col("_reported").isNull() | (F.col("start_ts") > F.col("_reported")))
-    return _spans(rest.drop("_reported", "_row"), timeout_s)
+    active = activity.where(F.col("control").isNull())
+    rest = active.join(last, "session_key", "left").where(F.col("_reported").isNull() | (F.col("start_ts") > F.col("_reported")))
+    return _spans(rest.drop("_reported"), timeout_s)
 
 
-def stream_request_resolution(requests: DataFrame, sessions: DataFrame, salts: int = SALTS) -> DataFrame:
+def stream_request_resolution(requests: DataFrame, sessions: DataFrame, salts: int = 1) -> DataFrame:
     """Each request against the current sessions, one row per token; no state.
 
     Each batch reads ``sessions`` again. With one salt and the bucketed table of ``write_token_lookup`` it isn't shuffled.
