@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.names import small, texts
-from fleetlens.llm.tokens import word_coder
+from fleetlens.llm.tokens import text_ids
 from fleetlens.plans.shared import stored
 
 SEQUENCE_TOKENS = 2048
@@ -69,10 +69,9 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, tokens: int) -> Iterator[pa.RecordBatch]:
-    coder = word_coder(path)
     for batch in small(batches):
         out = []
-        for i, (ids, _) in enumerate(coder.encode_all(list(texts(batch)))):
+        for i, ids in enumerate(text_ids(path, list(texts(batch)))):
             ids = np.append(ids, end_id).astype("<u4")
             for a in range(0, len(ids), tokens):
                 cut = ids[a : a + tokens]
