@@ -5,7 +5,8 @@ is sorted. Every window of ``WINDOW`` bytes has an anchor: its GRAM-byte substri
 smallest name, leftmost on ties. Equal windows have equal anchors at equal places, so a window can only repeat
 inside the group of its anchor's name. The windows that share one anchor form a segment of the text.
 
-1. Spark counts segments by (anchor, whole segment) with map-side sums. A segment found twice repeats in full.
+1. Spark counts segments by anchor, with the least and largest name of a whole segment, combined map-side. Only segments whose anchor repeats go on; a
+   segment found twice repeats in full.
 2. Segments that differ though their anchor repeats go to the task of their anchor's bucket. There
    bucket-pointer refinement sorts their suffixes to the depth of a window: buckets of 8-byte q-grams, refined by
    sorting on the bucket pointers of later offsets. Each pass reads the pointers the last one has
@@ -14,18 +15,18 @@ inside the group of its anchor's name. The windows that share one anchor form a
    single within a salt meets the other salts as the name of its window, in a second grouped sum.
 
 Anchors and windows are compared by two 64-bit names or byte by byte. Texts of any length are
-read in blocks. A segment never grows beyond 2 * WINDOW - GRAM bytes.
+read in blocks. A segment never grows beyond 2 * WINDOW - GRAM bytes. A document goes by one name of its id and text. Texts are shuffled once: the join that gets
+the bytes of segments and the one that gets the ranges of documents read the same exchange.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -60,17 +61,17 @@ def anchors(data: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[n
 
 
 def _segments(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Anchor, name, document and place (first start times ``window``, plus what the last start is beyond it) of every segment."""
     for batch in small(batches):
         found = []
         for at, text in enumerate(texts(batch)):
             data = np.frombuffer(text, np.uint8)
             for begin in range(0, len(data) - window + 1, _BLOCK):
                 h, f, lo, hi = anchors(data[begin : begin + _BLOCK + window - 1], window, gram)
-                found.append((np.full(len(h), at), h, f, lo + begin, hi + begin))
+                found.append((np.full(len(h), at), h, f, (lo + begin) * window + (hi - lo)))
         if found:
-            at, h, f, lo, hi = (np.concatenate(column) for column in zip(*found))
-            document = batch.select(["d", "t"]).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*document.columns, signed(h), signed(f), pa.array(lo), pa.array(hi)], ["d", "t", "h", "f", "lo", "hi"])
+            at, h, f, place = (np.concatenate(column) for column in zip(*found))
+            yield pa.RecordBatch.from_arrays([signed(h), signed(f), batch.column("r").take(pa.array(at)), pa.array(place)], ["h", "f", "r", "place"])
 
 
 def repeated_starts(segments: list[bytes], window: int = WINDOW) -> list[np.ndarray]:
@@ -115,15 +116,35 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2] - 1
 
 
-_FOUND = "d bigint, t bigint, lo bigint, hi bigint, h bigint, w bigint"
+_FOUND = "r bigint, lo bigint, hi bigint, h bigint, w bigint"
+
+
+def _asked_segments(batches: Iterator[pa.RecordBatch], window: int, text_column: str) -> Iterator[pa.RecordBatch]:
+    """The bytes of the segments asked of each document."""
+    for batch in small(batches):
+        out: list[tuple] = []
+        rows = batch.column("doc").field(text_column).cast(pa.large_binary())
+        for text, r, asked in zip(rows, batch.column("r").to_pylist(), batch.column("asked").to_pylist()):
+            whole = text.as_py() or b""
+            for a in asked:
+                lo, more = divmod(a["place"], window)
+                out.append((a["h"], a["salt"], r, lo, a["single"], a["salts"], whole[lo : lo + more + window]))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+        columns = [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 7, kinds)]
+        yield pa.RecordBatch.from_arrays(columns, ["h", "salt", "r", "lo", "single", "salts", "segment"])
+
+
+_SEGMENTS = "h bigint, salt bigint, r bigint, lo bigint, single boolean, salts bigint, segment binary"
 
 
 def _sorted_buckets(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Sort chunks of whole buckets; rows come in order of (h, salt)."""
+    """Sort chunks of whole buckets; rows come in order of (h, salt, r, lo), and one of equal rows counts."""
     rows: list[tuple] = []
     held = 0
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("h", "salt", "d", "t", "lo", "single", "salts", "segment"))):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("h", "salt", "r", "lo", "single", "salts", "segment"))):
+            if rows and row[:4] == rows[-1][:4]:
+                continue
             if held >= _CHUNK and row[:2] != rows[-1][:2]:
                 yield _found(rows, window)
                 rows, held = [], 0
@@ -134,67 +155,57 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[
 
 
 def _found(rows: list[tuple], window: int) -> pa.RecordBatch:
+    """Ranges that repeat, and by name the windows that may repeat in another salt: once each if they repeat in this one."""
     out: list[tuple] = []
-    for (h, _, d, t, lo, single, salts, segment), again in zip(rows, repeated_starts([r[-1] for r in rows], window)):
+    seen: set[tuple] = set()
+    for (h, salt, r, lo, single, salts, segment), again in zip(rows, repeated_starts([row[-1] for row in rows], window)):
         if single:
-            out += [(d, t, lo + int(a), lo + int(b), h, None) for a, b in zip(*_runs(again))]
+            out += [(r, lo + int(a), lo + int(b), h, None) for a, b in zip(*_runs(again))]
         if salts > 1:
             names = Named(np.frombuffer(segment, np.uint8)).grams(window).view(np.int64)
-            out += [(d, t, lo + i, lo + i, h, w) if single and not a else (None, None, None, None, h, w) for i, (a, w) in enumerate(zip(again.tolist(), names.tolist()))]
-    columns = list(zip(*out)) or [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["d", "t", "lo", "hi", "h", "w"])
-
-
-def _free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of what has been stored: it does so when the driver's JVM collects their plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def _same_document(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """Join on id and text name; a null id equals a null id."""
-    right = right.withColumnRenamed("d", "rd").withColumnRenamed("t", "rt")
-    return left.join(right, left["d"].eqNullSafe(right["rd"]) & (left["t"] == right["rt"]), how).drop("rd", "rt")
-
-
-def _by_document(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    return docs.select(F.col(id_column).cast("long").alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
-
-
-def repeated_windows(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, gram: int = GRAM, bucket_rows: int = BUCKET_ROWS
-) -> DataFrame:
-    """Ranges of windows that also stand elsewhere: d, t (name of the text), lo and hi (first and last start)."""
-    read = _by_document(docs, id_column, text_column)
-    segments = read.mapInArrow(lambda b: _segments(b, window, gram), "d bigint, t bigint, h bigint, f bigint, lo bigint, hi bigint")
-    segments = segments.withColumn("o", F.xxhash64("d", "t", "lo"))
-    classes = segments.groupBy("h", "f").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("first"))
-    buckets = classes.groupBy("h").agg(F.sum("n").alias("nh"), F.count(F.lit(1)).alias("nf")).where("nh > 1")
-    hits = segments.join(classes.join(buckets, "h"), ["h", "f"]).select("h", "d", "t", "lo", "hi", "n", "nf", (F.col("o") == F.col("first")).alias("is_first"))
-    hits = stored(hits, "repeats")
-    _free_shuffles(docs.sparkSession)
-    differing = (
-        hits.where("nf > 1 AND is_first")
-        .withColumn("salts", F.ceil(F.col("nf") / bucket_rows))
-        .withColumn("salt", F.expr("pmod(xxhash64(d, t, lo), salts)"))
-        .withColumn("single", F.col("n") == 1)
-        .drop("n", "nf", "is_first")
-    )
-    with_bytes = (
-        _same_document(differing, read, "inner")
-        .withColumn("segment", F.expr(f"substring(cast(text AS binary), int(lo + 1), int(hi - lo + {window}))"))
-        .select("h", "salt", "d", "t", "lo", "single", "salts", "segment")
-        .distinct()
-        .repartition("h", "salt")
-        .sortWithinPartitions("h", "salt")
-    )
-    found = stored(with_bytes.mapInArrow(lambda b: _sorted_buckets(b, window), _FOUND), "sorted")
-    _free_shuffles(docs.sparkSession)
-    across = found.where("w IS NOT NULL").groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    late = found.where("w IS NOT NULL AND lo IS NOT NULL").join(across, ["h", "w"])
-    spans = ["d", "t", "lo", "hi"]
-    return hits.where("n > 1").select(spans).unionByName(found.where("w IS NULL").select(spans)).unionByName(late.select(spans))
+            for i, (a, w) in enumerate(zip(again.tolist(), names.tolist())):
+                if single and not a:
+                    out.append((r, lo + i, lo + i, h, w))
+                elif (h, salt, w) not in seen:
+                    seen.add((h, salt, w))
+                    out.append((None, None, None, h, w))
+    columns = list(zip(*out)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["r", "lo", "hi", "h", "w"])
+
+
+def _row_name(id_column: str, text_column: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63))), F.col(id_column).isNull(), F.coalesce(F.col(text_column), F.lit(""))).alias("r")
+
+
+def _ranges(rows: DataFrame, text: Column, text_column: str, window: int, gram: int, bucket_rows: int) -> DataFrame:
+    """Ranges of windows that also stand elsewhere: r, lo and hi (first and last start). ``rows`` are (r, doc), whose ``text_column`` is ``text``."""
+    read = rows.select("r", F.coalesce(text, F.lit("")).alias("text"))
+    segments = read.mapInArrow(lambda b: _segments(b, window, gram), "h bigint, f bigint, r bigint, place bigint")
+    repeating = segments.groupBy("h").agg(F.count(F.lit(1)).alias("nh"), (F.min("f") != F.max("f")).alias("differ")).where("nh > 1").drop("nh")
+    hits = stored(segments.join(repeating, "h"), "repeats")
+    place = {"lo": F.expr(f"place div {window}"), "hi": F.expr(f"place div {window} + place % {window}")}
+    classes = hits.where("differ").groupBy("h", "f").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("r", "place")).alias("first"))
+    classes = stored(classes, "classes")
+    whole = hits.where("NOT differ").select("r", "place")
+    whole = whole.unionByName(hits.where("differ").join(classes.where("n > 1").select("h", "f"), ["h", "f"]).select("r", "place"))
+    salts = classes.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / bucket_rows).alias("salts"))
+    differing = classes.join(salts, "h").select("h", "salts", "first.*", (F.col("n") == 1).alias("single"))
+    asked = differing.withColumn("salt", F.expr("pmod(xxhash64(r, place), salts)")).groupBy("r")
+    asked = asked.agg(F.collect_list(F.struct("h", "salt", "place", "single", "salts")).alias("asked"))
+    with_bytes = rows.join(asked, "r").select("r", "doc", "asked").mapInArrow(lambda b: _asked_segments(b, window, text_column), _SEGMENTS)
+    in_order = with_bytes.repartition("h", "salt").sortWithinPartitions("h", "salt", "r", "lo")
+    found = in_order.mapInArrow(lambda b: _sorted_buckets(b, window), _FOUND)
+    same_window = Window.partitionBy("h", F.coalesce("w", F.xxhash64("r", "lo")))
+    late = F.expr("w IS NULL OR (lo IS NOT NULL AND n > 1)")
+    found = found.withColumn("n", F.count(F.lit(1)).over(same_window)).where(late)
+    return whole.withColumns(place).select("r", "lo", "hi").unionByName(found.select("r", "lo", "hi"))
+
+
+def _with_ranges(rows: DataFrame, text: Column, text_column: str, window: int, gram: int, bucket_rows: int) -> DataFrame:
+    """``rows`` (r, doc) with the lists ``lows`` and ``highs`` of their ranges."""
+    ranges = _ranges(rows, text, text_column, window, gram, bucket_rows)
+    of_document = ranges.groupBy("r").agg(F.collect_list("lo").alias("lows"), F.collect_list("hi").alias("highs"))
+    return rows.join(of_document, "r", "left").select("doc", "lows", "highs")
 
 
 def _cut(text: bytes, lows: list[int] | None, highs: list[int] | None, window: int) -> tuple[bytes, int, int]:
@@ -212,16 +223,13 @@ def _digests(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
     for batch in small(batches):
         out = []
-        for text, lows, highs in zip(texts(batch), batch.column("lows").to_pylist(), batch.column("highs").to_pylist()):
-            kept, removed, spans = _cut(text, lows, highs, window)
-            out.append((len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
+        rows = batch.column("doc")
+        for text, lows, highs in zip(rows.field("text").cast(pa.large_binary()), batch.column("lows").to_pylist(), batch.column("highs").to_pylist()):
+            whole = text.as_py() or b""
+            kept, removed, spans = _cut(whole, lows, highs, window)
+            out.append((len(whole), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
         columns = [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * len(kinds), kinds)]
-        yield pa.RecordBatch.from_arrays([batch.column("d"), *columns], ["d", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
-
-
-def _with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    of_document = ranges.groupBy("d", "t").agg(F.collect_list("lo").alias("lows"), F.collect_list("hi").alias("highs"))
-    return _same_document(docs, of_document, "left")
+        yield pa.RecordBatch.from_arrays([rows.field("d"), *columns], ["d", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
 
 def remove_repeats(
@@ -234,8 +242,9 @@ def remove_repeats(
     other. Rows that repeat an id and a text are documents of their own, so a text of at least ``window`` bytes
     repeated in full loses all. Texts shorter than a window lose nothing. Other columns are ignored.
     """
-    ranges = repeated_windows(docs, id_column, text_column, window, gram, bucket_rows)
-    joined = _with_ranges(_by_document(docs, id_column, text_column), ranges).select("d", "text", "lows", "highs")
+    doc = F.struct(F.col(id_column).cast("long").alias("d"), F.col(text_column).alias("text")).alias("doc")
+    rows = docs.select(_row_name(id_column, text_column), doc)
+    joined = _with_ranges(rows, F.col("doc.text"), "text", window, gram, bucket_rows)
     done = joined.mapInArrow(lambda b: _digests(b, window), "d bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string")
     return done.withColumnRenamed("d", id_column)
 
@@ -261,12 +270,7 @@ def cut_repeats(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", chars_column: str = "n_chars", window: int = WINDOW, gram: int = GRAM
 ) -> DataFrame:
     """``docs`` with what ``remove_repeats`` removes cut from the texts; the length follows where a text has changed. All rows and columns stay."""
-    ranges = repeated_windows(docs, id_column, text_column, window, gram)
-    rows = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"),
-        F.col(id_column).cast("long").alias("d"),
-        F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("t"),
-    )
+    rows = docs.select(_row_name(id_column, text_column), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    joined = _with_ranges(rows, F.col("doc").getField(text_column), text_column, window, gram, BUCKET_ROWS)
     schema = StructType([StructField("doc", docs.schema)])
-    joined = _with_ranges(rows, ranges).select("doc", "lows", "highs")
     return joined.mapInArrow(lambda b: _rewritten(b, window, text_column, chars_column), schema).select("doc.*")
