@@ -5,13 +5,14 @@ its count times the mean inverse document frequency of its words. Frequencies ar
 documents, in a table of fixed size that words share by hash: a shingle's own frequency would take most weight
 from just those shingles that large groups of copies have in common.
 
-1. Exact copies become one class. Each class gets ``bands * rows`` ICWS samples; the samples of a band make its key.
+1. Exact copies become one class, a vertex named by its text. Each class gets ``bands * rows`` ICWS samples; the samples of a band make its key.
 2. Classes that share a key are candidates. Buckets become star edges, and the components of these edges bound
    who can be linked, without any pairs.
-3. A component's shingles meet once, and a search from class to class compares weighted Jaccard similarities until
-   all links that join classes are found: each class taken up is compared with those not yet reached. A component of more than ``block_rows`` classes is dealt in
-   blocks, and each pair of blocks is a task of its own, so no link is lost.
-4. The components of the verified links are the groups.
+3. Each class is compared with the leader (least class) of its buckets that it shares most of them with, one pair at a time, by weighted Jaccard similarity. The
+   members of a leader are dealt by salt. This already joins most of a large group of copies.
+4. In components that are still in parts, a search from class to class compares classes of different parts until all links that join them are found. A
+   component of over ``block_bytes`` of shingles is dealt in blocks, and each pair of blocks is a task of its own, so no link is lost.
+5. The components of the verified links are the groups.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from fleetlens.plans.shared import stored
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 4
 FREQUENCY_BUCKETS = 1 << 16
-BLOCK_ROWS = 2048
+#: Shingles of a block of classes that are compared with those of another at a time, and members that are compared with their leader.
+BLOCK_BYTES, STAR_ROWS = 8 << 20, 1024
 
 # Quantiles of the two Gamma(2, 1) variables and the uniform one of ICWS.
 _POINTS, _STEPS = 2048, 1024
@@ -153,32 +155,60 @@ def _sets(batches: Iterator[pa.RecordBatch], idf: np.ndarray, size: int) -> Iter
             cuts = np.append(np.flatnonzero(np.append(True, np.diff(owner) != 0)), len(owner))
             for a, b in zip(cuts[:-1], cuts[1:]):
                 names[first + owner[a]], weights[first + owner[a]] = shingle[a:b].tobytes(), weight[a:b].tobytes()
-        kept = [batch.column(c) for c in ("root", "v", "blocks")]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.binary()), pa.array(weights, pa.binary())], ["root", "v", "blocks", "names", "weights"])
+        yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(names, pa.binary()), pa.array(weights, pa.binary())], ["v", "names", "weights"])
 
 
-def links_of(vertices: list[int], names: list[np.ndarray], weights: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that join all that are joined by links of at least ``similarity``, without comparing those already joined."""
+def _set_of(names: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(names, np.uint64), np.frombuffer(weights, np.float32)
+
+
+def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Of two sets with sorted names."""
+    at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+    common = np.minimum(a[1][at], b[1])[a[0][at] == b[0]].sum(dtype=np.float64)
+    return float(common / (a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64) - common))
+
+
+def _star_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of members with their leader; rows come in order of (m, salt), the leader first."""
+    group, leader = None, None
+    for batch in batches:
+        out = []
+        for m, salt, v, names, weights in zip(*(batch.column(c).to_pylist() for c in ("m", "salt", "v", "names", "weights"))):
+            own = _set_of(names, weights)
+            if (m, salt) != group:
+                group, leader = (m, salt), own
+            elif weighted_jaccard(leader, own) >= similarity - 1e-9:
+                out.append((v, m))
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+
+def links_of(
+    vertices: list[int], parts: list[int], names: list[np.ndarray], weights: list[np.ndarray], similarity: float
+) -> list[tuple[int, int]]:
+    """Links that join all that are joined by links of at least ``similarity``, without comparing those already joined.
+
+    Vertices of one part are joined beforehand.
+    """
     sizes = np.array([len(n) for n in names])
     unique, column = np.unique(np.concatenate(names), return_inverse=True)
     value = np.concatenate(weights).astype(np.float64)
+    part = np.unique(np.array(parts), return_inverse=True)[1]
     left = np.arange(len(vertices))
     starts = np.cumsum(sizes) - sizes
     totals = np.array([w.sum(dtype=np.float64) for w in weights])
     dense = np.zeros(len(unique))
     found, queue = [], []
-    rows = (starts, sizes, column, value)
+    rows = (starts, np.arange(len(vertices)), column, value)
     while len(left):
         if not queue:
-            queue.append(int(left[0]))
-            left = left[1:]
+            queue = left[part[left] == part[left[0]]].tolist()
+            left = left[part[left] != part[left[0]]]
             if not len(left):
                 break
-        if len(left) * 2 < len(rows[0]):  # those reached leave the arrays
+        if len(left) * 2 < len(rows[1]):  # those reached leave the arrays
             take = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in left])
             rows = (np.cumsum(sizes[left]) - sizes[left], left, column[take], value[take])
-        elif len(rows[0]) == len(vertices):
-            rows = (starts, np.arange(len(vertices)), column, value)
         at = queue.pop()
         own = slice(starts[at], starts[at] + sizes[at])
         dense[column[own]] = value[own]
@@ -186,27 +216,30 @@ def links_of(vertices: list[int], names: list[np.ndarray], weights: list[np.ndar
         dense[column[own]] = 0
         alike = common / (totals[rows[1]] + totals[at] - common) >= similarity - 1e-9
         near = np.intersect1d(rows[1][alike], left, assume_unique=True)
-        found += [(vertices[at], vertices[i]) for i in near.tolist()]
-        queue += near.tolist()
-        left = np.setdiff1d(left, near, assume_unique=True)
+        if len(near):
+            found += [(vertices[at], vertices[i]) for i in near.tolist()]
+            reached = left[np.isin(part[left], part[near])]
+            queue += reached.tolist()
+            left = np.setdiff1d(left, reached, assume_unique=True)
     return found
 
 
 def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links of each task's groups; rows come in order of (root, p, q)."""
+    """Links of each task's components; rows come in order of (root, p, q)."""
     group, rows = None, {}
 
     def links() -> pa.RecordBatch:
-        found = links_of(list(rows), [r[0] for r in rows.values()], [r[1] for r in rows.values()], similarity) if len(rows) > 1 else []
+        parts, sets = [r[0] for r in rows.values()], [r[1] for r in rows.values()]
+        found = links_of(list(rows), parts, [s[0] for s in sets], [s[1] for s in sets], similarity) if len(rows) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
     for batch in batches:
-        for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("root", "p", "q")))):
-            if key != group and rows:
+        for root, p, q, v, part, names, weights in zip(*(batch.column(c).to_pylist() for c in ("root", "p", "q", "v", "part", "names", "weights"))):
+            if (root, p, q) != group and rows:
                 yield links()
                 rows = {}
-            group = key
-            rows[batch.column("v")[i].as_py()] = np.frombuffer(batch.column("names")[i].as_py(), np.uint64), np.frombuffer(batch.column("weights")[i].as_py(), np.float32)
+            group = (root, p, q)
+            rows[v] = part, _set_of(names, weights)
     if rows:
         yield links()
 
@@ -219,53 +252,75 @@ def near_duplicates(
     shingle: int = SHINGLE,
     bands: int = BANDS,
     rows: int = ROWS,
-    block_rows: int = BLOCK_ROWS,
+    block_bytes: int = BLOCK_BYTES,
+    star_rows: int = STAR_ROWS,
 ) -> DataFrame:
     """One row per input row: id, t (name of the text), class_id, group_id, n_class (rows with this text), kept.
 
-    class_id is the smallest id with the same text, group_id the smallest class_id of the documents joined by links. ``kept`` is true
+    class_id is the smallest id with the same text, group_id the smallest class_id of the classes joined by links. ``kept`` is true
     for the row of the class that leads its group; rows that repeat its id and text are all marked. Texts that are null or have no words are never
-    linked: each such row is a class of its own and kept. A class without an id gets a negative class_id from its text. Texts that share an id
-    count as one document. Other columns are ignored.
+    linked: each such row is a class of its own and kept. A class without an id, or whose smallest id another class has too and comes first by name,
+    gets a negative class_id from its text. Other columns are ignored.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     read = docs.select(F.col(id_column).cast("long").alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
     idf = word_idf(read.select("text"))
     keyed = read.mapInArrow(lambda b: _keys(b, idf, shingle, bands, rows), "d bigint, t bigint, s bigint, keys array<bigint>")
     keyed = stored(keyed, "keys")
-    with_words = keyed.where("keys IS NOT NULL")
-    class_id = F.coalesce(F.min("d"), F.expr("-1 - (t & 4611686018427387903)"))
-    classes = stored(with_words.groupBy("t", "s", "keys").agg(class_id.alias("v"), F.min("d").alias("d"), F.count(F.lit(1)).alias("n")), "classes")
+    classes = keyed.where("keys IS NOT NULL").groupBy("t", "s", "keys").agg(F.min("d").alias("d"), F.count(F.lit(1)).alias("n"))
+    classes = stored(classes.withColumn("v", F.xxhash64("t", "s")), "classes")
     in_bucket = classes.select("v", F.explode("keys").alias("key"))
     buckets = in_bucket.groupBy("key").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = in_bucket.join(buckets, "key").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    candidates = components(edges, "candidates").withColumnsRenamed({"v": "root", "u": "v"})
-    sizes = candidates.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
-    wanted = candidates.join(sizes, "root").join(classes.select("v", F.col("d").alias("rd"), F.col("t").alias("rt")), "v")
-    with_text = read.join(wanted, read["d"].eqNullSafe(wanted["rd"]) & (read["t"] == wanted["rt"])).select("root", "v", "blocks", "text")
-    sets = with_text.mapInArrow(lambda b: _sets(b, idf, shingle), "root bigint, v bigint, blocks bigint, names binary, weights binary")
+    star = stored(in_bucket.join(buckets, "key").where("v != m").groupBy("v", "m").agg(F.count(F.lit(1)).alias("shared")), "star")
+    candidates = stored(components(star.select(F.col("v").alias("u"), F.col("m").alias("v")), "candidates").withColumnsRenamed({"v": "root", "u": "v"}), "candidates")
+    wanted = candidates.join(classes.select("v", F.col("d").alias("rd"), F.col("t").alias("rt")), "v")
+    with_text = read.join(wanted, read["d"].eqNullSafe(wanted["rd"]) & (read["t"] == wanted["rt"])).select("v", "text")
+    sets = with_text.mapInArrow(lambda b: _sets(b, idf, shingle), "v bigint, names binary, weights binary")
+    sets = stored(sets.groupBy("v").agg(F.first("names").alias("names"), F.first("weights").alias("weights")), "sets")
+
+    chosen = star.groupBy("v").agg(F.max_by("m", F.struct("shared", "m")).alias("m"))
+    salts = stored(chosen.groupBy("m").agg(F.expr(f"1 + count(*) div {star_rows}").alias("salts")), "leaders")
+    members = chosen.join(salts, "m").withColumn("salt", F.expr("pmod(xxhash64(v), salts)"))
+    leaders = salts.select("m", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.col("m").alias("v"))
+    pairs = leaders.unionByName(members.select("m", "salt", "v")).join(sets, "v").withColumn("leads", F.col("v") == F.col("m"))
+    pairs = pairs.repartition("m", "salt").sortWithinPartitions("m", "salt", F.col("leads").desc())
+    first_links = stored(pairs.mapInArrow(lambda b: _star_links(b, similarity), "u bigint, v bigint"), "star-links")
+    parts = components(first_links, "parts").withColumnsRenamed({"v": "part", "u": "v"})
+    placed = stored(candidates.join(parts, "v", "left").withColumn("part", F.coalesce("part", "v")), "parts")
+
+    open_roots = placed.groupBy("root").agg((F.min("part") != F.max("part")).alias("open")).where("open").select("root")
+    open_sets = placed.join(open_roots, "root").join(sets, "v")
+    blocks = placed.join(open_roots, "root").join(sets.select("v", F.expr("octet_length(names) + octet_length(weights)").alias("size")), "v")
+    blocks = stored(blocks.groupBy("root").agg(F.expr(f"1 + sum(size) div {block_bytes}").alias("blocks")), "blocks")
     dealt = (
-        sets.withColumn("own", F.expr("pmod(xxhash64(v), blocks)"))
+        open_sets.join(blocks, "root")
+        .withColumn("own", F.expr("pmod(xxhash64(v), blocks)"))
         .withColumn("other", F.explode(F.expr("if(blocks = 1, array(0L), filter(sequence(0L, blocks - 1), i -> i <> own))")))
-        .select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "v", "names", "weights")
+        .select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "v", "part", "names", "weights")
         .repartition("root", "p", "q")
         .sortWithinPartitions("root", "p", "q")
     )
-    groups = components(dealt.mapInArrow(lambda b: _verified(b, similarity), "u bigint, v bigint"), "links").withColumnsRenamed({"v": "g", "u": "v"})
-    grouped = classes.drop("keys").join(groups, "v", "left").withColumn("g", F.coalesce("g", "v"))
-    leaders = grouped.groupBy("g").agg(F.min(F.struct("v", "t", "s")).alias("leader"))
-    led = grouped.join(leaders, "g").withColumn("leads", F.struct("v", "t", "s") == F.col("leader"))
-    led = led.select("t", "s", F.col("d").alias("first"), "v", "g", "n", "leads")
-    alone = F.expr("coalesce(d, -1 - (t & 4611686018427387903))")
+    links = dealt.mapInArrow(lambda b: _verified(b, similarity), "u bigint, v bigint").unionByName(first_links)
+    groups = components(links, "links").withColumnsRenamed({"v": "g", "u": "v"})
+
+    from_text = F.expr("-1 - (t & 4611686018427387903)")
+    owners = classes.groupBy("d").agg(F.min(F.struct("t", "s")).alias("owner"))
+    own = classes.drop("keys").join(owners, "d", "left")
+    own = own.withColumn("class_id", F.when(F.col("owner") == F.struct("t", "s"), F.col("d")).otherwise(from_text))
+    grouped = own.join(groups, "v", "left").withColumn("g", F.coalesce("g", "v"))
+    heads = grouped.groupBy("g").agg(F.min(F.struct("class_id", "t", "s")).alias("head"))
+    led = grouped.join(heads, "g").withColumn("leads", F.struct("class_id", "t", "s") == F.col("head"))
+    led = led.select("t", "s", F.col("d").alias("first"), "class_id", F.col("head.class_id").alias("group_id"), "n", "leads")
+    alone = F.coalesce("d", from_text)
     return (
         keyed.drop("keys")
         .join(led, ["t", "s"], "left")
         .select(
             F.col("d").alias(id_column),
             "t",
-            F.coalesce("v", alone).alias("class_id"),
-            F.coalesce("g", alone).alias("group_id"),
+            F.coalesce("class_id", alone).alias("class_id"),
+            F.coalesce("group_id", alone).alias("group_id"),
             F.coalesce("n", F.lit(1)).alias("n_class"),
-            F.expr("v IS NULL OR (leads AND d <=> first)").alias("kept"),
+            F.expr("class_id IS NULL OR (leads AND d <=> first)").alias("kept"),
         )
     )

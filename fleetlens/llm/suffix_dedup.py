@@ -182,7 +182,7 @@ def _ranges(rows: DataFrame, text: Column, text_column: str, window: int, gram:
     read = rows.select("r", F.coalesce(text, F.lit("")).alias("text"))
     segments = read.mapInArrow(lambda b: _segments(b, window, gram), "h bigint, f bigint, r bigint, place bigint")
     repeating = segments.groupBy("h").agg(F.count(F.lit(1)).alias("nh"), (F.min("f") != F.max("f")).alias("differ")).where("nh > 1").drop("nh")
-    hits = stored(segments.join(repeating, "h"), "repeats")
+    hits = stored(segments.join(stored(repeating, "anchors"), "h"), "repeats")  # a plain join, so a hot anchor is split
     place = {"lo": F.expr(f"place div {window}"), "hi": F.expr(f"place div {window} + place % {window}")}
     classes = hits.where("differ").groupBy("h", "f").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("r", "place")).alias("first"))
     classes = stored(classes, "classes")

@@ -8,7 +8,7 @@ import pytest
 from llm_support import brute_repeats, near_rows
 
 from fleetlens.llm.components import components
-from fleetlens.llm.minhash import SIMILARITY, _weighted, icws, links_of, near_duplicates, word_idf
+from fleetlens.llm.minhash import SIMILARITY, _weighted, icws, links_of, near_duplicates, weighted_jaccard, word_idf
 from fleetlens.llm.suffix_dedup import cut_repeats, remove_repeats, repeated_starts
 
 
@@ -90,8 +90,8 @@ def similarity(a, b):
     return common / (sum(a.values()) + sum(b.values()) - common)
 
 
-@pytest.mark.parametrize("block_rows", [2048, 2])
-def test_groups_equal_all_pairs(spark, docs, block_rows):
+@pytest.mark.parametrize("limits", [{}, {"block_bytes": 6000, "star_rows": 2}])
+def test_groups_equal_all_pairs(spark, docs, limits):
     rows = near_rows(spark, docs).cache()
     sets = weighted_sets(rows)
     group = {d: d for d in sets}
@@ -107,7 +107,7 @@ def test_groups_equal_all_pairs(spark, docs, block_rows):
             if sets[a].keys() & sets[b].keys() and similarity(sets[a], sets[b]) >= SIMILARITY:
                 x, y = sorted((root(a), root(b)))
                 group[y] = x
-    got = near_duplicates(rows, block_rows=block_rows).collect()
+    got = near_duplicates(rows, **limits).collect()
     assert {r.doc_id: r.group_id for r in got} == {d: root(d) for d in ids}
     assert sum(r.kept for r in got) == len({root(d) for d in ids})
 
@@ -128,7 +128,7 @@ def test_links_join_what_all_pairs_join():
     base = np.arange(100, dtype=np.uint64)
     names = [np.sort(np.append(base[rng.random(100) < 0.93], np.arange(1000 * i, 1000 * i + 3, dtype=np.uint64))) for i in range(1, 30)]
     weights = [np.ones(len(n), np.float32) for n in names]
-    found = links_of(list(range(29)), names, weights, 0.8)
+    found = links_of(list(range(29)), list(range(29)), names, weights, 0.8)
     sets = [set(n.tolist()) for n in names]
     assert all(len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8 for a, b in found)
     label = list(range(29))
@@ -141,6 +141,26 @@ def test_links_join_what_all_pairs_join():
     assert linked == label
 
 
+def test_parts_that_are_joined_are_not_compared_again():
+    names = [np.arange(a, a + 10, dtype=np.uint64) for a in (0, 1, 100, 101, 50, 5)]
+    weights = [np.ones(10, np.float32)] * 6
+    assert links_of(list(range(6)), [0, 0, 2, 2, 4, 0], names, weights, 0.8) == []
+    found = links_of(list(range(6)), [0, 1, 2, 3, 4, 5], names, weights, 0.8)
+    assert sorted(map(sorted, found)) == [[0, 1], [2, 3]]
+    assert weighted_jaccard((names[0], weights[0]), (names[1], weights[0])) == 9 / 11
+
+
+def test_unrelated_texts_with_one_id_stay_apart(spark):
+    prose = lambda seed: " ".join(f"{'abcdef'[seed * i % 6]}{seed}w{i}" for i in range(80))
+    rows = [(3, prose(1)), (3, prose(2)), (4, prose(2)), (5, prose(1) + " more"), (6, prose(3))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.group_id, []).append(r.doc_id)
+    assert sorted(map(sorted, groups.values())) == [[3, 4], [3, 5], [6]]
+    assert sum(r.kept for r in got) == 3
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     got = near_duplicates(odd)
     rows = got.collect()
