@@ -12,16 +12,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm.decontam import contaminated
+from fleetlens.llm.decontam import WINDOW, contaminated
 from fleetlens.llm.langid import drop_unclear
 from fleetlens.llm.minhash import near_duplicates
 from fleetlens.llm.packing import pack_sequences
 from fleetlens.llm.queries import WORD_VOCABULARY
 from fleetlens.llm.suffix_dedup import cut_repeats
-from fleetlens.plans.shared import stored
+from fleetlens.plans.shared import new_folder, scratch
 
 #: A document whose best language is less likely than this is rejected.
 LEAST_LANGUAGE_SCORE = 0.3
+#: Benchmark items of fewer words than a window of the search are reported by it, but ordinary sentences hold them too, so they drop nothing here.
+LEAST_ITEM_WORDS = WINDOW
 
 
 def _with(docs: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
@@ -50,8 +52,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a benchmark item stands, verbatim or with other parameters."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Drops documents in which a benchmark item of at least LEAST_ITEM_WORDS stands, verbatim or with other parameters."""
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.col("window_words") >= LEAST_ITEM_WORDS)
     return _with(docs, found.select(F.col("doc_id").alias("d"), "t").distinct(), "left_anti")
 
 
@@ -73,7 +75,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; what each returns is written to the shared folder before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        path = new_folder(spark, name)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

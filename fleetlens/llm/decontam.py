@@ -206,12 +206,13 @@ def contaminated(
 ) -> DataFrame:
     """One row per document and benchmark item that stands in it, verbatim or with other parameters.
 
-    Columns: id, t (name of the text), item id, n_windows (different windows of the item that match), item_windows, cover, n_verbatim (those whose
+    Columns: id, t (name of the text), item id, n_windows (different windows of the item that match), item_windows, window_words (words of a window, so
+    those of the item if it is shorter than one), cover, n_verbatim (those whose
     slots are equal too), n_slots (slot values of the item that matched), n_conflicts (those replaced by several values), reparameterised. An item
     stands in a document if ``windows`` of its windows match, or a share of ``cover``, and either so many match verbatim or at most a
     fifth of its slot values conflict. The counts are those of template windows if the item stands there by them, else of folded or then literal ones,
     which have no slots. Items without a letter, digit or symbol and null texts match nothing; items shorter than the window are one
-    window. Items that repeat an id are one item, rows that repeat an id and a text one document. An empty benchmark gives no rows.
+    window, which an ordinary sentence may hold by chance: ``window_words`` tells. Items that repeat an id are one item, rows that repeat an id and a text one document. An empty benchmark gives no rows.
     """
     item_id, item_text = F.col(item_column).cast("long"), F.coalesce(F.col(item_text_column), F.lit(""))
     items = benchmark.select(item_id.alias("d"), F.xxhash64(item_text).alias("t"), item_text.alias("text"))
@@ -225,29 +226,30 @@ def contaminated(
     sizes: dict[int, list[int]] = {}
     for stream, size in sorted(set(zip(buckets.column("stream").to_pylist(), buckets.column("size").to_pylist()))):
         sizes.setdefault(stream, []).append(size)
-    asked = asked.drop("stream", "size")
+    asked = asked.withColumnRenamed("size", "item_size").drop("stream")
     text = F.coalesce(F.col(text_column), F.lit(""))
     read = docs.select(F.col(id_column).cast("long").alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
     seen = read.mapInArrow(lambda b: _windows(b, sizes, keep, window), _WINDOW).drop("total", "at", "size")
     matched = seen.join(asked, "w").withColumn("same", F.col("slots") == F.col("item_slots"))
     key = ["d", "t", "item", "stream"]
-    window_row = F.struct("item_at", "it", "item_windows", F.col("same").cast("long").alias("same"), *(F.lit(None).cast("long").alias(c) for c in ("was", "now")))
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("item_at", "long"), ("it", "long"), ("item_windows", "long"), ("same", "long"))]
+    window_row = F.struct("item_at", "it", "item_windows", "item_size", F.col("same").cast("long").alias("same"), *(F.lit(None).cast("long").alias(c) for c in ("was", "now")))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("item_at", "long"), ("it", "long"), ("item_windows", "long"), ("item_size", "int"), ("same", "long"))]
     slot_rows = F.transform(F.arrays_zip("item_slots", "slots"), lambda p: F.struct(*none, p.item_slots.alias("was"), p.slots.alias("now")))
     rows = matched.select(*key, F.explode(F.concat(F.array(window_row), slot_rows)).alias("r")).select(*key, "r.*")  # windows and slots in one pass
     once = rows.groupBy(*key, "item_at", "it", "was").agg(
-        F.max("item_windows").alias("item_windows"), F.max("same").alias("same"), (F.min("now") != F.max("now")).cast("long").alias("conflict")
+        F.max("item_windows").alias("item_windows"), F.max("item_size").alias("item_size"), F.max("same").alias("same"), (F.min("now") != F.max("now")).cast("long").alias("conflict")
     )
     found = once.groupBy(*key).agg(
         F.count("item_at").alias("n_windows"),
         F.max("item_windows").alias("item_windows"),
+        F.max("item_size").alias("window_words"),
         F.sum("same").alias("n_verbatim"),
         F.count("was").alias("n_slots"),
         F.coalesce(F.sum("conflict"), F.lit(0)).alias("n_conflicts"),
     )
     enough = "({n} >= %d OR {n} >= %s * item_windows)" % (windows, cover)
     standing = found.where(f"{enough.format(n='n_windows')} AND ({enough.format(n='n_verbatim')} OR n_conflicts <= {MOST_CONFLICTS} * n_slots)")
-    counted = F.struct("n_windows", "item_windows", "n_verbatim", "n_slots", "n_conflicts")
+    counted = F.struct("n_windows", "item_windows", "window_words", "n_verbatim", "n_slots", "n_conflicts")
     return (
         standing.groupBy("d", "t", "item")
         .agg(F.min_by(counted, "stream").alias("by"))
@@ -258,6 +260,7 @@ def contaminated(
             F.col("item").alias(item_column),
             "n_windows",
             "item_windows",
+            "window_words",
             F.least(F.col("n_windows") / F.col("item_windows"), F.lit(1.0)).alias("cover"),
             "n_verbatim",
             "n_slots",

@@ -330,3 +330,13 @@ def test_sequences():
     of, target, two, one = lbl.sequences(np.array([0, 0, 2]), np.array([5, 6, 7]), 3)
     assert of.tolist() == [0, 0, 0, 1, 2, 2] and target.tolist() == [5, 6, 1, 1, 7, 1]
     assert one.tolist() == [1, 5, 6, 1, 1, 7] and two.tolist() == [1, 1, 5, 1, 1, 1]
+
+
+def test_short_items_are_marked(spark):
+    """An item of one word stands in ordinary sentences; its window tells that it is short."""
+    docs = spark.createDataFrame([(1, "Yes, we went to the market and bought what we needed"), (2, "nothing here")], "doc_id bigint, text string")
+    long = "how many of the seven grey horses that crossed the wide river came back at night"
+    items = spark.createDataFrame([(1, "Yes"), (2, long)], "item_id bigint, text string")
+    more = docs.unionByName(spark.createDataFrame([(3, f"Somebody asked {long} and left")], docs.schema))
+    found = {(r.doc_id, r.item_id): r.window_words for r in contaminated(more, items).collect()}
+    assert found[1, 1] == 1 and found[3, 2] == 8 and (2, 1) not in found
