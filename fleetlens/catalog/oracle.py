@@ -433,6 +433,11 @@ FROM fx_registry r WHERE {_SICK}""",
     ),
     "fold_lifecycle": _sql(["fx_lifecycle"], _FOLD),
     "session_history": _sql(["fx_lifecycle"], f"--ctes{_HISTORY}\nSELECT * FROM history"),
+    "incremental_session_history": _sql(["fx_lifecycle"], f"--ctes{_HISTORY}\nSELECT * FROM history"),
+    "registry_store_lookup": _sql(
+        ["fx_registry"], f"SELECT {_ALL} FROM fx_registry WHERE id IN (1, 2, 3, 4, 5, 6, 7, 32, 33, 34, 35)"
+    ),
+    "registry_store_update": _sql(_EVENT_VIEWS, f"--ctes{_EFFECTS}\nSELECT {_ALL} FROM after"),
     "launch_timeouts": _sql(
         ["fx_launch_events"],
         """--ctes
@@ -562,6 +567,13 @@ breaks AS (
 spans AS (SELECT *, count(fresh OR NULL) OVER (PARTITION BY session_key ORDER BY start_ts) AS span FROM breaks)
 SELECT session_key, min(start_ts) AS active_from, max(until) AS idle_at, count(*) AS activities FROM spans
 GROUP BY session_key, span""",
+    ),
+    "stream_idle_stops": _sql(
+        ["fx_activity"],
+        f"""--ctes{_WALK}
+SELECT s.session_key, s.t0 AS started_at, CASE WHEN s.stop <= TIMESTAMP '2024-02-15' THEN s.stop END AS stopped_at,
+  count((a.control IS NULL AND a.start_ts <= s.stop) OR NULL) AS activities
+FROM stops s JOIN fx_activity a USING (session_key) GROUP BY ALL""",
     ),
     "stream_request_resolution": _SNAPSHOT,
 }

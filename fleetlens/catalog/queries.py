@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
@@ -17,6 +18,9 @@ from fleetlens.functions.routes import is_grpc
 from fleetlens.operators import event_batch, launch, lifecycle, registry, resolution, traffic, transitions
 from fleetlens.plans.shared import new_folder, stored
 from fleetlens.sources.callbacks import parse_callbacks
+from fleetlens.sources.history_store import HistoryStore
+from fleetlens.sources.registry_store import RegistryStore
+from fleetlens.streaming import idle_timer
 from fleetlens.streaming import operators as streaming
 from fleetlens.streaming.run import append_to_files, upsert_to_files
 
@@ -250,6 +254,46 @@ def _stream_idle_sessions(spark, sf):
     return without_zone(reported.unionByName(rest))
 
 
+def _stream_idle_stops(spark, sf):
+    """Every session with its stop: from the stream where its watermark has passed all that could have kept it, else from the batch rule."""
+    timer = idle_timer.stream_idle_stops(view_stream(spark, sf, "fx_activity"), TIMEOUT_S, DELAY)
+    reported, _ = append_to_files(timer, "idle-stops", keyed_state=True)
+    rest = idle_timer.open_idle_stops(reported, with_zone(view(spark, sf, "fx_activity")), TIMEOUT_S, ACTIVITY_UNTIL)
+    return without_zone(reported.unionByName(rest))
+
+
+def _registry_store(spark, sf):
+    store = RegistryStore(spark, new_folder(spark, "registry-store"))
+    store.replace(with_zone(view(spark, sf, "fx_registry")))
+    return store
+
+
+def _registry_store_lookup(spark, sf):
+    """Sessions by token, from their buckets of a stored registry."""
+    tokens = [hashlib.md5(f"tok-{i}".encode()).hexdigest() for i in (1, 2, 3, 4, 5, 6, 7, 32, 33, 34, 35, -1)]
+    return without_zone(_registry_store(spark, sf).of_tokens(tokens))
+
+
+def _registry_store_update(spark, sf):
+    """A stored registry after a batch of events, of which only the touched buckets were rewritten."""
+    store = _registry_store(spark, sf)
+    store.update(event_batch.apply_events(store.read(), view(spark, sf, "fx_mixed_events")).touched)
+    return without_zone(store.read())
+
+
+def _incremental_session_history(spark, sf):
+    """The history kept up to date over three slices of the log."""
+    log = view(spark, sf, "fx_lifecycle")
+    made = log.groupBy("session_key").agg(F.min("seq").alias("_first")).join(_created(log), "session_key")
+    store = HistoryStore(spark, new_folder(spark, "history"), "timestamp_ntz", buckets=16)
+    last = log.agg(F.max("seq")).first()[0] or 0
+    edges = [-1, last // 3, last // 2, last]
+    for a, b in zip(edges, edges[1:]):
+        slice_of = lambda column: (F.col(column) > a) & (F.col(column) <= b)
+        store.add(log.where(slice_of("seq")), made.where(slice_of("_first")).drop("_first"))
+    return store.read()
+
+
 def _stream_request_resolution(spark, sf):
     requests = view_stream(spark, sf, "fx_requests").where(is_grpc(F.col("path")))
     sessions = resolution.one_session_per_token(view(spark, sf, "fx_registry"))
@@ -287,6 +331,9 @@ QUERIES: dict[str, Query] = {
     "health_sweep_failed": lambda spark, sf: _health(spark, sf).touched,
     "fold_lifecycle": lambda spark, sf: lifecycle.fold_lifecycle(view(spark, sf, "fx_lifecycle")),
     "session_history": _session_history,
+    "incremental_session_history": _incremental_session_history,
+    "registry_store_lookup": _registry_store_lookup,
+    "registry_store_update": _registry_store_update,
     "launch_timeouts": _launch_timeouts,
     "idle_sessions": _idle_sessions,
     "traffic_by_route": _requests(traffic.traffic_by_route),
@@ -309,5 +356,6 @@ QUERIES: dict[str, Query] = {
     "stream_registry": _stream_registry,
     "stream_launch_timeouts": _stream_launch_timeouts,
     "stream_idle_sessions": _stream_idle_sessions,
+    "stream_idle_stops": _stream_idle_stops,
     "stream_request_resolution": _stream_request_resolution,
 }

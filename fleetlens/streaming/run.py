@@ -6,6 +6,8 @@ its state, its progress and what it has written. Without one each call starts an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,21 +18,40 @@ from fleetlens.sources.bucket_table import BucketTable
 BUCKETS = 16
 
 
-def append_to_files(stream: DataFrame, label: str, folder: str | None = None) -> tuple[DataFrame, datetime]:
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str | None) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    if value is not None:
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def append_to_files(stream: DataFrame, label: str, folder: str | None = None, keyed_state: bool = False) -> tuple[DataFrame, datetime]:
     """Run an append-mode query to the end of its input; its output, and the watermark up to which it has reported.
 
-    The watermark is kept beside the output. After a crash it may be that of an earlier run, so earlier than what the output has.
+    ``keyed_state`` is for queries with a state of their own, which need the RocksDB state store. The watermark is kept beside the output. After a crash it may be that of an earlier run, so earlier than what the output has.
     """
     spark = stream.sparkSession
     folder = folder or new_folder(spark, label)
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", f"{folder}/state")
-        .trigger(availableNow=True)
-        .start(f"{folder}/rows")
-    )
-    query.awaitTermination()
+    with _setting(spark, _PROVIDER, _ROCKSDB if keyed_state else None):
+        query = (
+            stream.writeStream.format("parquet")
+            .outputMode("append")
+            .option("checkpointLocation", f"{folder}/state")
+            .trigger(availableNow=True)
+            .start(f"{folder}/rows")
+        )
+        query.awaitTermination()
     marks = [p["eventTime"]["watermark"] for p in query.recentProgress if "watermark" in p["eventTime"]]
     mark = max([_kept_mark(spark, folder), *map(datetime.fromisoformat, marks)])
     spark.createDataFrame([(mark.isoformat(),)], "mark string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/watermark")
