@@ -577,3 +577,7 @@ FROM stops s JOIN fx_activity a USING (session_key) GROUP BY ALL""",
     ),
     "stream_request_resolution": _SNAPSHOT,
 }
+
+# The same rule, observed until the last event, without the launches still open.
+_OBSERVED = ORACLES["launch_timeouts"].replace("TIMESTAMP '2024-01-31'", "(SELECT max(ts) FROM fx_launch_events)")
+ORACLES["launch_timer_net"] = f"SELECT * FROM ({_OBSERVED}) WHERE outcome <> 'pending'"

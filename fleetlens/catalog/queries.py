@@ -21,6 +21,7 @@ from fleetlens.sources.callbacks import parse_callbacks
 from fleetlens.sources.history_store import HistoryStore
 from fleetlens.sources.registry_store import RegistryStore
 from fleetlens.streaming import idle_timer
+from fleetlens.streaming.launch_timer import LaunchTimer
 from fleetlens.streaming import operators as streaming
 from fleetlens.streaming.run import append_to_files, upsert_to_files
 
@@ -262,6 +263,17 @@ def _stream_idle_stops(spark, sf):
     return without_zone(reported.unionByName(rest))
 
 
+def _launch_timer_net(spark, sf):
+    """What three slices of the log, in order of arrival, have said of each launch in the end."""
+    log = view(spark, sf, "fx_launch_events").withColumnRenamed("event_id", "launch_id")
+    timer = LaunchTimer(spark, new_folder(spark, "launch-timer"), TIMEOUT_S, "timestamp_ntz", buckets=8)
+    last = log.agg(F.max("launch_id")).first()[0] or 0
+    edges = [-1, last // 3, last // 2, last]
+    for a, b in zip(edges, edges[1:]):
+        timer.take(log.where((F.col("launch_id") > a) & (F.col("launch_id") <= b)))
+    return timer.net()
+
+
 def _registry_store(spark, sf):
     store = RegistryStore(spark, new_folder(spark, "registry-store"))
     store.replace(with_zone(view(spark, sf, "fx_registry")))
@@ -335,6 +347,7 @@ QUERIES: dict[str, Query] = {
     "registry_store_lookup": _registry_store_lookup,
     "registry_store_update": _registry_store_update,
     "launch_timeouts": _launch_timeouts,
+    "launch_timer_net": _launch_timer_net,
     "idle_sessions": _idle_sessions,
     "traffic_by_route": _requests(traffic.traffic_by_route),
     "auth_header_audit": _requests(traffic.auth_header_audit),

@@ -99,8 +99,8 @@ def _session_rows(launches: DataFrame, user_conf: DataFrame, layers: DataFrame,
     return given.join(user_conf.select("session_id", "conf_key", F.col("conf_value").alias("_user")), "session_id", "left")
 
 
-def _with_values(rows: DataFrame, service: Service, wanted: Column | None = None) -> DataFrame:
-    """A row per final setting (conf_key, conf_value) of each session; null ones where a session has none or isn't ``wanted``.
+def _with_values(rows: DataFrame, service: Service) -> DataFrame:
+    """A row per final setting (conf_key, conf_value) of each session; null ones where a session has none.
 
     The first row of a session also brings the keys its version gives that the user didn't ask for.
     """
@@ -113,15 +113,19 @@ def _with_values(rows: DataFrame, service: Service, wanted: Column | None = None
         F.array_except(F.map_keys("_given"), F.col("_asked")), lambda k: F.struct(k.alias("key"), F.lit(None).cast("string").alias("user"))
     )
     entries = F.concat(own, F.when(F.col("_first"), F.coalesce(others, none)).otherwise(none))
-    if wanted is not None:
-        entries = F.when(wanted, entries).otherwise(none)
     rows = rows.withColumns({"_asked": asked, "_first": first}).withColumn("_entry", F.explode_outer(entries))
-    key, layer = F.col("_entry.key"), F.element_at("_given", F.col("_entry.key"))
-    base = F.coalesce(F.col("_entry.user"), layer["default"])
+    key = F.col("_entry.key")
+    value = _value(key, F.element_at("_given", key), F.col("_entry.user"), service)
+    return rows.drop("conf_key").withColumns({"conf_key": key, "conf_value": value})
+
+
+def _value(key: Column, layer: Column, user: Column, service: Service) -> Column:
+    """The final value of a setting, from the layers of its key and what the user asked for."""
+    base = F.coalesce(user, layer["default"])
     merged = F.when(layer["merge"].isNotNull() & base.isNotNull(), F.concat(base, F.lit(","), layer["merge"])).otherwise(F.coalesce(layer["merge"], base))
     layered = F.coalesce(layer["override"], merged)
     environment = F.lit(f"{service.tarball}#environment")
-    value = (
+    return (
         F.when(
             key == APP_NAME,
             F.coalesce("app_name", layered, F.concat(F.lit(service.app_name_prefix), F.col("session_id").cast("string"))),
@@ -139,7 +143,6 @@ def _with_values(rows: DataFrame, service: Service, wanted: Column | None = None
         )
         .otherwise(layered)
     )
-    return rows.drop("conf_key").withColumns({"conf_key": key, "conf_value": value})
 
 
 def effective_config(
@@ -209,20 +212,29 @@ def launch_specs(
     """One row per launch: its submit command, or why it is rejected (version first, then policy).
 
     ``args`` is an array; settings are in key order. A launch's settings end up on one command
-    line, so the operating system's argument limit bounds what is collected per row. Versions, policy and settings are all
-    worked out on one shuffle of the launches and one of the user's settings; rejected launches get no settings.
+    line, so the operating system's argument limit bounds what is collected per row. The user's settings become one row of a session
+    first, combined map-side, and meet its launch there; the settings of its version join that row, and all the rest are expressions on it.
     """
-    rows = _session_rows(launches, user_conf, layers, versions, service)
-    found = F.when(F.col("conf_key").isin(*CHECKED_KEYS), _findings(F.col("_user")))
-    bad = F.when(F.size("_found") > 0, F.struct(_rank(F.col("conf_key")).alias("rank"), F.col("_found")[0]["pos"].alias("pos"), F.col("_found")[0]["reason"].alias("reason")))
-    policy = F.min("_bad").over(Window.partitionBy("session_id"))["reason"]
-    rejected = F.when(F.col("version_status") != "found", "version_not_found").otherwise(policy)
-    judged = rows.withColumn("_found", found).withColumn("_bad", bad).withColumn("rejected_reason", rejected)
-    settled = _with_values(judged, service, F.col("rejected_reason").isNull())
-    session = ["session_id", "username", "home", "master", "deploy_mode", "proxy_user", "rejected_reason"]
-    specs = settled.groupBy(*session).agg(
-        F.array_sort(F.collect_list(F.when(F.col("conf_key").isNotNull(), F.struct("conf_key", "conf_value")))).alias("_conf")
+    entry = F.struct(F.col("conf_key"), F.col("conf_value"))
+    asked = user_conf.where(F.col("conf_key").isNotNull()).groupBy("session_id").agg(F.collect_list(entry).alias("_asked"))
+    resolved = resolve_versions(launches, versions).withColumn("packaged", F.coalesce("packaged", F.lit(False)))
+    given = _settings_by_version(versions, layers, service)
+    rows = resolved.join(asked, "session_id", "left").join(given, ["version", "packaged"], "left")
+    nothing = F.array().cast("array<struct<conf_key:string,conf_value:string>>")
+    rows = rows.withColumn("_asked", F.coalesce("_asked", nothing))
+    checked = F.filter("_asked", lambda e: e["conf_key"].isin(*CHECKED_KEYS))
+    found = F.transform(checked, lambda e: F.struct(_rank(e["conf_key"]).alias("rank"), _findings(e["conf_value"]).alias("found")))
+    bad = F.filter(found, lambda f: F.size(f["found"]) > 0)
+    policy = F.array_min(F.transform(bad, lambda f: F.struct(f["rank"].alias("rank"), f["found"][0]["pos"].alias("pos"), f["found"][0]["reason"].alias("reason"))))
+    rejected = F.when(F.col("version_status") != "found", "version_not_found").otherwise(policy["reason"])
+    keys = F.array_union(F.transform("_asked", lambda e: e["conf_key"]), F.coalesce(F.map_keys("_given"), F.array().cast("array<string>")))
+    user = F.map_from_entries("_asked")
+    settings = F.transform(
+        F.col("_keys"),
+        lambda k: F.struct(k.alias("conf_key"), _value(k, F.element_at("_given", k), F.element_at("_user", k), service).alias("conf_value")),
     )
+    specs = rows.withColumns({"rejected_reason": rejected, "_keys": keys, "_user": user})
+    specs = specs.withColumn("_conf", F.when(F.col("rejected_reason").isNull(), F.array_sort(settings)))
     accepted = F.col("rejected_reason").isNull()
     none = F.array().cast("array<string>")
     conf = F.flatten(

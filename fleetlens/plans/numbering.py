@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.clock import micros
-from fleetlens.plans.cells import CELL, SEQ_CELL, cell_of
+from fleetlens.plans.cells import CELL, SEQ_CELL, TIME_CELL, cell_of
 
 _CELLS = 4096
 
@@ -14,14 +14,14 @@ _CELLS = 4096
 def dense_number(rows: DataFrame, order: Column, tie: Column, out: str, width: int | None = None) -> DataFrame:
     """Add ``out`` = 1.. in (order, tie) order.
 
-    The table is cut into cells of ``width`` of the order, a number or a time (by default 65,536, or an hour). Cells are counted
+    The table is cut into cells of ``width`` of the order, a number or a time (by default 65,536, or five minutes). Cells are counted
     map-side, numbered from their offsets, and sorted on their own. Offsets are summed in runs of 4,096 cells and
     then over the runs, so the one task that sees all runs gets a row for each.
     """
     keyed = rows.withColumn("_o", order).withColumn("_t", tie)
     timed = keyed.schema["_o"].dataType.typeName().startswith("timestamp")
     at = micros(F.col("_o")) if timed else F.floor("_o").cast("long")
-    keyed = keyed.withColumn(CELL, cell_of(at, width or (3_600_000_000 if timed else SEQ_CELL)))
+    keyed = keyed.withColumn(CELL, cell_of(at, width or (TIME_CELL if timed else SEQ_CELL)))
     counts = keyed.groupBy(CELL).agg(F.count(F.lit(1)).alias("_n")).withColumn("_run", cell_of(F.col(CELL), _CELLS))
     inside = Window.partitionBy("_run").orderBy(F.col(CELL).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     runs = counts.groupBy("_run").agg(F.sum("_n").alias("_all"))

@@ -41,6 +41,7 @@ class HistoryStore:
             spans, stand = extend_history(events, created, before, width, keep=lambda df: stored(df, "changes"))
             spans.write.mode("overwrite").parquet(f"{self._closed()}/slice={version}")
             self.sessions.update(stand, ["session_key"], version=version)
+        self.sessions.vacuum()
         return version
 
     def read(self) -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from fleetlens.catalog.fixtures import view
 from fleetlens.catalog.queries import QUERIES, SERVICE
+from fleetlens.functions.clock import micros
 from fleetlens.operators import launch, lifecycle
 from fleetlens.operators.registry import list_sessions
 from fleetlens.plans.asof import asof_lookup
+from fleetlens.plans.cells import TIME_CELL, cell_of
 from fleetlens.plans.numbering import dense_number
 from fleetlens.plans.shared import stored
 
@@ -19,6 +21,7 @@ BATCH = [name for name in QUERIES if not name.startswith("stream_")]
 WRITING = {
     "session_history",
     "incremental_session_history",
+    "launch_timer_net",
     "registry_store_lookup",
     "registry_store_update",
     "resolve_requests",
@@ -124,7 +127,17 @@ def test_settings_are_shuffled_once(spark, operator):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert text.count("Exchange hashpartitioning(session_id#") + text.count("Exchange hashpartitioning(id#") == 2
-    assert "FullOuter" not in text and "Window" in text
+    assert "FullOuter" not in text and ("Window" in text) == (operator is launch.effective_config)
+
+
+def test_a_hot_hour_of_one_session_is_several_cells(spark):
+    """A third of all rows in one hour of one session: no (session, cell) has a tenth of them, for sessions, and no cell has it over all."""
+    hot = spark.range(40_000).selectExpr("7L AS session_key", "id", "timestamp_micros(1700000000000000 + id * 90000) AS ts")
+    rest = spark.range(80_000).selectExpr("id % 500 + 100 AS session_key", "id", "timestamp_micros(1700000000000000 + id * 20000000) AS ts")
+    rows = hot.unionByName(rest).withColumn("cell", cell_of(micros(F.col("ts")), TIME_CELL))
+    for keys in (["session_key", "cell"], ["cell"]):
+        largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0]
+        assert largest <= rows.count() / 10
 
 
 def tied_rows(spark):
