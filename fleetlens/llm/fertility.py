@@ -106,14 +106,20 @@ def block_entropies(ids: list[np.ndarray]) -> np.ndarray:
     return np.where(blocks_of > 0, 1 - total / (np.maximum(blocks_of, 1) * size * np.log(size)), np.nan)
 
 
+def _coded(path: str, values: list[bytes]) -> list[np.ndarray]:
+    """Ids of whole texts. Only vocabularies that see no difference are asked word by word: in a byte vocabulary, white space belongs to tokens."""
+    if path.endswith(".tiktoken"):
+        return [np.array(ids, np.int32) for ids in vocabulary(path).encode([v.decode() for v in values])]
+    return [ids for ids, _ in word_coder(path, CACHED_WORDS).encode_all(values)]
+
+
 def _measures(batches: Iterator[pa.RecordBatch], paths: list[str]) -> Iterator[pa.RecordBatch]:
-    coders = [word_coder(p, CACHED_WORDS) for p in paths]
     fallback = [vocabulary(p).fallback() for p in paths]
     for batch in small(batches):
         values = list(texts(batch))
         plain = plain_measures(values)
         fit = [[], [], [], []]
-        coded_texts = [[ids for ids, _ in coder.encode_all(values)] for coder in coders]
+        coded_texts = [_coded(p, values) for p in paths]
         by_block = [block_entropies(ids).tolist() for ids in coded_texts]
         for i, (chars, *coded) in enumerate(zip(plain["word_chars"].tolist(), *coded_texts)):
             row = ([], [], [], [])

@@ -17,6 +17,7 @@ from fleetlens.llm.langid import FILTERS, Predictor, drop_unclear, gradients, id
 from fleetlens.llm.lbl import log_bilinear_scores
 from fleetlens.llm.licenses import PHRASES, TEMPLATES, Automaton, Scanner, scan_licenses
 from fleetlens.llm.queries import FERTILITY_VOCABULARIES
+from fleetlens.llm.tokens import Vocabulary
 
 
 def lower(text):
@@ -332,6 +333,26 @@ def test_sequences():
     assert one.tolist() == [1, 5, 6, 1, 1, 7] and two.tolist() == [1, 1, 5, 1, 1, 1]
 
 
+def test_fertility_measures_are_those_of_whole_texts(docs):
+    """Every measure of every text, from the ids of each vocabulary by itself."""
+    got = {r.doc_id: r for r in fertility(docs, FERTILITY_VOCABULARIES).collect()}
+    held = [Vocabulary(path) for path in FERTILITY_VOCABULARIES]
+    fallback = [v.fallback() for v in held]
+    for row in docs.select("doc_id", "text").collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", row.text)
+        if not words:
+            continue
+        chars = sum(map(len, words))
+        ids = [sum(held[0].encode(words), []), held[1].encode([row.text])[0]]
+        for k, own in enumerate(ids):
+            share = np.array(list(collections.Counter(own).values())) / len(own)
+            entropy = float(-(share * np.log(share)).sum() / np.log(len(own))) if len(own) > 1 else 1.0
+            r = got[row.doc_id]
+            assert r.chars_per_token[k] == chars / len(own)
+            assert abs(r.fallback_share[k] - fallback[k][own].mean()) < 1e-12
+            assert abs(r.token_entropy[k] - entropy) < 1e-9
+
+
 def test_short_items_are_marked(spark):
     """An item of one word stands in ordinary sentences; its window tells that it is short."""
     docs = spark.createDataFrame([(1, "Yes, we went to the market and bought what we needed"), (2, "nothing here")], "doc_id bigint, text string")
