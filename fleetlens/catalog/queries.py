@@ -136,6 +136,11 @@ def _session_history(spark, sf):
     return lifecycle.session_history(log, _created(log), keep=_keep("changes"))
 
 
+def _stored_history(spark, sf):
+    log = view(spark, sf, "fx_lifecycle")
+    return stored(lifecycle.session_history(log, _created(log)), "history")
+
+
 def _keep(label: str) -> Callable[[DataFrame], DataFrame]:
     return lambda df: stored(df, label)
 
@@ -170,7 +175,7 @@ def _grpc_requests(spark, sf):
 
 
 def _resolve_requests(spark, sf):
-    history = stored(_session_history(spark, sf), "history")
+    history = _stored_history(spark, sf)
     return resolution.resolve_requests(_grpc_requests(spark, sf), history, keep=_keep("asked"))
 
 
@@ -185,7 +190,7 @@ def _invalidations(spark, sf):
 
 
 def _resolve_cached(spark, sf):
-    history = stored(_session_history(spark, sf), "history")
+    history = _stored_history(spark, sf)
     return resolution.resolve_cached_requests(_grpc_requests(spark, sf), history, _invalidations(spark, sf), keep=_keep("asked"))
 
 
