@@ -21,7 +21,7 @@ from fleetlens.operators.lifecycle import idle_sessions
 
 _POLL = S.IDLE_POLL_S * SECOND
 _STATE = "t0 bigint, active bigint, n bigint, stopped boolean"
-_STOPS = "session_key bigint, started_at timestamp, stopped_at timestamp, activities bigint"
+_STOPS = "session_key bigint, t0 bigint, stop bigint, activities bigint"
 
 
 def _stop_after(t0: int, active: int, timeout: int) -> int:
@@ -44,8 +44,7 @@ class IdleTimer(StatefulProcessor):
         return (due // self.timeout + 1) * self.timeout // 1000 + 1
 
     def _stopped(self, key: tuple, t0: int, stop: int, n: int) -> pd.DataFrame:
-        at = pd.to_datetime([t0, stop], unit="us")
-        return pd.DataFrame({"session_key": [key[0]], "started_at": [at[0]], "stopped_at": [at[1]], "activities": [n]})
+        return pd.DataFrame({"session_key": [key[0]], "t0": [t0], "stop": [stop], "activities": [n]})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         t0, active, n, stopped = self.state.get() if self.state.exists() else (None, None, 0, False)
@@ -101,7 +100,8 @@ def stream_idle_stops(activity: DataFrame, timeout_s: int, delay: str) -> DataFr
         )
         .select("session_key", F.window_time("cell").alias("at"), "first_row", "first", "last", "last_end", "n")
     )
-    return cells.groupBy("session_key").transformWithStateInPandas(IdleTimer(timeout_s * SECOND), _STOPS, "append", "EventTime")
+    stops = cells.groupBy("session_key").transformWithStateInPandas(IdleTimer(timeout_s * SECOND), _STOPS, "append", "EventTime")
+    return stops.select("session_key", F.timestamp_micros("t0").alias("started_at"), F.timestamp_micros("stop").alias("stopped_at"), "activities")
 
 
 def open_idle_stops(reported: DataFrame, activity: DataFrame, timeout_s: int, observed_until) -> DataFrame:

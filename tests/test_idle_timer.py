@@ -68,3 +68,17 @@ def test_open_sessions_and_a_restart(spark, tmp_path):
     rest = open_idle_stops(got, log, 21_600, until)
     assert rows(got.unionByName(rest)) == rows(want_of(log, 21_600, until))
     assert got.count() > 10
+
+
+def test_times_are_those_of_the_session_time_zone(spark, tmp_path):
+    """Instants come out as they went in, wherever the session is."""
+    made, far = random_activity(5), T0 + timedelta(days=30)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        stream = in_files(spark, str(tmp_path / "in"), [*made, (-1, far, far, None)], parts=2)
+        got, _ = append_to_files(stream_idle_stops(stream, 300, "10 minutes"), "t", str(tmp_path / "s"), keyed_state=True)
+        want = want_of(spark.createDataFrame(made, ACTIVITY), 300, "2024-03-01T00:00:00+00:00")
+        assert rows(got.where("session_key >= 0")) == rows(want)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
