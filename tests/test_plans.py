@@ -130,6 +130,21 @@ def test_settings_are_shuffled_once(spark, operator):
     assert "FullOuter" not in text and ("Window" in text) == (operator is launch.effective_config)
 
 
+def test_a_version_s_settings_go_through_no_sort(spark):
+    """A map of all that a version gives, on every row of every session, was most of what a task had to sort."""
+    tables = [view(spark, SF, name) for name in ("fx_launches", "fx_user_conf", "fx_conf_layers", "fx_versions")]
+    found = launch.effective_config(tables[0].withColumn("packaged", F.lit(True)), *tables[1:], SERVICE)
+    nodes, windows = [found._jdf.queryExecution().optimizedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Window":
+            windows += 1
+            assert "map<" not in children[0].schema().simpleString()
+        nodes += children
+    assert windows
+
+
 def test_a_hot_hour_of_one_session_is_several_cells(spark):
     """A third of all rows in one hour of one session: no (session, cell) has a tenth of them, for sessions, and no cell has it over all."""
     hot = spark.range(40_000).selectExpr("7L AS session_key", "id", "timestamp_micros(1700000000000000 + id * 90000) AS ts")
