@@ -5,7 +5,7 @@ end of a text, or "another word". A context's vector is the sum of position-wise
 the class vector plus a bias, and a softmax over all classes makes it a probability. "Another word" is shared out
 by smoothed counts, so the probabilities of all words the corpus has, and of one unknown, sum to one.
 
-The texts of an input partition are a chunk. Each chunk counts its words; the counts meet by word, and the totals go back to the chunks
+The texts of an input partition are dealt into chunks of ``CHUNK_BYTES``, so what a task holds doesn't grow with its partition. Each chunk counts its words; the counts meet by word, and the totals go back to the chunks
 that need them, so a frequent word costs a row per chunk and not per text. Training runs in every task over all its
 training texts, from the parameters of the last round; a round's parameters are the mean over tasks, weighted by tokens. Scores are
 normalised by matrix products over batches of different contexts, each taken once in a process.
@@ -18,6 +18,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ CLASSES, SIZE = 1024, 24
 ROUNDS = 2
 NOISE, BATCH, RATE = 64, 512, 0.3
 TRAIN_TOKENS = 1 << 20
+#: Text of a chunk. A chunk's texts and the totals of its words are sorted in one task.
+CHUNK_BYTES = 1 << 24
 ALPHA = 0.1
 
 #: Class numbers: another word, the end of a text; words follow.
@@ -142,6 +146,17 @@ def new_model(words: list[tuple[int, int]], total: int, texts_count: int) -> Mod
     return Model(names[order], number[order], draw(), np.ones((2, SIZE), np.float32), draw(), np.log(noise).astype(np.float32), noise)
 
 
+def _in_chunks(batches: Iterator[pa.RecordBatch], partition: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows with the number of their chunk; a chunk ends with the text that fills it."""
+    partition = TaskContext.get().partitionId() if partition is None else partition
+    size = 0  # bytes of the texts before
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64)
+        before = size + np.cumsum(lengths) - lengths
+        size += int(lengths.sum())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((partition << 32) + before // CHUNK_BYTES)], [*batch.schema.names, "chunk"])
+
+
 def _chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Different words of each chunk with their count among training texts."""
     chunk: int | None = None
@@ -150,7 +165,7 @@ def _chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     def summed() -> pa.RecordBatch:
         unique, inverse = np.unique(np.concatenate([n for n, _ in held]), return_inverse=True)
         total = np.bincount(inverse, weights=np.concatenate([c for _, c in held]), minlength=len(unique)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(unique), chunk, np.int32)), signed(unique), pa.array(total)], ["chunk", "w", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(unique), chunk, np.int64)), signed(unique), pa.array(total)], ["chunk", "w", "c"])
 
     for batch in small(batches):
         chunks = batch.column("chunk").to_numpy()
@@ -217,6 +232,12 @@ class Counts:
     classed: int
 
 
+def _few_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of words as they are, those with texts in small parts."""
+    for batch in batches:
+        yield from small([batch]) if pc.any(batch.column("is_text")).as_py() else [batch]
+
+
 _SCORES = "d bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
@@ -230,7 +251,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model, counts: Counts) ->
     chunk: int | None = None
     words: list[tuple[np.ndarray, np.ndarray]] = []
     known, totals = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for batch in batches:
+    for batch in _few_texts(batches):
         chunks, is_text = batch.column("chunk").to_numpy(), batch.column("is_text").to_numpy(zero_copy_only=False)
         for own in np.unique(chunks).tolist():
             if own != chunk:
@@ -277,9 +298,10 @@ def log_bilinear_scores(
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     read = docs.select(F.col(id_column).cast("long").alias("d"), text.alias("text"))
-    read = stored(read.select("d", held_out(F.col("d"), folds).alias("held_out"), "text", F.spark_partition_id().alias("chunk")), "texts")
+    read = read.select("d", held_out(F.col("d"), folds).alias("held_out"), "text")
+    read = stored(read.mapInArrow(_in_chunks, "d bigint, held_out boolean, text string, chunk bigint"), "texts")
     by_word = Window.partitionBy("w")
-    words = read.select("chunk", "held_out", "text").mapInArrow(_chunk_counts, "chunk int, w bigint, c bigint")  # a chunk read by two tasks has a word twice
+    words = read.select("chunk", "held_out", "text").mapInArrow(_chunk_counts, "chunk bigint, w bigint, c bigint")  # a chunk read by two tasks has a word twice
     totals = words.select("chunk", "w", F.sum("c").over(by_word).alias("n"), (F.row_number().over(by_word.orderBy("chunk")) == 1).alias("first"))
     totals = stored(totals, "words")
     distinct = totals.where("first AND n > 0")
@@ -294,7 +316,8 @@ def log_bilinear_scores(
     columns = ["chunk", "is_text", "d", "held_out", "text", "w", "n"]
     rows = read.select("chunk", F.lit(True).alias("is_text"), "d", "held_out", "text", none["w"].alias("w"), none["n"].alias("n"))
     needed = totals.select("chunk", F.lit(False).alias("is_text"), none["d"].alias("d"), none["held_out"].alias("held_out"), none["text"].alias("text"), "w", "n")
-    together = needed.unionByName(rows.select(columns)).repartition("chunk").sortWithinPartitions("chunk", "is_text")
+    # Ranges, since by hash several chunks meet in one task while others have none.
+    together = needed.unionByName(rows.select(columns)).repartitionByRange("chunk").sortWithinPartitions("chunk", "is_text")
     scored = together.mapInArrow(lambda b: _scored(b, model, counts), _SCORES)
     return scored.select(
         F.col("d").alias(id_column), "held_out", "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"), "base_score", "score"

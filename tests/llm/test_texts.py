@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -327,6 +328,34 @@ def test_probabilities_sum_to_one_and_contrast_learns_order():
     assert model.scores(two, one, target, norms).mean() > unigram + 0.5
 
 
+def test_chunks_of_a_partition_are_bounded(spark, monkeypatch):
+    """Scores don't depend on them; one partition was one chunk, and had to fit in a task."""
+    values = ["a bc " * 100, None, "d " * 900, "", "a d"] * 5
+    batches = [pa.RecordBatch.from_pydict({"text": values[a : a + 7]}) for a in range(0, len(values), 7)]
+    monkeypatch.setattr(lbl, "CHUNK_BYTES", 2000)
+    got = [row for batch in lbl._in_chunks(iter(batches), 3) for row in batch.to_pylist()]
+    assert [r["text"] for r in got] == values
+    sizes = collections.defaultdict(list)
+    for r in got:
+        sizes[r["chunk"]].append(len(r["text"] or ""))
+    assert len(sizes) > 3 and {c >> 32 for c in sizes} == {3} and all(sum(s[:-1]) < 2000 for s in sizes.values())
+
+    table = spark.createDataFrame([(i, f"{t or ''} w{i}") for i, t in enumerate(values)], "doc_id bigint, text string").coalesce(1)
+    monkeypatch.setattr(lbl, "CHUNK_BYTES", 1 << 24)
+    once = {r.doc_id: r.asDict() for r in log_bilinear_scores(table).collect()}
+    dealt = lbl._in_chunks
+
+    def finely(batches):
+        lbl.CHUNK_BYTES = 700
+        return dealt(batches)
+
+    monkeypatch.setattr(lbl, "_in_chunks", finely)
+    again = {r.doc_id: r.asDict() for r in log_bilinear_scores(table).collect()}
+    assert again.keys() == once.keys()
+    for d, row in again.items():
+        assert all(abs(row[c] - once[d][c]) < 1e-4 for c in ("n_tokens", "n_known", "train_tokens", "base_score", "score"))
+
+
 def test_sequences():
     of, target, two, one = lbl.sequences(np.array([0, 0, 2]), np.array([5, 6, 7]), 3)
     assert of.tolist() == [0, 0, 0, 1, 2, 2] and target.tolist() == [5, 6, 1, 1, 7, 1]
