@@ -7,7 +7,7 @@ from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens import schemas as S
@@ -127,8 +127,8 @@ def _prune(spark, sf):
     return transitions.prune_terminal(view(spark, sf, "fx_registry"), PRUNE_NOW, PRUNE_AGE_S)
 
 
-def _created(log: DataFrame) -> DataFrame:
-    return log.groupBy("session_key").agg(F.date_trunc("day", F.min("ts")).cast(log.schema["ts"].dataType).alias("created_at"))
+def _created(log: DataFrame, *also: Column) -> DataFrame:
+    return log.groupBy("session_key").agg(F.date_trunc("day", F.min("ts")).cast(log.schema["ts"].dataType).alias("created_at"), *also)
 
 
 def _session_history(spark, sf):
@@ -301,7 +301,8 @@ def _registry_store_update(spark, sf):
 def _incremental_session_history(spark, sf):
     """The history kept up to date over three slices of the log."""
     log = view(spark, sf, "fx_lifecycle")
-    made = log.groupBy("session_key").agg(F.min("seq").alias("_first")).join(_created(log), "session_key")
+    made = _created(log, F.min("seq").alias("_first")).where("session_key IS NOT NULL")
+    made = stored(made, "created")  # each slice reads it several times
     store = HistoryStore(spark, new_folder(spark, "history"), "timestamp_ntz", buckets=16)
     last = log.agg(F.max("seq")).first()[0] or 0
     edges = [-1, last // 3, last // 2, last]

@@ -137,11 +137,12 @@ def extend_history(
 
     ``before`` has a row per session of earlier slices: its summary and its open interval. Events of the slice have higher ``seq`` than all before.
     The intervals contain the open ones of ``before`` whose session changes, with their end. The second frame has the form of ``before``, for the
-    sessions of the slice; their open intervals are there and not among the intervals.
+    sessions of the slice; their open intervals are there and not among the intervals. ``keep`` holds the summaries of the slice too, as three steps read them.
     """
     key = "session_key"
     log = _log_of(events, created, width)
     summaries = _summaries(log)
+    summaries = keep(summaries) if keep else summaries
     touched = summaries.select(key).distinct()
     earlier = before.join(touched, key, "left_semi")
     start = earlier.select(key, F.lit(-(1 << 63)).cast("long").alias(CELL), *_SUMMARY, "last_app_at")
